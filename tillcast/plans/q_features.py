@@ -12,6 +12,10 @@ from tillcast.plans.catalog import WITH_CLEAN, clean_frame, register, rounded
 
 MART_COLS = ["Date", "CodeMag", "Famille", "Pays", "Quantite", "Total"]
 CDAY_COLS = ["Date", "CodeMag", "Famille", "Pays", "Quantite", "Total"]
+WEEK_COLS = ["Date", "Famille", "Quantite"]
+# The weekly mart covers every store: the threshold and family means of the
+# fixtures (FIXTURES.md section 2) are those of the all-country weekly mart.
+WEEKLY_COUNTRY = None
 
 
 def _sq(names):
@@ -47,7 +51,7 @@ filled as (select g.Date, g.Famille, coalesce(v.sum_Quantite, 0) as sum_Quantite
 
 WEEKLY_SQL = f"""{WITH_CLEAN}, wk as (
   select Famille, cast(date_trunc('week', Date) as date) as week_start, sum(Quantite) as sum_Quantite
-  from clean where Pays = '{P.COUNTRY}' and Date is not null group by 1, 2),
+  from clean where Date is not null group by 1, 2),
 weekly as (select Famille, cast(isoyear(week_start) as integer) as year,
                   cast(week(week_start) as integer) as week_of_year, week_start, sum_Quantite from wk)"""
 
@@ -109,7 +113,7 @@ def q_mart_country_daily(spark, d):
 @register("mart_weekly", f"""{WEEKLY_SQL}
 select Famille, year, week_of_year, week_start, round(sum_Quantite, 6) as sum_Quantite from weekly""")
 def q_mart_weekly(spark, d):
-    return rounded(M.weekly_mart(clean_frame(spark, d, CDAY_COLS), P.COUNTRY))
+    return rounded(M.weekly_mart(clean_frame(spark, d, WEEK_COLS), WEEKLY_COUNTRY))
 
 
 # ------------------------------------------------------------------ calendar, codes, families
@@ -203,7 +207,7 @@ select Famille, year, week_of_year, week_start, round(sum_Quantite, 6) as sum_Qu
 from feat where Famille is not null and lag_1 is not null and lag_2 is not null and lag_4 is not null
   and rolling_mean_4 is not null and rolling_mean_12 is not null""")
 def q_weekly_features_v1(spark, d):
-    return rounded(FE.weekly_features_v1(clean_frame(spark, d, CDAY_COLS), P.COUNTRY))
+    return rounded(FE.weekly_features_v1(clean_frame(spark, d, WEEK_COLS), WEEKLY_COUNTRY))
 
 
 WEEKLY_V2_SQL = f"""{WEEKLY_SQL}, feat as (
@@ -227,7 +231,7 @@ V2_OUT = ("Famille, year, week_of_year, week_start, round(sum_Quantite, 6) as su
 
 
 def weekly_v2(spark, d):
-    return FE.weekly_features_v2(clean_frame(spark, d, CDAY_COLS), P.COUNTRY,
+    return FE.weekly_features_v2(clean_frame(spark, d, WEEK_COLS), WEEKLY_COUNTRY,
                                  P.SUMMER_FAMILIES, P.WINTER_FAMILIES)
 
 

@@ -16,8 +16,8 @@ from tillcast.plans import params as P
 from tillcast.plans.catalog import clean_frame, register, rounded
 from tillcast.plans.q_features import MART_COLS, STORE_FEAT_SQL, WEEKLY_V2_SQL, _sq, weekly_v2
 
-# the driver runs the oracles at sf0.01
-ORACLE_THRESHOLD = P.THRESHOLD_PER_SF * 0.01
+# threshold = 24,000 x sf; the tables have exactly 6,000,000 x sf lineitem rows
+ORACLE_THRESHOLD = f"((select count(*) from lineitem) * {P.THRESHOLD_PER_SF!r} / 6000000.0)"
 
 HV_SQL = f"""{WEEKLY_V2_SQL},
 hv as (select * from v2 where Famille in (

@@ -19,7 +19,8 @@ from tillcast.constants import (STORE_LAGS, STORE_ROLLING, TARGET, WEEKLY_LAGS_V
 from tillcast.functions.calendar import add_daily_calendar, add_weekly_calendar
 from tillcast.functions.scalars import valid_family
 from tillcast.operators.encode import encode, encode_many
-from tillcast.operators.marts import country_daily_mart, daily_mart, weekly_mart
+from tillcast.operators.marts import (country_daily_mart, daily_mart, mart_from_colours,
+                                     store_day_colours, weekly_mart)
 
 
 def series_window(keys: list[str], order: list[str]) -> Window:
@@ -104,8 +105,15 @@ def dominant_attribute(clean: DataFrame, keys: tuple[str, ...] = ("Date", "CodeM
     per key, which Spark computes partially before the shuffle (no window sort
     over a key's rows).
     """
-    rows = clean.filter(F.col(attr).isNotNull() & (F.col(attr) != ""))
-    pairs = rows.groupBy(*keys, attr, second).agg(F.count(F.lit(1)).alias("nb"))
+    pairs = clean.groupBy(*keys, attr, second).agg(F.count(F.lit(1)).alias("nb_lignes"))
+    return dominant_from_counts(pairs, keys, attr, second)
+
+
+def dominant_from_counts(pairs: DataFrame, keys: tuple[str, ...] = ("Date", "CodeMag", "Famille"),
+                         attr: str = "ArCouleur", second: str = "ArFamille", count: str = "nb_lignes") -> DataFrame:
+    """G24 from per-pair row counts (one row per key and pair)."""
+    pairs = (pairs.filter(F.col(attr).isNotNull() & (F.col(attr) != ""))
+             .select(*keys, attr, second, F.col(count).alias("nb")))
     best = pairs.groupBy(*keys).agg(
         F.min(F.struct((-F.col("nb")).alias("neg_nb"), F.col(attr).alias("a"),
                        F.col(second).alias("b"))).alias("best"))
@@ -123,16 +131,36 @@ def join_dominant(features: DataFrame, dominant: DataFrame,
 
 # ---------------------------------------------------------------- feature tables
 
-def store_features(clean: DataFrame, with_dominant: bool = True) -> DataFrame:
+def store_features(clean: DataFrame, with_dominant: bool = True, stores: DataFrame | None = None,
+                   materialize: bool = True) -> DataFrame:
     """Daily store x family features: G5 mart, X1-X5, X10 codes, W1 lags
-    7/14/28 by (CodeMag, Famille), W2 means 7/30, J1 dominant colour, P12."""
-    mart = daily_mart(clean)
+    7/14/28 by (CodeMag, Famille), W2 means 7/30, J1 dominant colour, P12.
+
+    With ``stores`` (CodeMag -> Pays) the country is attached after the
+    aggregation.  With the dominant colour, the fact is aggregated once by
+    (Date, CodeMag, Famille, colour, sub-family) and both the mart and the
+    dominant colour are derived from that aggregate.  ``materialize`` writes
+    the aggregate to the checkpoint folder: the code tables, the windows and
+    the join then read it instead of recomputing the fact scan, and lineage
+    stops there if an executor is lost.
+    """
+    if with_dominant and stores is not None:
+        fine = store_day_colours(clean)
+        if materialize:
+            fine = fine.checkpoint()
+        mart = mart_from_colours(fine, stores)
+        dominant = dominant_from_counts(fine)
+    else:
+        mart = daily_mart(clean, stores)
+        dominant = dominant_attribute(clean) if with_dominant else None
+    if materialize:
+        mart = mart.checkpoint()
     df = add_daily_calendar(mart)
     df = encode_many(df, ["Pays", "Famille", "CodeMag"])
     df = add_lag_features(df, ["CodeMag", "Famille"], ["Date"], STORE_LAGS, STORE_ROLLING,
                           full_windows=False)
-    if with_dominant:
-        df = join_dominant(df, dominant_attribute(clean))
+    if dominant is not None:
+        df = join_dominant(df, dominant)
     return drop_null(df, [f"lag_{k}" for k in STORE_LAGS])
 
 

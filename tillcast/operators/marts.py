@@ -26,13 +26,44 @@ def overview(df: DataFrame) -> DataFrame:
     )
 
 
-def daily_mart(clean: DataFrame) -> DataFrame:
-    """``hv_daily_aggregated`` by Date, CodeMag, Famille, Pays."""
-    return clean.groupBy("Date", "CodeMag", "Famille", "Pays").agg(
-        F.sum("Quantite").alias("sum_Quantite"),
-        F.sum("Total").alias("sum_Total"),
-        F.count(F.lit(1)).alias("nb_lignes"),
-    )
+def daily_mart(clean: DataFrame, stores: DataFrame | None = None) -> DataFrame:
+    """``hv_daily_aggregated`` by Date, CodeMag, Famille, Pays.
+
+    With ``stores`` (CodeMag -> Pays) the fact is aggregated by Date,
+    CodeMag, Famille first and the country is attached to the aggregate: the
+    store join then touches one row per store, day and family instead of
+    every sale line.  (A store is in one country, so the groups are the same.)
+    """
+    measures = [F.sum("Quantite").alias("sum_Quantite"), F.sum("Total").alias("sum_Total"),
+                F.count(F.lit(1)).alias("nb_lignes")]
+    if stores is None:
+        return clean.groupBy("Date", "CodeMag", "Famille", "Pays").agg(*measures)
+    agg = clean.groupBy("Date", "CodeMag", "Famille").agg(*measures)
+    return attach_country(agg, stores)
+
+
+def attach_country(df: DataFrame, stores: DataFrame) -> DataFrame:
+    """Add Pays from the store dimension (inner join, as the fact view)."""
+    return (df.join(stores, on="CodeMag", how="inner")
+            .select("Date", "CodeMag", "Famille", "Pays", *[c for c in df.columns
+                                                           if c not in ("Date", "CodeMag", "Famille")]))
+
+
+def store_day_colours(clean: DataFrame) -> DataFrame:
+    """Sales per (Date, CodeMag, Famille, ArCouleur, ArFamille): the one
+    aggregate both the daily mart and the dominant colour are derived from,
+    so the fact is scanned and shuffled once for both."""
+    return clean.groupBy("Date", "CodeMag", "Famille", "ArCouleur", "ArFamille").agg(
+        F.sum("Quantite").alias("sum_Quantite"), F.sum("Total").alias("sum_Total"),
+        F.count(F.lit(1)).alias("nb_lignes"))
+
+
+def mart_from_colours(fine: DataFrame, stores: DataFrame) -> DataFrame:
+    """G5 from :func:`store_day_colours` (sums of partial sums)."""
+    agg = fine.groupBy("Date", "CodeMag", "Famille").agg(
+        F.sum("sum_Quantite").alias("sum_Quantite"), F.sum("sum_Total").alias("sum_Total"),
+        F.sum("nb_lignes").alias("nb_lignes"))
+    return attach_country(agg, stores)
 
 
 def country_daily_mart(clean: DataFrame, country: str) -> DataFrame:

@@ -9,8 +9,9 @@ from tillcast.operators import marts as M
 from tillcast.operators.encode import encode_many
 from tillcast.plans import params as P
 from tillcast.plans.catalog import WITH_CLEAN, clean_frame, register, rounded
+from tillcast.sources.tables import store_country
 
-MART_COLS = ["Date", "CodeMag", "Famille", "Pays", "Quantite", "Total"]
+MART_COLS = ["Date", "CodeMag", "Famille", "Quantite", "Total"]
 CDAY_COLS = ["Date", "CodeMag", "Famille", "Pays", "Quantite", "Total"]
 WEEK_COLS = ["Date", "Famille", "Quantite"]
 # The weekly mart covers every store: the threshold and family means of the
@@ -100,7 +101,7 @@ STORE_OUT = ("Date, CodeMag, Famille, Pays, round(sum_Quantite, 6) as sum_Quanti
 select Date, CodeMag, Famille, Pays, round(sum_Quantite, 6) as sum_Quantite,
        round(sum_Total, 6) as sum_Total, nb_lignes from mart""")
 def q_mart_daily(spark, d):
-    return rounded(M.daily_mart(clean_frame(spark, d, MART_COLS)))
+    return rounded(M.daily_mart(clean_frame(spark, d, MART_COLS), store_country(spark, d)))
 
 
 @register("mart_country_daily", f"""{CDAY_SQL}
@@ -121,7 +122,7 @@ def q_mart_weekly(spark, d):
 @register("calendar_features", f"""{MART_SQL}
 select Date, CodeMag, Famille, {CAL_SQL} from mart""")
 def q_calendar_features(spark, d):
-    mart = M.daily_mart(clean_frame(spark, d, MART_COLS))
+    mart = M.daily_mart(clean_frame(spark, d, MART_COLS), store_country(spark, d))
     return add_daily_calendar(mart).drop("Pays", "sum_Quantite", "sum_Total", "nb_lignes")
 
 
@@ -132,8 +133,8 @@ select Date, CodeMag, Famille, Pays,
        cast(dense_rank() over (order by CodeMag) - 1 as integer) as CodeMag_encoded
 from mart""")
 def q_encode_codes(spark, d):
-    mart = M.daily_mart(clean_frame(spark, d, MART_COLS)).select("Date", "CodeMag", "Famille", "Pays")
-    return encode_many(mart, ["Pays", "Famille", "CodeMag"])
+    mart = M.daily_mart(clean_frame(spark, d, MART_COLS), store_country(spark, d)).checkpoint()
+    return encode_many(mart.select("Date", "CodeMag", "Famille", "Pays"), ["Pays", "Famille", "CodeMag"])
 
 
 @register("valid_families", f"""{CDAY_SQL}
@@ -158,7 +159,8 @@ def q_calendar_fill(spark, d):
 select {STORE_OUT} from feat
 where lag_7 is not null and lag_14 is not null and lag_28 is not null""")
 def q_lag_features_store(spark, d):
-    return rounded(FE.store_features(clean_frame(spark, d, MART_COLS), with_dominant=False))
+    return rounded(FE.store_features(clean_frame(spark, d, MART_COLS), with_dominant=False,
+                                     stores=store_country(spark, d)))
 
 
 @register("features_joined", f"""{STORE_FEAT_SQL}
@@ -167,7 +169,8 @@ from feat left join dom using (Date, CodeMag, Famille)
 where lag_7 is not null and lag_14 is not null and lag_28 is not null""")
 def q_features_joined(spark, d):
     cols = MART_COLS + ["ArCouleur", "ArFamille"]
-    return rounded(FE.store_features(clean_frame(spark, d, cols), with_dominant=True))
+    return rounded(FE.store_features(clean_frame(spark, d, cols), with_dominant=True,
+                                     stores=store_country(spark, d)))
 
 
 @register("dominant_colour", f"""{STORE_FEAT_SQL}

@@ -61,6 +61,8 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], max_values: int
     pending = sorted(need)
     lo_v, hi_v = None, None      # current bracket for all pending ranks
     below = 0                     # rows strictly below lo_v
+    sub_count = n
+    eps = 3.0 / accuracy          # rank margin around the approximate values
     for _ in range(max_rounds):
         if not pending:
             break
@@ -75,7 +77,6 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], max_values: int
         # narrow: approximate values at the pending ranks, widened by the
         # approximation's rank error on both sides
         rel = [min(max((r - below) / max(m - 1, 1), 0.0), 1.0) for r in pending]
-        eps = 3.0 / accuracy
         qs = sorted({min(max(q - eps, 0.0), 1.0) for q in rel} | {min(max(q + eps, 0.0), 1.0) for q in rel})
         approx = sub.agg(F.percentile_approx(x, F.array(*[F.lit(q) for q in qs]), accuracy)).first()[0]
         new_lo, new_hi = min(approx), max(approx)
@@ -88,12 +89,12 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], max_values: int
         b, i = counts["b"], counts["i"]
         if b <= pending[0] and b + i > pending[-1]:
             lo_v, hi_v, below, sub_count = new_lo, new_hi, b, i
+            eps = 3.0 / accuracy
         else:
-            # the bracket missed a rank (approximation out of bounds): keep the
-            # old bracket and resolve by brute force inside it
-            _resolve(sub, pending, below, need)
-            pending = []
+            # the bracket missed a rank: keep the old bracket, widen the margin
+            eps = min(eps * 4, 1.0)
     if pending:
+        # rounds exhausted: the bracket is as narrow as the approximation gets
         sub = data if lo_v is None else data.filter((x >= lo_v) & (x <= hi_v))
         _resolve(sub, pending, below, need)
 
@@ -106,16 +107,20 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], max_values: int
 
 
 def _resolve(sub: DataFrame, ranks: list[int], below: int, need: dict) -> None:
-    """Value counts inside the bracket (bounded by its row count), walked in order."""
-    vc = sub.groupBy("x").count().orderBy("x").collect()
-    pos = below
-    it = iter(sorted(ranks))
-    r = next(it, None)
-    for row in vc:
-        nxt = pos + row["count"]
-        while r is not None and r < nxt:
-            need[r] = row["x"]
-            r = next(it, None)
-        pos = nxt
-        if r is None:
-            break
+    """Values at the wanted ranks inside the bracket.
+
+    The bracket holds at most ``max_values`` rows, so ordering its distinct
+    values in one window is bounded; only the rows at the wanted ranks (one
+    per rank) come back to the driver.
+    """
+    from pyspark.sql import Window
+    vc = sub.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    cum = F.sum("c").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)) + F.lit(below)
+    marked = vc.withColumn("hi", cum).withColumn("lo", F.col("hi") - F.col("c"))
+    hit = F.lit(False)
+    for r in ranks:
+        hit = hit | ((F.col("lo") <= r) & (F.lit(r) < F.col("hi")))
+    for row in marked.filter(hit).select("x", "lo", "hi").collect():
+        for r in ranks:
+            if row["lo"] <= r < row["hi"]:
+                need[r] = row["x"]

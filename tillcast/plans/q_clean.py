@@ -208,3 +208,33 @@ select Famille, round(Quantite, 6) as Quantite, round(Revenu, 6) as Revenu from
 order by Revenu desc, Famille limit 10""")
 def q_top_families(spark, d):
     return rounded(M.top_groups(_positive(spark, d, ["Famille"]), "Famille", "Revenu", 10))
+
+
+# ------------------------------------------------------------------ G21 on raw fact columns
+
+@register("describe_sales", f"""{WITH_SALES}, pos as (
+  select Quantite, Prix, Prix * Quantite as Revenu from sales where {POSITIVE_WHERE})
+select * from (""" + " union all ".join(
+    f"""select '{c}' as variable, count({c}) as "count", round(avg({c}), 6) as mean,
+       round(stddev_samp({c}), 6) as std, round(min({c}), 6) as "min",
+       round(quantile_cont({c}, 0.25), 6) as p25, round(quantile_cont({c}, 0.5), 6) as p50,
+       round(quantile_cont({c}, 0.75), 6) as p75, round(max({c}), 6) as "max" from pos"""
+    for c in ("Quantite", "Prix", "Revenu")) + ") t")
+def q_describe_sales(spark, d):
+    """G21 on the positive sale lines (Quantite, Prix, Revenu): moments in one
+    aggregate, quartiles by the exact distributed quantile (bounded collects)."""
+    pos = _positive(spark, d, ["Prix"]).select(
+        "Quantite", "Prix", (F.col("Prix") * F.col("Quantite")).alias("Revenu")).checkpoint()
+    cols = ["Quantite", "Prix", "Revenu"]
+    aggs = []
+    for c in cols:
+        aggs += [F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"),
+                 F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")]
+    mom = pos.agg(*aggs).first()
+    rows = []
+    for c in cols:
+        q = O.exact_quantiles(pos, c, [0.25, 0.5, 0.75])
+        rows.append((c, mom[f"n_{c}"], mom[f"m_{c}"], mom[f"s_{c}"], mom[f"lo_{c}"], *q, mom[f"hi_{c}"]))
+    schema = ("variable string, count bigint, mean double, std double, min double, p25 double, "
+              "p50 double, p75 double, max double")
+    return rounded(spark.createDataFrame(rows, schema))

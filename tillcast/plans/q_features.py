@@ -240,3 +240,40 @@ def weekly_v2(spark, d):
 
 register("weekly_features_v2", f"""{WEEKLY_V2_SQL}
 select {V2_OUT} from v2""")(lambda spark, d: rounded(weekly_v2(spark, d)))
+
+
+# ------------------------------------------------------------------ summaries of the store mart
+
+@register("distinct_counts", f"""{MART_SQL}
+select count(distinct CodeMag) as nb_CodeMag, count(distinct Famille) as nb_Famille,
+       count(distinct Pays) as nb_Pays from mart""")
+def q_distinct_counts(spark, d):
+    """Stores, families and countries of the daily mart."""
+    return M.distinct_counts(M.daily_mart(clean_frame(spark, d, MART_COLS), store_country(spark, d)))
+
+
+@register("feature_summary", f"""{STORE_FEAT_SQL}
+select count(*) as row_count, min(Date) as date_min, max(Date) as date_max,
+       ['Date', 'CodeMag', 'Famille', 'Pays', 'sum_Quantite', 'sum_Total', 'nb_lignes'] as "columns"
+from mart""")
+def q_feature_summary(spark, d):
+    """Row count, date range and column list of the daily mart."""
+    from tillcast.sources.sinks import feature_summary
+    mart = M.daily_mart(clean_frame(spark, d, MART_COLS), store_country(spark, d))
+    return feature_summary(mart, "Date").select("row_count", "date_min", "date_max", "columns")
+
+
+@register("family_means", f"""{WEEKLY_V2_SQL}
+select Famille, round(avg(sum_Quantite), 6) as mean_target, round(sum(sum_Quantite), 6) as sum_target
+from v2 where Famille is not null group by Famille""")
+def q_family_means(spark, d):
+    """Per-family mean and sum of the weekly target."""
+    return rounded(M.family_target_stats(weekly_v2(spark, d)))
+
+
+@register("schema_lookup")
+def q_schema_lookup(spark, d):
+    """Name, type, nullability, key flag and position of lineitem's columns."""
+    from tillcast.sources.sinks import schema_table
+    from tillcast.sources.tables import read_table
+    return schema_table(spark, read_table(spark, d, "lineitem"))

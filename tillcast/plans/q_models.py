@@ -205,3 +205,27 @@ def q_model_status(spark, d):
     m = EV.evaluate(pred, K.TARGET, "prediction").first()
     return model_status(hv.select("Famille").distinct(), float(m["WMAPE"]) if m["WMAPE"] is not None else None,
                         float(m["R2"]) if m["R2"] is not None else None, F.current_date().cast("string"))
+
+
+@register("scaler_stats", f"""{HV_SQL}
+select * from (""" + " union all ".join(
+    f"""select '{f}' as feature, round(avg({f}), 6) as mean,
+       round(case when stddev_pop({f}) < 2.220446049250313e-15 then 1.0 else stddev_pop({f}) end, 6) as scale
+from hv where week_start < DATE '{P.TEST_CUT}'""" for f in K.WEEKLY_FEATURES_15) + ") t")
+def q_scaler_stats(spark, d):
+    """M1: mean and population std (0 -> 1) of the 15 features on the train rows."""
+    train, _ = _split(hv_frame(spark, d))
+    return rounded(MD.scaler_stats(train, K.WEEKLY_FEATURES_15))
+
+
+@register("model_save_load")
+def q_model_save_load(spark, d):
+    """Fit the global ridge, save coefficients and the code table to the
+    checkpoint folder, load them back and return the loaded coefficients."""
+    model, _, _ = ridge_global_parts(spark, d)
+    codes = code_table(weekly_v2(spark, d), "Famille")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    MD.save_linear(model, spark, path, codes)
+    loaded, _ = MD.load_linear(spark, path)
+    rows = [("intercept", float(loaded.intercept))] + list(zip(loaded.features, map(float, loaded.coef)))
+    return spark.createDataFrame(rows, "term string, coefficient double")

@@ -1,19 +1,21 @@
 """Column profiler.
 
 The reference runs one or two queries per column (up to 124 scans for 62
-columns).  Here a profile is two jobs whatever the column count:
-
-(a) one aggregate with the typed statistics of every column (filled count,
-    min, max, mean, population std);
-(b) every column cast to text and unpivoted to (column, value), then one
-    ``groupBy(column, value).count()``.  The distinct count of a column is
-    the number of its groups, its top values the first groups by count.
-
-(b) is partially aggregated before the shuffle, so a column with few values
-sends a few rows per task; a near-unique column shuffles about its size once.
-The top-n pick is a ``row_number() <= n`` window, which Spark plans with a
-partial group limit before the shuffle: at most n rows per column leave each
-task, so no task ever holds all groups of a column.
+columns).  Here the table is read once, whatever the column count:
+
+* every row becomes one narrow record per column, (column id, value) with the
+  value in a typed slot (integer, real, text, date, timestamp), and the
+  records are grouped by (column, value) with a row count.  Spark aggregates
+  partially in each task, so a column with few values sends a few rows per
+  task; a near-unique column shuffles about its size once.
+* everything else is read from that group table, which is written to the
+  checkpoint folder once: filled and null counts, distinct counts, min and
+  max, mean and population deviation (weighted by the counts, in two passes
+  for stability) and the top values.
+* the top-n pick is a ``row_number() <= n`` window, which Spark plans with a
+  partial group limit before the shuffle: at most n rows per column leave a
+  task, so no task holds all the values of a column.  Values are turned into
+  text only there, on groups, never on input rows.
 """
 
 from __future__ import annotations
@@ -72,11 +74,82 @@ def logical_type(name: str, type_sql: str) -> str:
     return K.TYPE_OTHER
 
 
+SLOTS = ("v_long", "v_dbl", "v_str", "v_date", "v_ts")
+
+
+def _slot(dt: T.DataType) -> str:
+    if isinstance(dt, (T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.BooleanType)):
+        return "v_long"
+    if isinstance(dt, (T.DoubleType, T.FloatType, T.DecimalType)):
+        return "v_dbl"
+    if isinstance(dt, T.DateType):
+        return "v_date"
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return "v_ts"
+    return "v_str"
+
+
+_SLOT_TYPES = {"v_long": "bigint", "v_dbl": "double", "v_str": "string", "v_date": "date",
+               "v_ts": "timestamp_ntz"}
+
+
+def typed_value_counts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """(ci, v_long, v_dbl, v_str, v_date, v_ts, nb): one row per column index
+    and distinct value (all slots null = the null group of that column)."""
+    records = []
+    for i, f in enumerate(fields):
+        slot = _slot(f.dataType)
+        src = F.col(f.name)
+        if slot == "v_ts":
+            src = src.cast("timestamp_ntz")
+        vals = [(src.cast(_SLOT_TYPES[s]) if s == slot else F.lit(None).cast(_SLOT_TYPES[s])).alias(s)
+                for s in SLOTS]
+        records.append(F.struct(F.lit(i).alias("ci"), *vals))
+    long = df.select(F.inline(F.array(*records)))
+    return long.groupBy("ci", *SLOTS).agg(F.count(F.lit(1)).alias("nb"))
+
+
+def value_text() -> Column:
+    """A typed value as text (as the column would print it)."""
+    return F.coalesce(F.col("v_long").cast("string"), F.col("v_dbl").cast("string"), F.col("v_str"),
+                      F.col("v_date").cast("string"), F.col("v_ts").cast("string"))
+
+
+def _non_null() -> Column:
+    cond = F.lit(False)
+    for s in SLOTS:
+        cond = cond | F.col(s).isNotNull()
+    return cond
+
+
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """(Colonne, value, nb) for every non-null value of every column, as text."""
-    as_text = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-    long = as_text.unpivot([], cols, "Colonne", "value").filter(F.col("value").isNotNull())
-    return long.groupBy("Colonne", "value").agg(F.count(F.lit(1)).alias("nb"))
+    fields = [df.schema[c] for c in cols]
+    names = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(i), F.lit(c))])
+    vc = typed_value_counts(df, fields).filter(_non_null())
+    return vc.select(names[F.col("ci")].alias("Colonne"), value_text().alias("value"), "nb")
+
+
+def column_stats(vc: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """Per column index, from the typed value counts: total rows, filled,
+    distinct, min, max (as text), mean and population std of numbers."""
+    x = F.coalesce(F.col("v_long").cast("double"), F.col("v_dbl"))
+    filled = _non_null()
+    first = vc.groupBy("ci").agg(
+        F.sum("nb").alias("Total_Lignes"),
+        F.sum(F.when(filled, F.col("nb")).otherwise(0)).alias("Valeurs_Remplies"),
+        F.count_if(filled).alias("Valeurs_Distinctes"),
+        *[F.min(s).alias(f"min_{s}") for s in SLOTS], *[F.max(s).alias(f"max_{s}") for s in SLOTS],
+        (F.sum(x * F.col("nb")) / F.sum(F.when(x.isNotNull(), F.col("nb")))).alias("_mean"))
+    # second pass over the (small) group table for a stable variance
+    dev = (vc.join(F.broadcast(first.select("ci", "_mean")), "ci")
+           .groupBy("ci").agg((F.sum(F.col("nb") * F.pow(x - F.col("_mean"), 2))
+                               / F.sum(F.when(x.isNotNull(), F.col("nb")))).alias("_var")))
+    lo = F.coalesce(*[F.col(f"min_{s}").cast("string") for s in SLOTS])
+    hi = F.coalesce(*[F.col(f"max_{s}").cast("string") for s in SLOTS])
+    return (first.join(F.broadcast(dev), "ci", "left")
+            .select("ci", "Total_Lignes", "Valeurs_Remplies", "Valeurs_Distinctes", lo.alias("Min"),
+                    hi.alias("Max"), "_mean", F.sqrt(F.greatest(F.col("_var"), F.lit(0.0))).alias("_std")))
 
 
 def top_items(vc: DataFrame, n: int) -> DataFrame:
@@ -99,57 +172,40 @@ def _count_label(x: Column) -> Column:
     return F.format_number(x["nb"], 0)
 
 
-def _stats_rows(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
-    """(a): one aggregate, then one row per column."""
-    aggs = [F.count(F.lit(1)).alias("_total")]
-    for i, f in enumerate(fields):
-        c, t = F.col(f.name), sql_type(f.dataType)
-        aggs.append(F.count(c).alias(f"f{i}"))
-        if t in NUMERIC_SQL or t in DATE_SQL:
-            aggs += [F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}")]
-        else:
-            aggs += [F.lit(None).cast("string").alias(f"lo{i}"), F.lit(None).cast("string").alias(f"hi{i}")]
-        if t in NUMERIC_SQL:
-            aggs += [F.avg(c.cast("double")).alias(f"m{i}"), F.stddev_pop(c.cast("double")).alias(f"s{i}")]
-        else:
-            aggs += [F.lit(None).cast("double").alias(f"m{i}"), F.lit(None).cast("double").alias(f"s{i}")]
-    rows = [F.struct(F.lit(f.name).alias("Colonne"), F.lit(i).alias("pos"),
-                     F.lit(sql_type(f.dataType)).alias("Type_SQL"),
-                     F.col("_total").alias("Total_Lignes"), F.col(f"f{i}").alias("Valeurs_Remplies"),
-                     F.col(f"lo{i}").alias("Min"), F.col(f"hi{i}").alias("Max"),
-                     F.col(f"m{i}").alias("_mean"), F.col(f"s{i}").alias("_std"))
-            for i, f in enumerate(fields)]
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
-
-
 def column_profile(df: DataFrame, primary_key: str | None = None, top_n: int = 5,
-                   columns: list[str] | None = None) -> DataFrame:
+                   columns: list[str] | None = None, materialize: bool = True) -> DataFrame:
     """The 16-column profile table, one row per column, in column order."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    names = [f.name for f in fields]
-    stats = _stats_rows(df, fields)
-    vc = value_counts(df, names)
-    distinct = vc.groupBy("Colonne").agg(F.count(F.lit(1)).alias("Valeurs_Distinctes"))
-    top = top_items(vc, top_n)
-    # the three frames have one row per profiled column (size fixed by the schema)
-    out = (stats.join(F.broadcast(distinct), "Colonne", "left")
-           .join(F.broadcast(top), "Colonne", "left"))
+    vc = typed_value_counts(df, fields)
+    if materialize:
+        vc = vc.checkpoint()        # the one pass over the table
+    spark = df.sparkSession
+    meta = spark.createDataFrame(
+        [(i, f.name, sql_type(f.dataType)) for i, f in enumerate(fields)],
+        "ci int, Colonne string, Type_SQL string")
+    stats = column_stats(vc, fields)
+    text_vc = vc.filter(_non_null()).select("ci", value_text().alias("value"), "nb")
+    rk = F.row_number().over(Window.partitionBy("ci").orderBy(F.desc("nb"), F.asc("value")))
+    top = (text_vc.withColumn("rk", rk).filter(F.col("rk") <= top_n)
+           .groupBy("ci").agg(F.array_sort(F.collect_list(F.struct("rk", "value", "nb"))).alias("items")))
+    # meta, stats and top have one row per profiled column (size fixed by the schema)
+    out = (F.broadcast(meta).join(stats, "ci", "left").join(F.broadcast(top), "ci", "left"))
     total = F.col("Total_Lignes")
-    out = out.withColumns({
-        "top": format_items(F.col("items"), _count_label),
-        "top_txt": format_items(F.col("items"), lambda x: F.concat(
-            round_to(x["nb"] * 100.0 / total, 1).cast("string"), F.lit("%"))),
-    })
     typ = F.col("Type_SQL")
     is_num = typ.isin(*NUMERIC_SQL)
     is_date = typ.isin(*DATE_SQL)
     out = out.withColumns({
+        "top": format_items(F.col("items"), _count_label),
+        "top_txt": format_items(F.col("items"), lambda x: F.concat(
+            round_to(x["nb"] * 100.0 / total, 1).cast("string"), F.lit("%"))),
         "Valeurs_Distinctes": F.coalesce(F.col("Valeurs_Distinctes"), F.lit(0)).cast("bigint"),
         "Valeurs_Nulles": F.col("Total_Lignes") - F.col("Valeurs_Remplies"),
+        "Min": F.when(is_num | is_date, F.col("Min")),
+        "Max": F.when(is_num | is_date, F.col("Max")),
     }).withColumns({
         "Pct_NULL": round_to(F.try_divide((F.col("Valeurs_Nulles") * 100.0), F.col("Total_Lignes").cast("double")), 2),
-        "Moyenne": round_to(F.col("_mean"), 2),
-        "Ecart_Type": round_to(F.col("_std"), 2),
+        "Moyenne": F.when(is_num, round_to(F.col("_mean"), 2)),
+        "Ecart_Type": F.when(is_num, round_to(F.col("_std"), 2)),
         "Mediane": F.lit(None).cast("double"),
         "Clé": F.when(F.col("Colonne") == F.lit(primary_key or ""), F.lit("PRI")).otherwise(F.lit("")),
         "Type_Logique": _logical_type_col(F.col("Colonne"), typ),
@@ -160,7 +216,7 @@ def column_profile(df: DataFrame, primary_key: str | None = None, top_n: int = 5
                           .otherwise(F.coalesce(F.col("top_txt"), F.lit(""))),
         "Interpretation_Auto": remark(is_num, is_date),
     })
-    return out.orderBy("pos").select(
+    return out.orderBy("ci").select(
         "Colonne", "Type_SQL", "Type_Logique", "Clé", "Total_Lignes", "Valeurs_Remplies",
         "Valeurs_Nulles", "Pct_NULL", "Valeurs_Distinctes", "Min", "Max", "Moyenne", "Ecart_Type",
         "Mediane", "Top_5_Valeurs", "Interpretation_Auto")
@@ -227,14 +283,18 @@ def dimension_profile(tables: dict[str, DataFrame], columns: dict[str, list[str]
         present = [c for c in wanted if c in df.columns]
         missing = [c for c in wanted if c not in df.columns]
         if present:
-            agg = df.agg(F.count(F.lit(1)).alias("_total"), *[F.count(c).alias(f"f{i}") for i, c in enumerate(present)])
-            stats = agg.select(F.inline(F.array(*[
-                F.struct(F.lit(c).alias("Colonne"), F.lit(i).alias("pos"), F.col("_total").alias("Total_Lignes"),
-                         F.col(f"f{i}").alias("Valeurs_Remplies")) for i, c in enumerate(present)])))
-            vc = value_counts(df, present)
-            distinct = vc.groupBy("Colonne").agg(F.count(F.lit(1)).alias("Valeurs_Distinctes"))
-            top = top_items(vc, top_n).select("Colonne", format_items(F.col("items"), _count_label).alias("top"))
-            part = (stats.join(F.broadcast(distinct), "Colonne", "left").join(F.broadcast(top), "Colonne", "left")
+            fields = [df.schema[c] for c in present]
+            vc = typed_value_counts(df, fields).checkpoint()     # one pass over the table
+            meta = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(present)],
+                                                   "ci int, Colonne string")
+            stats = column_stats(vc, fields).select("ci", "Total_Lignes", "Valeurs_Remplies", "Valeurs_Distinctes")
+            text_vc = vc.filter(_non_null()).select("ci", value_text().alias("value"), "nb")
+            rk = F.row_number().over(Window.partitionBy("ci").orderBy(F.desc("nb"), F.asc("value")))
+            top = (text_vc.withColumn("rk", rk).filter(F.col("rk") <= top_n).groupBy("ci")
+                   .agg(F.array_sort(F.collect_list(F.struct("rk", "value", "nb"))).alias("items"))
+                   .select("ci", format_items(F.col("items"), _count_label).alias("top")))
+            part = (F.broadcast(meta).join(stats, "ci", "left").join(F.broadcast(top), "ci", "left")
+                    .withColumn("pos", F.col("ci")).drop("ci")
                     .withColumn("Table", F.lit(table)).withColumn("Erreur", F.lit(None).cast("string")))
             parts.append(part)
         for j, c in enumerate(missing):

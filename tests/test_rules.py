@@ -133,6 +133,15 @@ def test_encode_codes(spark):
     assert got == {"a": 0, "b": 1, "é": 2, None: -1}
 
 
+def test_code_table_distributed_path(spark):
+    from tillcast.operators.encode import code_table
+    vals = [(f"v{i:05d}",) for i in range(3000)] * 2
+    df = spark.createDataFrame(vals, "x string")
+    small = {r["x"]: r["x_encoded"] for r in code_table(df, "x").collect()}
+    big = {r["x"]: r["x_encoded"] for r in code_table(df, "x", partitions=7, single_task_limit=10).collect()}
+    assert small == big == {f"v{i:05d}": i for i in range(3000)}
+
+
 def test_top_families_ties(spark):
     df = spark.createDataFrame([("B", 5.0), ("A", 5.0), ("C", 1.0)], "Famille string, sum_Quantite double")
     assert [r[0] for r in S.top_families(df, 2).collect()] == ["A", "B"]

@@ -12,16 +12,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def code_table(df: DataFrame, col: str, code_col: str | None = None) -> DataFrame:
+# at most this many distinct values are numbered in a single task
+SINGLE_TASK_CODES = 1_000_000
+
+
+def code_table(df: DataFrame, col: str, code_col: str | None = None, partitions: int | None = None,
+               single_task_limit: int = SINGLE_TASK_CODES) -> DataFrame:
     """(value, code) for the distinct non-null values of ``col``.
 
     ``distinct`` is a partial aggregate, so only distinct values are shuffled.
-    The numbering window runs on that distinct set (a dimension: families,
-    stores, countries), never on fact rows.
+    A ``limit(L + 1)`` count checks the number of values first.  Up to ``L``
+    values (a dimension: families, stores, countries) are numbered by one
+    window in one task, a proven bound.  Beyond it the numbering is
+    distributed: the values are range-partitioned and sorted inside each
+    partition, written once to the checkpoint folder, and each partition adds
+    the count of the partitions before it (one row per partition comes back
+    to the driver), so no task holds more than its range of values.
     """
     code_col = code_col or f"{col}_encoded"
+    spark = df.sparkSession
     distinct = df.select(col).filter(F.col(col).isNotNull()).distinct()
-    return distinct.withColumn(code_col, (F.row_number().over(Window.orderBy(col)) - 1).cast("int"))
+    if distinct.limit(single_task_limit + 1).count() <= single_task_limit:
+        return distinct.withColumn(code_col, (F.row_number().over(Window.orderBy(col)) - 1).cast("int"))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (distinct.repartitionByRange(n, col).sortWithinPartitions(col)
+               .withColumn("_pid", F.spark_partition_id())
+               .withColumn("_pos", F.monotonically_increasing_id())
+               .checkpoint())
+    counts = sorted((r["_pid"], r["n"]) for r in ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, total = [], 0
+    for pid, cnt in counts:
+        offsets.append((pid, total))
+        total += cnt
+    off = spark.createDataFrame(offsets or [(0, 0)], "_pid int, _off long")
+    # monotonically_increasing_id = partition id << 33 + position in partition
+    local = F.col("_pos") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    return (ordered.join(F.broadcast(off), "_pid")
+            .select(col, (F.col("_off") + local).cast("int").alias(code_col)))
 
 
 def encode(df: DataFrame, col: str, table: DataFrame | None = None,

@@ -21,7 +21,7 @@ from tillcast.operators.scoring import model_status, score, split_scored
 from tillcast.plans import params as P
 from tillcast.plans.catalog import clean_frame, register, rounded
 from tillcast.plans.q_features import WEEK_COLS, WEEKLY_COUNTRY, weekly_v2
-from tillcast.plans.q_select import HV_SQL, hv_frame
+from tillcast.plans.q_select import HV_SQL
 from tillcast.session import checkpoint_dir
 
 GBT_ROUNDS = 60
@@ -39,8 +39,15 @@ def _out(pred, col="prediction"):
     return rounded(pred.select(*KEYS, K.TARGET, F.col(col).alias("predicted_Quantite")))
 
 
-def ridge_global_parts(spark, d, standardize=True):
-    hv = hv_frame(spark, d)
+def weekly_tables(spark, d):
+    """(v2 features, high-volume subset), the first written once to the
+    checkpoint folder: fits, predictions, code table and requests all read it."""
+    v2 = weekly_v2(spark, d).checkpoint()
+    return v2, S.high_volume(v2, P.threshold(d), P.EXCLUDE)
+
+
+def ridge_global_parts(spark, d, standardize=True, tables=None):
+    v2, hv = tables or weekly_tables(spark, d)
     train, test = _split(hv)
     model = MD.fit_ridge(train, K.WEEKLY_FEATURES_15, K.TARGET, K.RIDGE_ALPHA, standardize)
     pred = test.withColumn("prediction", F.when(model.predict_col() < 0, 0.0).otherwise(model.predict_col()))
@@ -57,7 +64,7 @@ def q_ridge_global(spark, d):
 @register("ridge_per_family")
 def q_ridge_per_family(spark, d):
     """M4 + P15 (10 train rows, 1 test row): one ridge per family."""
-    hv = S.guard_groups(hv_frame(spark, d), "week_start", P.TEST_CUT, 10, 1)
+    hv = S.guard_groups(weekly_tables(spark, d)[1], "week_start", P.TEST_CUT, 10, 1)
     train, test = _split(hv)
     coefs = MD.fit_ridge_by_group(train, "Famille", K.WEEKLY_FEATURES_PER_FAMILY, K.TARGET)
     pred = MD.predict_by_group(test, coefs, "Famille", K.WEEKLY_FEATURES_PER_FAMILY)
@@ -75,7 +82,7 @@ def q_ridge_vs_baseline(spark, d):
 
 def gbt_global_parts(spark, d):
     """M5 (V8 settings): 14 features, test from the late cut, depth 5, rate .05."""
-    hv = hv_frame(spark, d).checkpoint()
+    hv = weekly_tables(spark, d)[1]
     train, test = _split(hv, P.TEST_CUT_LATE)
     model, rounds = MD.fit_gbt(train, K.WEEKLY_FEATURES_14_V8, K.TARGET, max_iter=GBT_ROUNDS, step=0.05,
                                depth=5, patience=GBT_PATIENCE, date_col="week_start")
@@ -102,7 +109,7 @@ def q_gbt_per_family(spark, d):
 
 
 def rf_parts(spark, d):
-    hv = hv_frame(spark, d)
+    hv = weekly_tables(spark, d)[1]
     train, test = _split(hv)
     model = MD.fit_random_forest(train, K.WEEKLY_FEATURES_15, K.TARGET, trees=RF_TREES, depth=8)
     return model, MD.predict_ml(model, test, K.WEEKLY_FEATURES_15)
@@ -111,8 +118,8 @@ def rf_parts(spark, d):
 register("random_forest")(lambda spark, d: _out(rf_parts(spark, d)[1]))
 
 
-def seasonal_parts(spark, d):
-    hv = hv_frame(spark, d)
+def seasonal_parts(spark, d, hv=None):
+    hv = hv if hv is not None else weekly_tables(spark, d)[1]
     train, test = _split(hv)
     return MD.seasonal_trend(train, test, "Famille", "week_start", K.TARGET)
 
@@ -132,7 +139,7 @@ def q_model_comparison(spark, d):
     """E9 + K7: raw-feature ridge (M3), GBT, random forest, seasonal trend
     and the naive baseline on the same test rows, ranked by WMAPE."""
     from tillcast.plans.q_select import naive_frame
-    hv = hv_frame(spark, d).checkpoint()
+    hv = weekly_tables(spark, d)[1]
     train, test = _split(hv)
     ridge = MD.fit_ridge(train, K.WEEKLY_FEATURES_15, K.TARGET, K.RIDGE_ALPHA, standardize=False)
     gbt, _ = MD.fit_gbt(train, K.WEEKLY_FEATURES_15, K.TARGET, max_iter=GBT_ROUNDS, depth=5,
@@ -143,7 +150,7 @@ def q_model_comparison(spark, d):
     base = MD.predict_ml(rf, base, K.WEEKLY_FEATURES_15, "p_rf")
     long = EV.long_predictions(base.withColumnRenamed(K.TARGET, "y"), KEYS, "y",
                                {"Ridge": "p_ridge", "GBT": "p_gbt", "RandomForest": "p_rf"})
-    seas = seasonal_parts(spark, d).select(*KEYS, F.col(K.TARGET).alias("y"), F.lit("SeasonalTrend").alias("model"),
+    seas = seasonal_parts(spark, d, hv).select(*KEYS, F.col(K.TARGET).alias("y"), F.lit("SeasonalTrend").alias("model"),
                                            F.col("prediction").alias("p"))
     naive = naive_frame(spark, d).select(*KEYS, "y", F.lit("Naive (lag_52)").alias("model"), "p")
     return EV.compare_models(long.unionByName(seas).unionByName(naive), y="y")
@@ -151,24 +158,25 @@ def q_model_comparison(spark, d):
 
 # ------------------------------------------------------------------ scoring
 
-def _requests(spark, d):
+def _requests(v2):
     """Requests built from the test weeks of every family (the ones the model
     does not serve become rejects)."""
-    _, test = _split(weekly_v2(spark, d))
+    _, test = _split(v2)
     return test.select(F.col("Famille").alias("famille"), "year", "week_of_year", "lag_1", "lag_2", "lag_4",
                        "lag_52", "rolling_mean_4", "rolling_mean_12")
 
 
 def _scoring_inputs(spark, d):
-    model, hv, _ = ridge_global_parts(spark, d)
-    codes = code_table(weekly_v2(spark, d), "Famille")
+    tables = weekly_tables(spark, d)
+    model, hv, _ = ridge_global_parts(spark, d, tables=tables)
+    codes = code_table(tables[0], "Famille")
     supported = hv.select("Famille").distinct()
-    return model, codes, supported
+    return model, codes, supported, tables[0]
 
 
 def _scored(spark, d):
-    model, codes, supported = _scoring_inputs(spark, d)
-    return score(_requests(spark, d), model, codes, supported, P.SUMMER_FAMILIES, P.WINTER_FAMILIES)
+    model, codes, supported, v2 = _scoring_inputs(spark, d)
+    return score(_requests(v2), model, codes, supported, P.SUMMER_FAMILIES, P.WINTER_FAMILIES)
 
 
 register("score_requests")(lambda spark, d: split_scored(_scored(spark, d))[0])
@@ -187,9 +195,9 @@ def q_score_stream(spark, d):
     """M13 on a stream: requests written as files, read with readStream,
     scored and written per micro-batch; returns what the stream wrote."""
     from tillcast.streaming.scoring_stream import start_scoring
-    model, codes, supported = _scoring_inputs(spark, d)
+    model, codes, supported, v2 = _scoring_inputs(spark, d)
     run = f"{checkpoint_dir(spark).rstrip('/')}/score-stream-{uuid.uuid4().hex}"
-    _requests(spark, d).write.mode("overwrite").parquet(f"{run}/requests")
+    _requests(v2).write.mode("overwrite").parquet(f"{run}/requests")
     q = start_scoring(spark, f"{run}/requests", f"{run}/out", model, codes, supported,
                       name=f"scoring_{uuid.uuid4().hex[:8]}", summer_families=P.SUMMER_FAMILIES,
                       winter_families=P.WINTER_FAMILIES)
@@ -214,7 +222,7 @@ select * from (""" + " union all ".join(
 from hv where week_start < DATE '{P.TEST_CUT}'""" for f in K.WEEKLY_FEATURES_15) + ") t")
 def q_scaler_stats(spark, d):
     """M1: mean and population std (0 -> 1) of the 15 features on the train rows."""
-    train, _ = _split(hv_frame(spark, d))
+    train, _ = _split(weekly_tables(spark, d)[1])
     return rounded(MD.scaler_stats(train, K.WEEKLY_FEATURES_15))
 
 
@@ -222,8 +230,9 @@ def q_scaler_stats(spark, d):
 def q_model_save_load(spark, d):
     """Fit the global ridge, save coefficients and the code table to the
     checkpoint folder, load them back and return the loaded coefficients."""
-    model, _, _ = ridge_global_parts(spark, d)
-    codes = code_table(weekly_v2(spark, d), "Famille")
+    tables = weekly_tables(spark, d)
+    model, _, _ = ridge_global_parts(spark, d, tables=tables)
+    codes = code_table(tables[0], "Famille")
     path = f"{checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
     MD.save_linear(model, spark, path, codes)
     loaded, _ = MD.load_linear(spark, path)

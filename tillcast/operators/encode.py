@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillcast.session import materialize
+
 
 # at most this many distinct values are numbered in a single task
 SINGLE_TASK_CODES = 1_000_000
@@ -35,10 +37,9 @@ def code_table(df: DataFrame, col: str, code_col: str | None = None, partitions:
     if distinct.limit(single_task_limit + 1).count() <= single_task_limit:
         return distinct.withColumn(code_col, (F.row_number().over(Window.orderBy(col)) - 1).cast("int"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (distinct.repartitionByRange(n, col).sortWithinPartitions(col)
-               .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_pos", F.monotonically_increasing_id())
-               .checkpoint())
+    ordered = materialize(distinct.repartitionByRange(n, col).sortWithinPartitions(col)
+                          .withColumn("_pid", F.spark_partition_id())
+                          .withColumn("_pos", F.monotonically_increasing_id()))
     counts = sorted((r["_pid"], r["n"]) for r in ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, total = [], 0
     for pid, cnt in counts:

@@ -21,6 +21,7 @@ from tillcast.functions.scalars import valid_family
 from tillcast.operators.encode import encode, encode_many
 from tillcast.operators.marts import (country_daily_mart, daily_mart, mart_from_colours,
                                      store_day_colours, weekly_mart)
+from tillcast.session import materialize as checkpointed
 
 
 def series_window(keys: list[str], order: list[str]) -> Window:
@@ -147,14 +148,14 @@ def store_features(clean: DataFrame, with_dominant: bool = True, stores: DataFra
     if with_dominant and stores is not None:
         fine = store_day_colours(clean)
         if materialize:
-            fine = fine.checkpoint()
+            fine = checkpointed(fine)
         mart = mart_from_colours(fine, stores)
         dominant = dominant_from_counts(fine)
     else:
         mart = daily_mart(clean, stores)
         dominant = dominant_attribute(clean) if with_dominant else None
     if materialize:
-        mart = mart.checkpoint()
+        mart = checkpointed(mart)
     df = add_daily_calendar(mart)
     df = encode_many(df, ["Pays", "Famille", "CodeMag"])
     df = add_lag_features(df, ["CodeMag", "Famille"], ["Date"], STORE_LAGS, STORE_ROLLING,

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from tillcast import constants as K
 from tillcast.functions.scalars import round_to
+from tillcast.session import materialize as checkpointed
 
 NUMERIC_SQL = ("int", "bigint", "smallint", "tinyint", "mediumint", "decimal", "float", "double")
 INT_SQL = ("int", "bigint", "smallint", "tinyint", "mediumint")
@@ -178,7 +179,7 @@ def column_profile(df: DataFrame, primary_key: str | None = None, top_n: int = 5
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     vc = typed_value_counts(df, fields)
     if materialize:
-        vc = vc.checkpoint()        # the one pass over the table
+        vc = checkpointed(vc)        # the one pass over the table
     spark = df.sparkSession
     meta = spark.createDataFrame(
         [(i, f.name, sql_type(f.dataType)) for i, f in enumerate(fields)],
@@ -284,7 +285,7 @@ def dimension_profile(tables: dict[str, DataFrame], columns: dict[str, list[str]
         missing = [c for c in wanted if c not in df.columns]
         if present:
             fields = [df.schema[c] for c in present]
-            vc = typed_value_counts(df, fields).checkpoint()     # one pass over the table
+            vc = checkpointed(typed_value_counts(df, fields))     # one pass over the table
             meta = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(present)],
                                                    "ci int, Colonne string")
             stats = column_stats(vc, fields).select("ci", "Total_Lignes", "Valeurs_Remplies", "Valeurs_Distinctes")

@@ -12,6 +12,7 @@ from tillcast.plans import params as P
 from tillcast.plans.catalog import (CLEAN_WHERE, POSITIVE_WHERE, WITH_CLEAN, WITH_SALES,
                                     clean_frame, register, rounded, sql_pct)
 from tillcast.sources.tables import sales
+from tillcast.session import materialize
 
 # ------------------------------------------------------------------ cleaning
 
@@ -223,8 +224,8 @@ select * from (""" + " union all ".join(
 def q_describe_sales(spark, d):
     """G21 on the positive sale lines (Quantite, Prix, Revenu): moments in one
     aggregate, quartiles by the exact distributed quantile (bounded collects)."""
-    pos = _positive(spark, d, ["Prix"]).select(
-        "Quantite", "Prix", (F.col("Prix") * F.col("Quantite")).alias("Revenu")).checkpoint()
+    pos = materialize(_positive(spark, d, ["Prix"]).select(
+        "Quantite", "Prix", (F.col("Prix") * F.col("Quantite")).alias("Revenu")))
     cols = ["Quantite", "Prix", "Revenu"]
     aggs = []
     for c in cols:

@@ -10,6 +10,7 @@ from tillcast.operators.encode import encode_many
 from tillcast.plans import params as P
 from tillcast.plans.catalog import WITH_CLEAN, clean_frame, register, rounded
 from tillcast.sources.tables import store_country
+from tillcast.session import materialize
 
 MART_COLS = ["Date", "CodeMag", "Famille", "Quantite", "Total"]
 CDAY_COLS = ["Date", "CodeMag", "Famille", "Pays", "Quantite", "Total"]
@@ -133,7 +134,7 @@ select Date, CodeMag, Famille, Pays,
        cast(dense_rank() over (order by CodeMag) - 1 as integer) as CodeMag_encoded
 from mart""")
 def q_encode_codes(spark, d):
-    mart = M.daily_mart(clean_frame(spark, d, MART_COLS), store_country(spark, d)).checkpoint()
+    mart = materialize(M.daily_mart(clean_frame(spark, d, MART_COLS), store_country(spark, d)))
     return encode_many(mart.select("Date", "CodeMag", "Famille", "Pays"), ["Pays", "Famille", "CodeMag"])
 
 

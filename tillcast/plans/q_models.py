@@ -22,7 +22,7 @@ from tillcast.plans import params as P
 from tillcast.plans.catalog import clean_frame, register, rounded
 from tillcast.plans.q_features import WEEK_COLS, WEEKLY_COUNTRY, weekly_v2
 from tillcast.plans.q_select import HV_SQL
-from tillcast.session import checkpoint_dir
+from tillcast.session import checkpoint_dir, materialize
 
 GBT_ROUNDS = 60
 GBT_PATIENCE = 50
@@ -42,7 +42,7 @@ def _out(pred, col="prediction"):
 def weekly_tables(spark, d):
     """(v2 features, high-volume subset), the first written once to the
     checkpoint folder: fits, predictions, code table and requests all read it."""
-    v2 = weekly_v2(spark, d).checkpoint()
+    v2 = materialize(weekly_v2(spark, d))
     return v2, S.high_volume(v2, P.threshold(d), P.EXCLUDE)
 
 
@@ -99,7 +99,7 @@ def q_gbt_per_family(spark, d):
     guard 10 train / 3 test rows, test from the late cut."""
     from tillcast.operators.features import weekly_features_v1
     v1 = weekly_features_v1(clean_frame(spark, d, WEEK_COLS), WEEKLY_COUNTRY)
-    v1 = S.guard_groups(v1, "week_start", P.TEST_CUT_LATE, 10, 3).checkpoint()
+    v1 = materialize(S.guard_groups(v1, "week_start", P.TEST_CUT_LATE, 10, 3))
     train, test = _split(v1, P.TEST_CUT_LATE)
     families = [r[0] for r in v1.select("Famille").distinct().orderBy("Famille").collect()]
     pred = MD.fit_gbt_by_group(train, test, "Famille", K.WEEKLY_FEATURES_13, K.TARGET, families,

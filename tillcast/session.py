@@ -55,3 +55,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
+
+
+def materialize(df):
+    """Write ``df`` to the checkpoint folder and return a frame reading it.
+
+    Cuts the lineage (a lost executor recomputes from the written data, not
+    from the source) and lets several consumers share one computation.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

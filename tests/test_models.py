@@ -65,6 +65,18 @@ def test_exact_quantiles_match_numpy(spark):
     assert np.allclose(got, exp, rtol=0, atol=1e-9)
 
 
+def test_exact_quantiles_several_columns(spark):
+    from tillcast.operators.outliers import exact_quantiles_multi
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=4000)
+    b = rng.integers(0, 50, 4000).astype(float)
+    b[::7] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b}))
+    got = exact_quantiles_multi(df, {"a": [0.1, 0.5], "b": [0.25, 0.9]}, max_values=300, accuracy=50)
+    assert np.allclose(got["a"], np.quantile(a, [0.1, 0.5]), atol=1e-12)
+    assert np.allclose(got["b"], np.nanquantile(b, [0.25, 0.9]), atol=1e-12)
+
+
 def test_cap_series_p99(spark):
     rng = np.random.default_rng(1)
     q = rng.integers(0, 10_000, 300).astype(float)

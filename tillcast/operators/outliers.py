@@ -45,82 +45,110 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], max_values: int
                     accuracy: int = 10_000, max_rounds: int = 8) -> list[float | None]:
     """Exact quantiles (linear interpolation between order statistics) of a
     column of any size.  Nulls and NaN are ignored, as pandas does."""
-    x = F.col("x")
-    data = (df.select(F.col(col).cast("double").alias("x"))
-              .filter(x.isNotNull() & ~F.isnan(x)))
-    n = data.count()
-    if n == 0:
-        return [None for _ in probs]
-    # 0-based ranks needed: floor(h) and ceil(h) with h = (n - 1) p
-    need: dict[int, float | None] = {}
-    for p in probs:
-        h = (n - 1) * p
-        need[int(math.floor(h))] = None
-        need[int(math.ceil(h))] = None
-
-    pending = sorted(need)
-    lo_v, hi_v = None, None      # current bracket for all pending ranks
-    below = 0                     # rows strictly below lo_v
-    sub_count = n
-    eps = 3.0 / accuracy          # rank margin around the approximate values
+    return exact_quantiles_multi(df, {col: probs}, max_values, accuracy, max_rounds)[col]
+
+
+def exact_quantiles_multi(df: DataFrame, wanted: dict[str, list[float]], max_values: int = 100_000,
+                          accuracy: int = 10_000, max_rounds: int = 8) -> dict[str, list[float | None]]:
+    """:func:`exact_quantiles` for several columns.
+
+    Every wanted probability has its own bracket (the two order statistics it
+    interpolates between are adjacent ranks).  Each round is two jobs for all
+    brackets still too wide: approximate bounds, then exact counts below and
+    inside.  The last job orders the values of every bracket, each holding at
+    most ``max_values`` rows, and returns one row per wanted rank.
+    """
+    cols = list(wanted)
+    x = {c: F.col(c).cast("double") for c in cols}
+    ok = {c: x[c].isNotNull() & ~F.isnan(x[c]) for c in cols}
+    ns = df.agg(*[F.count_if(ok[c]).alias(c) for c in cols]).first().asDict()
+    items = []          # one per (column, probability)
+    for c in cols:
+        for p in wanted[c]:
+            n = ns[c]
+            h = (n - 1) * p if n else 0.0
+            items.append(dict(col=c, p=p, h=h, ranks=sorted({int(math.floor(h)), int(math.ceil(h))}),
+                              lo=None, hi=None, below=0, inside=n, widen=1.0, values={}))
+
+    def inside(it):
+        cond = ok[it["col"]]
+        if it["lo"] is not None:
+            cond = cond & (x[it["col"]] >= it["lo"]) & (x[it["col"]] <= it["hi"])
+        return cond
+
     for _ in range(max_rounds):
-        if not pending:
-            break
-        sub = data
-        if lo_v is not None:
-            sub = sub.filter((x >= lo_v) & (x <= hi_v))
-        m = n if lo_v is None else sub_count
-        if m <= max_values:
-            _resolve(sub, pending, below, need)
-            pending = []
-            break
-        # narrow: approximate values at the pending ranks, widened by the
-        # approximation's rank error on both sides
-        rel = [min(max((r - below) / max(m - 1, 1), 0.0), 1.0) for r in pending]
-        qs = sorted({min(max(q - eps, 0.0), 1.0) for q in rel} | {min(max(q + eps, 0.0), 1.0) for q in rel})
-        approx = sub.agg(F.percentile_approx(x, F.array(*[F.lit(q) for q in qs]), accuracy)).first()[0]
-        new_lo, new_hi = min(approx), max(approx)
-        if new_lo == lo_v and new_hi == hi_v:
-            _resolve(sub, pending, below, need)
-            pending = []
+        narrow = [i for i, it in enumerate(items) if ns[it["col"]] and it["inside"] > max_values]
+        if not narrow:
             break
-        counts = data.agg(F.count_if(x < new_lo).alias("b"),
-                          F.count_if((x >= new_lo) & (x <= new_hi)).alias("i")).first()
-        b, i = counts["b"], counts["i"]
-        if b <= pending[0] and b + i > pending[-1]:
-            lo_v, hi_v, below, sub_count = new_lo, new_hi, b, i
-            eps = 3.0 / accuracy
-        else:
-            # the bracket missed a rank: keep the old bracket, widen the margin
-            eps = min(eps * 4, 1.0)
-    if pending:
-        # rounds exhausted: the bracket is as narrow as the approximation gets
-        sub = data if lo_v is None else data.filter((x >= lo_v) & (x <= hi_v))
-        _resolve(sub, pending, below, need)
-
-    out = []
-    for p in probs:
-        h = (n - 1) * p
-        f, c = int(math.floor(h)), int(math.ceil(h))
-        out.append(need[f] + (need[c] - need[f]) * (h - f))
+        aggs = []
+        for i in narrow:
+            it = items[i]
+            m = it["inside"]
+            # just enough accuracy for the bracket to fall under max_values
+            # (rank error m/acc on each side plus margin), capped
+            acc = int(min(accuracy, max(100, 16 * m // max_values + 1)))
+            eps = min(3.0 * it["widen"] / acc, 1.0)
+            rel = [min(max((r - it["below"]) / max(m - 1, 1), 0.0), 1.0) for r in it["ranks"]]
+            qs = [max(min(rel) - eps, 0.0), min(max(rel) + eps, 1.0)]
+            aggs.append(F.percentile_approx(F.when(inside(it), x[it["col"]]), F.array(*[F.lit(q) for q in qs]),
+                                            acc).alias(f"a{i}"))
+        approx = df.agg(*aggs).first().asDict()
+        cnt = []
+        for i in narrow:
+            xc, lo, hi = x[items[i]["col"]], min(approx[f"a{i}"]), max(approx[f"a{i}"])
+            cnt += [F.count_if(ok[items[i]["col"]] & (xc < lo)).alias(f"b{i}"),
+                    F.count_if(ok[items[i]["col"]] & (xc >= lo) & (xc <= hi)).alias(f"i{i}")]
+        counts = df.agg(*cnt).first().asDict()
+        for i in narrow:
+            it = items[i]
+            lo, hi = min(approx[f"a{i}"]), max(approx[f"a{i}"])
+            b, n_in = counts[f"b{i}"], counts[f"i{i}"]
+            if b <= it["ranks"][0] and b + n_in > it["ranks"][-1]:
+                if (lo, hi) == (it["lo"], it["hi"]):
+                    n_in = min(n_in, max_values)     # a single repeated value: nothing left to narrow
+                it.update(lo=lo, hi=hi, below=b, inside=n_in, widen=1.0)
+            else:
+                it["widen"] *= 4                      # missed a rank: widen the margin
+
+    open_items = [i for i, it in enumerate(items) if ns[it["col"]]]
+    if open_items:
+        _resolve_all(df, items, open_items, x, inside)
+
+    out = {c: [] for c in cols}
+    for it in items:
+        if not ns[it["col"]]:
+            out[it["col"]].append(None)
+            continue
+        f, g = int(math.floor(it["h"])), int(math.ceil(it["h"]))
+        vf, vg = it["values"][f], it["values"][g]
+        out[it["col"]].append(vf + (vg - vf) * (it["h"] - f))
     return out
 
 
-def _resolve(sub: DataFrame, ranks: list[int], below: int, need: dict) -> None:
-    """Values at the wanted ranks inside the bracket.
+def _resolve_all(df: DataFrame, items: list[dict], idx: list[int], x: dict, inside) -> None:
+    """Values at the wanted ranks inside each bracket, in one job.
 
-    The bracket holds at most ``max_values`` rows, so ordering its distinct
-    values in one window is bounded; only the rows at the wanted ranks (one
-    per rank) come back to the driver.
+    A bracket holds at most ``max_values`` rows, so ordering its distinct
+    values in one window partition is bounded; only the rows at the wanted
+    ranks come back to the driver.
     """
     from pyspark.sql import Window
-    vc = sub.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    cum = F.sum("c").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)) + F.lit(below)
-    marked = vc.withColumn("hi", cum).withColumn("lo", F.col("hi") - F.col("c"))
+    parts = None
+    for i in idx:
+        it = items[i]
+        vc = (df.filter(inside(it)).groupBy(x[it["col"]].alias("x")).agg(F.count(F.lit(1)).alias("cnt"))
+              .withColumn("item", F.lit(i)))
+        parts = vc if parts is None else parts.unionByName(vc)
+    w = Window.partitionBy("item").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    below = F.create_map(*[v for i in idx for v in (F.lit(i), F.lit(int(items[i]["below"])))])
+    marked = parts.withColumn("hi", F.sum("cnt").over(w) + below[F.col("item")])
+    marked = marked.withColumn("lo", F.col("hi") - F.col("cnt"))
     hit = F.lit(False)
-    for r in ranks:
-        hit = hit | ((F.col("lo") <= r) & (F.lit(r) < F.col("hi")))
-    for row in marked.filter(hit).select("x", "lo", "hi").collect():
-        for r in ranks:
+    for i in idx:
+        for r in items[i]["ranks"]:
+            hit = hit | ((F.col("item") == i) & (F.col("lo") <= r) & (F.lit(r) < F.col("hi")))
+    for row in marked.filter(hit).select("item", "x", "lo", "hi").collect():
+        it = items[row["item"]]
+        for r in it["ranks"]:
             if row["lo"] <= r < row["hi"]:
-                need[r] = row["x"]
+                it["values"][r] = row["x"]

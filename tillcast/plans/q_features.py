@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tillcast.constants import STORE_LAGS
 from tillcast.functions.calendar import add_daily_calendar
 from tillcast.operators import features as FE
@@ -255,13 +257,14 @@ def q_distinct_counts(spark, d):
 
 @register("feature_summary", f"""{STORE_FEAT_SQL}
 select count(*) as row_count, min(Date) as date_min, max(Date) as date_max,
-       ['Date', 'CodeMag', 'Famille', 'Pays', 'sum_Quantite', 'sum_Total', 'nb_lignes'] as "columns"
+       'Date, CodeMag, Famille, Pays, sum_Quantite, sum_Total, nb_lignes' as "columns"
 from mart""")
 def q_feature_summary(spark, d):
     """Row count, date range and column list of the daily mart."""
     from tillcast.sources.sinks import feature_summary
     mart = M.daily_mart(clean_frame(spark, d, MART_COLS), store_country(spark, d))
-    return feature_summary(mart, "Date").select("row_count", "date_min", "date_max", "columns")
+    return feature_summary(mart, "Date").select("row_count", "date_min", "date_max",
+                                                F.array_join("columns", ", ").alias("columns"))
 
 
 @register("family_means", f"""{WEEKLY_V2_SQL}

@@ -238,3 +238,45 @@ def q_model_save_load(spark, d):
     loaded, _ = MD.load_linear(spark, path)
     rows = [("intercept", float(loaded.intercept))] + list(zip(loaded.features, map(float, loaded.coef)))
     return spark.createDataFrame(rows, "term string, coefficient double")
+
+
+# ------------------------------------------------------------------ daily-feature tree models
+
+@register("gbt_store_daily")
+def q_gbt_store_daily(spark, d):
+    """M5 (V2 order and settings) on the store-day features: top families
+    first, then targets >= 2, 17 features, depth 6, patience 50; test rows
+    with predictions (E4 needs y >= 5 rows, reported by ``gbt_store_metrics``)."""
+    from tillcast.operators.features import store_features
+    from tillcast.plans.q_features import MART_COLS
+    from tillcast.sources.tables import store_country
+    feats = materialize(S.top_then_min(store_features(clean_frame(spark, d, MART_COLS), with_dominant=False,
+                                                      stores=store_country(spark, d)), P.TOP_K, 2))
+    s = S.add_split(feats, "Date", P.TEST_CUT)
+    train, test = s.filter("split = 'train'"), s.filter("split = 'test'")
+    model, _ = MD.fit_gbt(train, K.DAILY_FEATURES_17, K.TARGET, max_iter=GBT_ROUNDS, step=0.05, depth=6,
+                          patience=GBT_PATIENCE, date_col="Date")
+    pred = MD.predict_ml(model, test, K.DAILY_FEATURES_17)
+    return rounded(pred.select("Date", "CodeMag", "Famille", "Pays", K.TARGET,
+                               F.when(F.col("prediction") < 0, 0.0).otherwise(F.col("prediction"))
+                               .alias("predicted_Quantite")))
+
+
+@register("gbt_country_daily")
+def q_gbt_country_daily(spark, d):
+    """M6 (V5 settings) on the country-day features: one model per family,
+    15 features, depth 6, guard 50 train / 10 test rows; per-family RMSE,
+    MAPE (y >= 5, null when empty) and R2 with train/test sizes (E8 input)."""
+    from tillcast.operators.features import country_daily_features
+    from tillcast.plans.q_features import CDAY_COLS
+    feats = country_daily_features(clean_frame(spark, d, CDAY_COLS), P.COUNTRY)
+    feats = materialize(S.guard_groups(feats, "Date", P.TEST_CUT, 50, 10))
+    s = S.add_split(feats, "Date", P.TEST_CUT)
+    train, test = s.filter("split = 'train'"), s.filter("split = 'test'")
+    families = [r[0] for r in feats.select("Famille").distinct().orderBy("Famille").collect()]
+    pred = MD.fit_gbt_by_group(train, test, "Famille", K.DAILY_FEATURES_15, K.TARGET, families,
+                               max_iter=GBT_ROUNDS // 2, step=0.05, depth=6, patience=GBT_PATIENCE,
+                               date_col="Date")
+    sizes = S.group_sizes(feats, "Date", P.TEST_CUT, 50, 10).select("Famille", "train_rows", "test_rows")
+    per = EV.per_group_metrics(pred, "Famille", K.TARGET, "prediction", split_sizes=sizes)
+    return rounded(per)

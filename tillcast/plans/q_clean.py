@@ -226,17 +226,4 @@ def q_describe_sales(spark, d):
     aggregate, quartiles by the exact distributed quantile (bounded collects)."""
     pos = materialize(_positive(spark, d, ["Prix"]).select(
         "Quantite", "Prix", (F.col("Prix") * F.col("Quantite")).alias("Revenu")))
-    cols = ["Quantite", "Prix", "Revenu"]
-    aggs = []
-    for c in cols:
-        aggs += [F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"),
-                 F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")]
-    mom = pos.agg(*aggs).first()
-    quart = O.exact_quantiles_multi(pos, {c: [0.25, 0.5, 0.75] for c in cols})
-    rows = []
-    for c in cols:
-        q = quart[c]
-        rows.append((c, mom[f"n_{c}"], mom[f"m_{c}"], mom[f"s_{c}"], mom[f"lo_{c}"], *q, mom[f"hi_{c}"]))
-    schema = ("variable string, count bigint, mean double, std double, min double, p25 double, "
-              "p50 double, p75 double, max double")
-    return rounded(spark.createDataFrame(rows, schema))
+    return rounded(M.describe_exact(pos, ["Quantite", "Prix", "Revenu"]))

@@ -76,6 +76,9 @@ def logical_type(name: str, type_sql: str) -> str:
 
 
 SLOTS = ("v_long", "v_dbl", "v_str", "v_date", "v_ts")
+# slots with a reported range; text has none, and leaving it out keeps the
+# aggregation buffers fixed-width (hash aggregate, not a sort-based one)
+RANGE_SLOTS = ("v_long", "v_dbl", "v_date", "v_ts")
 
 
 def _slot(dt: T.DataType) -> str:
@@ -140,14 +143,14 @@ def column_stats(vc: DataFrame, fields: list[T.StructField]) -> DataFrame:
         F.sum("nb").alias("Total_Lignes"),
         F.sum(F.when(filled, F.col("nb")).otherwise(0)).alias("Valeurs_Remplies"),
         F.count_if(filled).alias("Valeurs_Distinctes"),
-        *[F.min(s).alias(f"min_{s}") for s in SLOTS], *[F.max(s).alias(f"max_{s}") for s in SLOTS],
+        *[F.min(s).alias(f"min_{s}") for s in RANGE_SLOTS], *[F.max(s).alias(f"max_{s}") for s in RANGE_SLOTS],
         (F.sum(x * F.col("nb")) / F.sum(F.when(x.isNotNull(), F.col("nb")))).alias("_mean"))
     # second pass over the (small) group table for a stable variance
     dev = (vc.join(F.broadcast(first.select("ci", "_mean")), "ci")
            .groupBy("ci").agg((F.sum(F.col("nb") * F.pow(x - F.col("_mean"), 2))
                                / F.sum(F.when(x.isNotNull(), F.col("nb")))).alias("_var")))
-    lo = F.coalesce(*[F.col(f"min_{s}").cast("string") for s in SLOTS])
-    hi = F.coalesce(*[F.col(f"max_{s}").cast("string") for s in SLOTS])
+    lo = F.coalesce(*[F.col(f"min_{s}").cast("string") for s in RANGE_SLOTS])
+    hi = F.coalesce(*[F.col(f"max_{s}").cast("string") for s in RANGE_SLOTS])
     return (first.join(F.broadcast(dev), "ci", "left")
             .select("ci", "Total_Lignes", "Valeurs_Remplies", "Valeurs_Distinctes", lo.alias("Min"),
                     hi.alias("Max"), "_mean", F.sqrt(F.greatest(F.col("_var"), F.lit(0.0))).alias("_std")))

@@ -14,12 +14,18 @@ from pyspark.sql import functions as F
 from tillcast.session import materialize
 
 
-# at most this many distinct values are numbered in a single task
-SINGLE_TASK_CODES = 1_000_000
+# at most this many distinct values are numbered in a single task; a table
+# this small (a few MB) is also broadcast when it is joined back
+SINGLE_TASK_CODES = 200_000
 
 
 def code_table(df: DataFrame, col: str, code_col: str | None = None, partitions: int | None = None,
                single_task_limit: int = SINGLE_TASK_CODES) -> DataFrame:
+    return code_table_sized(df, col, code_col, partitions, single_task_limit)[0]
+
+
+def code_table_sized(df: DataFrame, col: str, code_col: str | None = None, partitions: int | None = None,
+                     single_task_limit: int = SINGLE_TASK_CODES) -> tuple[DataFrame, bool]:
     """(value, code) for the distinct non-null values of ``col``.
 
     ``distinct`` is a partial aggregate, so only distinct values are shuffled.
@@ -35,7 +41,7 @@ def code_table(df: DataFrame, col: str, code_col: str | None = None, partitions:
     spark = df.sparkSession
     distinct = df.select(col).filter(F.col(col).isNotNull()).distinct()
     if distinct.limit(single_task_limit + 1).count() <= single_task_limit:
-        return distinct.withColumn(code_col, (F.row_number().over(Window.orderBy(col)) - 1).cast("int"))
+        return distinct.withColumn(code_col, (F.row_number().over(Window.orderBy(col)) - 1).cast("int")), True
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = materialize(distinct.repartitionByRange(n, col).sortWithinPartitions(col)
                           .withColumn("_pid", F.spark_partition_id())
@@ -49,19 +55,23 @@ def code_table(df: DataFrame, col: str, code_col: str | None = None, partitions:
     # monotonically_increasing_id = partition id << 33 + position in partition
     local = F.col("_pos") - F.shiftleft(F.col("_pid").cast("long"), 33)
     return (ordered.join(F.broadcast(off), "_pid")
-            .select(col, (F.col("_off") + local).cast("int").alias(code_col)))
+            .select(col, (F.col("_off") + local).cast("int").alias(code_col))), False
 
 
 def encode(df: DataFrame, col: str, table: DataFrame | None = None,
            code_col: str | None = None) -> DataFrame:
     """Add ``<col>_encoded``; null or unknown values get -1.
 
-    The join is planned as a shuffle join and AQE turns it into a broadcast
-    when the measured code table is under the broadcast threshold.
+    A code table built here and found under the single-task bound is
+    broadcast (its size is checked).  A larger or given table is joined
+    normally, and AQE broadcasts it if it measures small.
     """
     code_col = code_col or f"{col}_encoded"
-    tbl = table if table is not None else code_table(df, col, code_col)
-    joined = df.join(tbl, on=col, how="left")
+    if table is not None:
+        tbl, bounded = table, False
+    else:
+        tbl, bounded = code_table_sized(df, col, code_col)
+    joined = df.join(F.broadcast(tbl) if bounded else tbl, on=col, how="left")
     return joined.withColumn(code_col, F.coalesce(F.col(code_col), F.lit(-1)).cast("int"))
 
 

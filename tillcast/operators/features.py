@@ -19,7 +19,7 @@ from tillcast.constants import (STORE_LAGS, STORE_ROLLING, TARGET, WEEKLY_LAGS_V
 from tillcast.functions.calendar import add_daily_calendar, add_weekly_calendar
 from tillcast.functions.scalars import valid_family
 from tillcast.operators.encode import encode, encode_many
-from tillcast.operators.marts import (country_daily_mart, daily_mart, mart_from_colours,
+from tillcast.operators.marts import (attach_country, country_daily_mart, daily_mart,
                                      store_day_colours, weekly_mart)
 from tillcast.session import materialize as checkpointed
 
@@ -145,15 +145,25 @@ def store_features(clean: DataFrame, with_dominant: bool = True, stores: DataFra
     the join then read it instead of recomputing the fact scan, and lineage
     stops there if an executor is lost.
     """
+    dominant = None
     if with_dominant and stores is not None:
         fine = store_day_colours(clean)
         if materialize:
             fine = checkpointed(fine)
-        mart = mart_from_colours(fine, stores)
-        dominant = dominant_from_counts(fine)
+        # the mart and the dominant colour are both aggregated on
+        # (Date, CodeMag, Famille), so they arrive hash-partitioned alike and
+        # join without another exchange.  A plain equi-join: rows with a null
+        # key get no lags and are dropped below, so null-safe matching
+        # would not change the output.
+        keys = ["Date", "CodeMag", "Famille"]
+        agg = fine.groupBy(*keys).agg(
+            F.sum("sum_Quantite").alias("sum_Quantite"), F.sum("sum_Total").alias("sum_Total"),
+            F.sum("nb_lignes").alias("nb_lignes"))
+        mart = attach_country(agg.join(dominant_from_counts(fine), keys, "left"), stores)
     else:
         mart = daily_mart(clean, stores)
-        dominant = dominant_attribute(clean) if with_dominant else None
+        if with_dominant:
+            dominant = dominant_attribute(clean)
     if materialize:
         mart = checkpointed(mart)
     df = add_daily_calendar(mart)

@@ -175,10 +175,13 @@ def store_features(clean: DataFrame, with_dominant: bool = True, stores: DataFra
     return drop_null(df, [f"lag_{k}" for k in STORE_LAGS])
 
 
-def country_daily_features(clean: DataFrame, country: str) -> DataFrame:
+def country_daily_features(clean: DataFrame, country: str, materialize: bool = True) -> DataFrame:
     """Daily family features for one country: G6 mart, P8, J4 day fill,
-    X1-X5, X10, W1 lags 7/14/28 by Famille, W3 means 7/30, P12."""
+    X1-X5, X10, W1 lags 7/14/28 by Famille, W3 means 7/30, P12.  The mart
+    is materialized once (the fill reads its bounds and its rows)."""
     mart = valid_families(country_daily_mart(clean, country))
+    if materialize:
+        mart = checkpointed(mart)
     df = calendar_fill(mart)
     df = add_daily_calendar(df)
     df = encode(df, "Famille")
@@ -186,10 +189,13 @@ def country_daily_features(clean: DataFrame, country: str) -> DataFrame:
     return drop_null(df, [f"lag_{k}" for k in STORE_LAGS] + [f"rolling_mean_{k}" for k in STORE_ROLLING])
 
 
-def weekly_features_v1(clean: DataFrame, country: str | None) -> DataFrame:
+def weekly_features_v1(clean: DataFrame, country: str | None, materialize: bool = True) -> DataFrame:
     """Weekly family features v1: G7 mart, month/quarter/X6, X10, lags 1/2/4,
     W3 means 4/12, then P13 (a null in any column drops the row)."""
-    df = add_weekly_calendar(weekly_mart(clean, country), with_high_season=False)
+    mart = weekly_mart(clean, country)
+    if materialize:
+        mart = checkpointed(mart)       # read by the code table and the windows
+    df = add_weekly_calendar(mart, with_high_season=False)
     df = encode(df, "Famille")
     df = add_lag_features(df, ["Famille"], ["year", "week_of_year"], WEEKLY_LAGS_V1, WEEKLY_ROLLING,
                           full_windows=True)
@@ -198,10 +204,13 @@ def weekly_features_v1(clean: DataFrame, country: str | None) -> DataFrame:
 
 def weekly_features_v2(clean: DataFrame, country: str | None,
                        summer_families: list[str] | None = None,
-                       winter_families: list[str] | None = None) -> DataFrame:
+                       winter_families: list[str] | None = None, materialize: bool = True) -> DataFrame:
     """Weekly family features v2: v1 plus X7 ``is_high_season`` and ``lag_52``;
     P12 on the core columns, then W6 fills ``lag_52`` from ``rolling_mean_12``."""
-    df = add_weekly_calendar(weekly_mart(clean, country), with_high_season=True,
+    mart = weekly_mart(clean, country)
+    if materialize:
+        mart = checkpointed(mart)       # read by the code table and the windows
+    df = add_weekly_calendar(mart, with_high_season=True,
                              summer_families=summer_families, winter_families=winter_families)
     df = encode(df, "Famille")
     df = add_lag_features(df, ["Famille"], ["year", "week_of_year"], WEEKLY_LAGS_V2, WEEKLY_ROLLING,

@@ -83,5 +83,6 @@ def clean_frame(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
     need = None
     if columns is not None:
         need = list(dict.fromkeys(list(columns) + ["TypeVente", "Date", "Prix", "Quantite"]))
-    df = clean_sales(sales(spark, sf_dir, need), **P.clean_bounds())
+    # the clean filter keeps Date >= MIN_DATE only, so the scan can skip older ship dates
+    df = clean_sales(sales(spark, sf_dir, need, shipped_from=P.MIN_DATE), **P.clean_bounds())
     return df if columns is None else df.select(*columns)

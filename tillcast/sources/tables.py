@@ -66,11 +66,17 @@ def store_country(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("s_suppkey").alias("CodeMag"), F.col("r_name").alias("Pays")))
 
 
-def sales(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+def sales(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,
+          shipped_from: str | None = None) -> DataFrame:
     """The sales fact (``histovente``) with the columns asked for.
 
     Column types: Date/Reception date; TypeVente, Famille, ArFamille, ArCouleur,
     Saison, Pays string; CodeMag, CodeArticle long; Prix, Quantite, Total double.
+
+    ``shipped_from`` keeps only lines shipped on or after that day, as a filter
+    on the lineitem column itself so it reaches the Parquet scan.  Give it when
+    a later filter needs ``Date >= shipped_from`` anyway (Date is the ship
+    date or null), as the cleaning filter does.
     """
     wanted = list(columns) if columns else list(SALES_COLUMNS)
     unknown = set(wanted) - set(SALES_COLUMNS)
@@ -78,6 +84,8 @@ def sales(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) ->
         raise ValueError(f"unknown sales columns: {sorted(unknown)}")
 
     li = read_table(spark, sf_dir, "lineitem")
+    if shipped_from is not None:
+        li = li.filter(F.col("l_shipdate") >= F.lit(shipped_from).cast("timestamp_ntz"))
     df = li.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.when(F.col("l_linenumber") == 7, F.lit(None).cast("date"))

@@ -108,6 +108,14 @@ def long_predictions(preds: DataFrame, keys: list[str], y: str, models: dict[str
     return stacked.unpivot([*keys, y], list(models), "model", "p")
 
 
+def wide_predictions(long: DataFrame, keys: list[str], y: str, models: list[str]) -> DataFrame:
+    """Long (keys, y, model, p) -> one row per key with ``pred_<model>``
+    columns.  The model list is given, so the pivot needs no distinct job and
+    its width is fixed."""
+    wide = long.groupBy(*keys, y).pivot("model", models).agg(F.first("p"))
+    return wide.select(*keys, y, *[F.col(f"`{m}`").alias(f"pred_{m}") for m in models])
+
+
 def compare_models(long: DataFrame, y: str = "y") -> DataFrame:
     """E9 + K7: one row per model (RMSE, WMAPE, R2), ranked by WMAPE."""
     return evaluate(long, y=y, p="p", by=["model"]).orderBy(F.asc("WMAPE"), F.asc("model"))

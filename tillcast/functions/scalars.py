@@ -34,8 +34,9 @@ def revenue(prix: str | Column = "Prix", quantite: str | Column = "Quantite") ->
 
 
 def round_to(x: str | Column, digits: int) -> Column:
-    """Round a double to ``digits`` decimals as ``round(x * 10^d) / 10^d``
-    (half away from zero on the binary value).  Spark's ``round`` rounds the
+    """X14 + N11: round a double to ``digits`` decimals as ``round(x * 10^d) / 10^d``
+    (half away from zero on the binary value; the reference mixes Python's
+    half-even and MySQL's half-up, which differ only on exact ties).  Spark's ``round`` rounds the
     shortest decimal text of the double instead, which differs from other
     engines on values such as 1060.2115625; this form gives the same bits as
     DuckDB's ``round``."""

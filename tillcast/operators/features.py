@@ -112,7 +112,8 @@ def dominant_attribute(clean: DataFrame, keys: tuple[str, ...] = ("Date", "CodeM
 
 def dominant_from_counts(pairs: DataFrame, keys: tuple[str, ...] = ("Date", "CodeMag", "Famille"),
                          attr: str = "ArCouleur", second: str = "ArFamille", count: str = "nb_lignes") -> DataFrame:
-    """G24 from per-pair row counts (one row per key and pair)."""
+    """G24 from per-pair row counts (one row per key and pair); the winning
+    pair is renamed (P2) to ``dominant_couleur`` / ``dominant_sfamille``."""
     pairs = (pairs.filter(F.col(attr).isNotNull() & (F.col(attr) != ""))
              .select(*keys, attr, second, F.col(count).alias("nb")))
     best = pairs.groupBy(*keys).agg(

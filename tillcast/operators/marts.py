@@ -139,8 +139,8 @@ def top_days(series: DataFrame, value: str = "Quantite", n: int = 10) -> DataFra
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Count, mean, sample std, min, exact 25/50/75 % (linear
-    interpolation), max; one row per column.
+    """Count, mean, sample std (N10: pandas ``describe``), min, exact
+    25/50/75 % (linear interpolation), max; one row per column.
 
     For a frame keyed by day (a daily series) the exact ``percentile``
     aggregate is bounded by the number of days.  For raw fact columns use

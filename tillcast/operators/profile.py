@@ -136,7 +136,8 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def column_stats(vc: DataFrame, fields: list[T.StructField]) -> DataFrame:
     """Per column index, from the typed value counts: total rows, filled,
-    distinct, min, max (as text), mean and population std of numbers."""
+    distinct, min, max (as text), mean and population std of numbers (N10:
+    MySQL's ``STD()`` is the population deviation)."""
     x = F.coalesce(F.col("v_long").cast("double"), F.col("v_dbl"))
     filled = _non_null()
     first = vc.groupBy("ci").agg(
@@ -278,7 +279,8 @@ def profile_summary(profile: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def dimension_profile(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None,
                       top_n: int = 10) -> DataFrame:
-    """G20 + X22: one row per (table, column): filled, nulls, percent null,
+    """G20 + X22 + U1 (union of the per-table results by name): one row per
+    (table, column): filled, nulls, percent null,
     distinct, top values ``"v (n)"`` and a remark.  A listed column missing
     from its table gives a row with an error text (``Erreur``)."""
     parts = []

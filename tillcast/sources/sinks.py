@@ -12,8 +12,9 @@ def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = Non
     """Create-or-replace a table as Parquet (``CREATE TABLE AS``, drop if exists).
 
     ``partition_by`` gives directory partitions (e.g. year) for later pruning;
-    ``sort_within`` sorts rows inside each file so min/max statistics skip row
-    groups.  The write is one job; a lost executor re-runs only its tasks.
+    ``sort_within`` sorts rows inside each file (K9: the reference's full sort
+    by keys is only needed here, windows sort their own partitions) so min/max
+    statistics skip row groups.  The write is one job; a lost executor re-runs only its tasks.
     """
     writer_df = df.sortWithinPartitions(*sort_within) if sort_within else df
     writer = writer_df.write.mode("overwrite")

@@ -188,3 +188,12 @@ def test_round_to_matches_binary_rounding(spark):
     exp = [math.floor(v * 100 + 0.5) / 100 if v >= 0 else -math.floor(-v * 100 + 0.5) / 100
            for v in (33926.77 / 32, 2.675, -1.005)]
     assert got == exp
+
+
+def test_lookup_splits_unknown(spark):
+    from tillcast.operators.encode import lookup
+    table = spark.createDataFrame([("A", 0), ("B", 1)], "Famille string, Famille_encoded int")
+    df = spark.createDataFrame([("A", 1.0), ("Z", 2.0), ("B", 3.0)], "Famille string, v double")
+    known, unknown = lookup(df, table, "Famille", "Famille_encoded")
+    assert sorted((r["Famille"], r["Famille_encoded"]) for r in known.collect()) == [("A", 0), ("B", 1)]
+    assert [r["Famille"] for r in unknown.collect()] == ["Z"] and "Famille_encoded" not in unknown.columns

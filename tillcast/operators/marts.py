@@ -58,14 +58,6 @@ def store_day_colours(clean: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("nb_lignes"))
 
 
-def mart_from_colours(fine: DataFrame, stores: DataFrame) -> DataFrame:
-    """G5 from :func:`store_day_colours` (sums of partial sums)."""
-    agg = fine.groupBy("Date", "CodeMag", "Famille").agg(
-        F.sum("sum_Quantite").alias("sum_Quantite"), F.sum("sum_Total").alias("sum_Total"),
-        F.sum("nb_lignes").alias("nb_lignes"))
-    return attach_country(agg, stores)
-
-
 def country_daily_mart(clean: DataFrame, country: str) -> DataFrame:
     """``hv_france_daily`` by Date, Famille for one country, with the
     number of distinct stores that sold (``nb_magasins``)."""

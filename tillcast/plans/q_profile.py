@@ -188,3 +188,21 @@ from e"""
 def q_profile_dims(spark, d):
     tables = {t: read_table(spark, d, t) for t in DIM_TABLES}
     return PR.dimension_profile(tables, DIM_COLUMNS, top_n=10)
+
+
+@register("profile_nulls", f"""with prof as ({PROFILE_SQL})
+select Colonne, Pct_NULL from prof where Pct_NULL > 10""")
+def q_profile_nulls(spark, d):
+    """Columns with more than 10 % nulls, most null first."""
+    _, nulls = PR.profile_summary(_lineitem_profile(spark, d))
+    return nulls
+
+
+@register("profile_median", " union all ".join(
+    f"select '{c}' as Colonne, round(quantile_cont({c}, 0.5), 6) as Mediane from lineitem" for c in _cols("numeric")))
+def q_profile_median(spark, d):
+    """G17 with the median the reference skips: exact medians of lineitem's
+    numeric columns by the distributed quantile."""
+    from tillcast.plans.catalog import rounded
+    prof = PR.column_profile(read_table(spark, d, "lineitem"), columns=_cols("numeric"), median=True)
+    return rounded(prof.select("Colonne", "Mediane"))

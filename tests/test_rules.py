@@ -197,3 +197,10 @@ def test_lookup_splits_unknown(spark):
     known, unknown = lookup(df, table, "Famille", "Famille_encoded")
     assert sorted((r["Famille"], r["Famille_encoded"]) for r in known.collect()) == [("A", 0), ("B", 1)]
     assert [r["Famille"] for r in unknown.collect()] == ["Z"] and "Famille_encoded" not in unknown.columns
+
+
+def test_clean_collation_option(spark):
+    rows = [("VENTE", dt.date(2023, 1, 1), 10.0, 2.0), ("vente ", dt.date(2023, 1, 1), 10.0, 2.0)]
+    df = spark.createDataFrame(rows, "TypeVente string, Date date, Prix double, Quantite double")
+    assert C.clean_sales(df).count() == 1
+    assert df.filter(C.clean_predicate(collation="UTF8_LCASE_RTRIM")).count() == 2

@@ -23,9 +23,14 @@ def drop_columns(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 def clean_predicate(min_date: str = CLEAN_MIN_DATE,
                     prix_range: tuple[float, float] = CLEAN_PRIX_RANGE,
                     quantite_range: tuple[float, float] = CLEAN_QUANTITE_RANGE,
-                    sale_type: str = CLEAN_SALE_TYPE) -> Column:
-    """P3 as one boolean column (null rows fail, as in SQL WHERE)."""
-    return ((F.col("TypeVente") == sale_type)
+                    sale_type: str = CLEAN_SALE_TYPE, collation: str | None = None) -> Column:
+    """P3 as one boolean column (null rows fail, as in SQL WHERE).
+
+    Text equality is case-sensitive (Spark's default); ``collation`` (e.g.
+    ``"UTF8_LCASE_RTRIM"``) compares like a case-insensitive MySQL collation
+    that ignores trailing spaces (N8)."""
+    sale = F.col("TypeVente") if collation is None else F.collate(F.col("TypeVente"), collation)
+    return ((sale == sale_type)
             & F.col("Date").isNotNull()
             & (F.col("Date") >= F.lit(min_date).cast("date"))
             & F.col("Prix").between(prix_range[0], prix_range[1])

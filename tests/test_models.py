@@ -155,3 +155,15 @@ def test_save_load_linear(spark, tmp_path):
     MD.save_linear(m, spark, str(tmp_path / "m"), codes)
     m2, c2 = MD.load_linear(spark, str(tmp_path / "m"))
     assert m2.coef == m.coef and m2.intercept == m.intercept and c2.count() == 1
+
+
+def test_score_null_request_fields(spark):
+    from tillcast.operators.scoring import REQUEST_SCHEMA
+    codes = spark.createDataFrame([("A", 0)], "Famille string, Famille_encoded int")
+    supported = spark.createDataFrame([("A",)], "Famille string")
+    req = spark.createDataFrame([(None, 2024, 10, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0),
+                                 ("A", None, 10, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)], REQUEST_SCHEMA)
+    out = score(req, _model(), codes, supported).collect()
+    assert all(r["error"] is not None and r["predicted_quantity"] is None for r in out)
+    assert sorted(r["error"] for r in out) == ["Famille 'None' not supported. Choose from: ['A']",
+                                               "Invalid ISO week: None-W10"]

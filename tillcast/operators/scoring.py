@@ -49,11 +49,13 @@ def score(requests: DataFrame, model: LinearModel, codes: DataFrame, supported:
     df = df.withColumn("is_high_season", high_season("famille", "is_summer", "is_winter",
                                                      summer_families, winter_families))
     unknown = F.col("_known").isNull()
-    error = (F.when(unknown, F.concat(F.lit("Famille '"), F.col("famille"),
+
+    def text(c):       # a missing value prints as None, as in the reference's messages
+        return F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    error = (F.when(unknown, F.concat(F.lit("Famille '"), text("famille"),
                                       F.lit("' not supported. Choose from: "), F.col("_choices")))
              .when(F.col("_monday").isNull(), F.concat(
-                 F.lit("Invalid ISO week: "), F.col("year").cast("string"), F.lit("-W"),
-                 F.col("week_of_year").cast("string"))))
+                 F.lit("Invalid ISO week: "), text("year"), F.lit("-W"), text("week_of_year"))))
     pred: Column = round_to(clip_zero(model.predict_col()), 2)
     return df.select("famille", "year", "week_of_year",
                      F.when(error.isNull(), pred).alias("predicted_quantity"), error.alias("error"))

@@ -162,8 +162,9 @@ def test_score_null_request_fields(spark):
     codes = spark.createDataFrame([("A", 0)], "Famille string, Famille_encoded int")
     supported = spark.createDataFrame([("A",)], "Famille string")
     req = spark.createDataFrame([(None, 2024, 10, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0),
-                                 ("A", None, 10, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)], REQUEST_SCHEMA)
+                                 ("A", None, 10, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0),
+                                 ("A", 2024, 10, 1.0, 1.0, None, 1.0, 1.0, 1.0)], REQUEST_SCHEMA)
     out = score(req, _model(), codes, supported).collect()
     assert all(r["error"] is not None and r["predicted_quantity"] is None for r in out)
     assert sorted(r["error"] for r in out) == ["Famille 'None' not supported. Choose from: ['A']",
-                                               "Invalid ISO week: None-W10"]
+                                               "Invalid ISO week: None-W10", "Missing value: lag_4"]

@@ -20,6 +20,7 @@ from tillcast.operators.models import LinearModel
 REQUEST_SCHEMA = ("famille string, year int, week_of_year int, lag_1 double, lag_2 double, lag_4 double, "
                   "lag_52 double, rolling_mean_4 double, rolling_mean_12 double")
 PREDICTION_COLUMNS = ["famille", "year", "week_of_year", "predicted_quantity"]
+REQUEST_NUMBERS = ["lag_1", "lag_2", "lag_4", "lag_52", "rolling_mean_4", "rolling_mean_12"]
 
 
 def family_choices(supported: DataFrame, key: str = "Famille") -> DataFrame:
@@ -52,10 +53,14 @@ def score(requests: DataFrame, model: LinearModel, codes: DataFrame, supported:
 
     def text(c):       # a missing value prints as None, as in the reference's messages
         return F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    # a request must carry every lag value (the reference's request schema
+    # declares them all as required numbers)
+    missing = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUEST_NUMBERS])
     error = (F.when(unknown, F.concat(F.lit("Famille '"), text("famille"),
                                       F.lit("' not supported. Choose from: "), F.col("_choices")))
              .when(F.col("_monday").isNull(), F.concat(
-                 F.lit("Invalid ISO week: "), text("year"), F.lit("-W"), text("week_of_year"))))
+                 F.lit("Invalid ISO week: "), text("year"), F.lit("-W"), text("week_of_year")))
+             .when(missing.isNotNull(), F.concat(F.lit("Missing value: "), missing)))
     pred: Column = round_to(clip_zero(model.predict_col()), 2)
     return df.select("famille", "year", "week_of_year",
                      F.when(error.isNull(), pred).alias("predicted_quantity"), error.alias("error"))

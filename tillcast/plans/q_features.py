@@ -281,3 +281,25 @@ def q_schema_lookup(spark, d):
     from tillcast.sources.sinks import schema_table
     from tillcast.sources.tables import read_table
     return schema_table(spark, read_table(spark, d, "lineitem"))
+
+
+@register("mart_daily_by_year", f"""{MART_SQL}
+select Date, CodeMag, Famille, Pays, round(sum_Quantite, 6) as sum_Quantite,
+       round(sum_Total, 6) as sum_Total, nb_lignes, cast(year(Date) as integer) as year
+from mart where year(Date) >= 1998""")
+def q_mart_daily_by_year(spark, d):
+    """S4 + the mart layout of SURVEY 4: the daily mart written as Parquet
+    partitioned by year and sorted by (Famille, Date) inside files, in the
+    checkpoint folder; read back with a year filter, which prunes partitions
+    (``PartitionFilters`` in the scan) instead of reading every file."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from tillcast.session import checkpoint_dir
+    from tillcast.sources.sinks import replace_table
+    path = f"{checkpoint_dir(spark).rstrip('/')}/mart-daily-{uuid.uuid4().hex}"
+    mart = M.daily_mart(clean_frame(spark, d, MART_COLS), store_country(spark, d))
+    replace_table(mart.withColumn("year", F.year("Date")), path, partition_by=["year"],
+                  sort_within=["Famille", "Date"])
+    return rounded(spark.read.parquet(path).filter(F.col("year") >= 1998))

@@ -86,7 +86,7 @@ def exact_quantiles_multi(df: DataFrame, wanted: dict[str, list[float]], max_val
             m = it["inside"]
             # just enough accuracy for the bracket to fall under max_values
             # (rank error m/acc on each side plus margin), capped
-            acc = int(min(accuracy, max(100, 16 * m // max_values + 1)))
+            acc = int(min(accuracy, max(1000, 16 * m // max_values + 1)))
             eps = min(3.0 * it["widen"] / acc, 1.0)
             rel = [min(max((r - it["below"]) / max(m - 1, 1), 0.0), 1.0) for r in it["ranks"]]
             qs = [max(min(rel) - eps, 0.0), min(max(rel) + eps, 1.0)]
@@ -133,12 +133,12 @@ def _resolve_all(df: DataFrame, items: list[dict], idx: list[int], x: dict, insi
     ranks come back to the driver.
     """
     from pyspark.sql import Window
-    parts = None
-    for i in idx:
-        it = items[i]
-        vc = (df.filter(inside(it)).groupBy(x[it["col"]].alias("x")).agg(F.count(F.lit(1)).alias("cnt"))
-              .withColumn("item", F.lit(i)))
-        parts = vc if parts is None else parts.unionByName(vc)
+    # one scan: each value is emitted once for every bracket it falls in
+    # (brackets of one column may overlap), then counted per (bracket, value)
+    recs = F.array(*[F.when(inside(items[i]), F.struct(F.lit(i).alias("item"), x[items[i]["col"]].alias("x")))
+                     for i in idx])
+    parts = (df.select(F.explode(recs).alias("r")).filter(F.col("r").isNotNull())
+             .select("r.item", "r.x").groupBy("item", "x").agg(F.count(F.lit(1)).alias("cnt")))
     w = Window.partitionBy("item").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     below = F.create_map(*[v for i in idx for v in (F.lit(i), F.lit(int(items[i]["below"])))])
     marked = parts.withColumn("hi", F.sum("cnt").over(w) + below[F.col("item")])

@@ -263,6 +263,8 @@ def fit_gbt_by_group(train: DataFrame, test: DataFrame, key: str, features: list
         model, _ = fit_gbt(tr, features, target, **gbt_args)
         return predict_ml(model, te, features)
 
+    if not families:
+        return test.limit(0).withColumn("prediction", F.lit(None).cast("double"))
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         preds = list(pool.map(one, families))
     out = preds[0]

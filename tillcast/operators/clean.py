@@ -38,7 +38,7 @@ def clean_predicate(min_date: str = CLEAN_MIN_DATE,
 
 
 def clean_sales(df: DataFrame, drop: list[str] | None = None, **bounds) -> DataFrame:
-    """P1 + P3: ``histovente`` -> ``histovente_clean_v1``."""
+    """P1 + P3: the raw sales fact -> the cleaned sales fact."""
     return drop_columns(df, drop).filter(clean_predicate(**bounds))
 
 

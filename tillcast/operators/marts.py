@@ -27,7 +27,7 @@ def overview(df: DataFrame) -> DataFrame:
 
 
 def daily_mart(clean: DataFrame, stores: DataFrame | None = None) -> DataFrame:
-    """``hv_daily_aggregated`` by Date, CodeMag, Famille, Pays.
+    """The store-day mart by Date, CodeMag, Famille, Pays.
 
     With ``stores`` (CodeMag -> Pays) the fact is aggregated by Date,
     CodeMag, Famille first and the country is attached to the aggregate: the
@@ -59,7 +59,7 @@ def store_day_colours(clean: DataFrame) -> DataFrame:
 
 
 def country_daily_mart(clean: DataFrame, country: str) -> DataFrame:
-    """``hv_france_daily`` by Date, Famille for one country, with the
+    """The one-country day mart by Date, Famille, with the
     number of distinct stores that sold (``nb_magasins``)."""
     return (clean.filter(F.col("Pays") == country)
             .groupBy("Date", "Famille").agg(
@@ -69,7 +69,7 @@ def country_daily_mart(clean: DataFrame, country: str) -> DataFrame:
 
 
 def weekly_mart(clean: DataFrame, country: str | None = None) -> DataFrame:
-    """``hv_france_weekly`` by Famille and ISO week.
+    """The weekly mart by Famille and ISO week.
 
     Rows are grouped on the week's Monday; ``year`` is the ISO year and
     ``week_of_year`` the ISO week of that Monday, so 2022-01-01 falls in

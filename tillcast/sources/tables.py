@@ -68,7 +68,7 @@ def store_country(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sales(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,
           shipped_from: str | None = None) -> DataFrame:
-    """The sales fact (``histovente``) with the columns asked for.
+    """The sales fact (one row per ticket line) with the columns asked for.
 
     Column types: Date/Reception date; TypeVente, Famille, ArFamille, ArCouleur,
     Saison, Pays string; CodeMag, CodeArticle long; Prix, Quantite, Total double.

@@ -303,3 +303,12 @@ def q_mart_daily_by_year(spark, d):
     replace_table(mart.withColumn("year", F.year("Date")), path, partition_by=["year"],
                   sort_within=["Famille", "Date"])
     return rounded(spark.read.parquet(path).filter(F.col("year") >= 1998))
+
+
+@register("table_check", """select 'sales_lines' as "table", true as "exists", count(*) as row_count from lineitem""")
+def q_table_check(spark, d):
+    """A catalog view over the fact lines exists and its row count."""
+    from tillcast.sources.sinks import table_check
+    from tillcast.sources.tables import read_table
+    read_table(spark, d, "lineitem").createOrReplaceTempView("sales_lines")
+    return table_check(spark, "sales_lines")

@@ -204,3 +204,12 @@ def test_clean_collation_option(spark):
     df = spark.createDataFrame(rows, "TypeVente string, Date date, Prix double, Quantite double")
     assert C.clean_sales(df).count() == 1
     assert df.filter(C.clean_predicate(collation="UTF8_LCASE_RTRIM")).count() == 2
+
+
+def test_sample_rows_stable_under_repartition(spark):
+    df = spark.range(20000).withColumnRenamed("id", "k")
+    a = {r[0] for r in C.sample_rows(df, 0.1, seed=7, keys=["k"]).collect()}
+    b = {r[0] for r in C.sample_rows(df.repartition(13), 0.1, seed=7, keys=["k"]).collect()}
+    assert a == b and 1700 < len(a) < 2300
+    other = {r[0] for r in C.sample_rows(df, 0.1, seed=8, keys=["k"]).collect()}
+    assert other != a

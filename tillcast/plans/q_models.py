@@ -43,7 +43,7 @@ def weekly_tables(spark, d):
     """(v2 features, high-volume subset), the first written once to the
     checkpoint folder: fits, predictions, code table and requests all read it."""
     v2 = materialize(weekly_v2(spark, d))
-    return v2, S.high_volume(v2, P.threshold(d), P.EXCLUDE)
+    return v2, S.high_volume(v2, P.threshold(spark, d), P.EXCLUDE)
 
 
 def ridge_global_parts(spark, d, standardize=True, tables=None):

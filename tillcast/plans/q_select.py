@@ -55,7 +55,7 @@ def _wmape_pos_sql(y, p):
 
 
 def hv_frame(spark, d):
-    return S.high_volume(weekly_v2(spark, d), P.threshold(d), P.EXCLUDE)
+    return S.high_volume(weekly_v2(spark, d), P.threshold(spark, d), P.EXCLUDE)
 
 
 def naive_frame(spark, d, parity: bool = False):

@@ -168,3 +168,23 @@ def test_score_null_request_fields(spark):
     assert all(r["error"] is not None and r["predicted_quantity"] is None for r in out)
     assert sorted(r["error"] for r in out) == ["Famille 'None' not supported. Choose from: ['A']",
                                                "Invalid ISO week: None-W10", "Missing value: lag_4"]
+
+
+def test_gbt_stops_on_given_validation(spark):
+    rng = np.random.default_rng(2)
+    x = rng.uniform(0, 10, 300)
+    pdf = pd.DataFrame({"x": x, "y": np.sin(x) * 10 + rng.normal(size=300)})
+    train, valid = spark.createDataFrame(pdf[:200]), spark.createDataFrame(pdf[200:])
+    model, rounds = MD.fit_gbt(train, ["x"], "y", max_iter=40, step=0.5, depth=4, patience=5, validation=valid)
+    assert 1 <= rounds <= 40 and model.getNumTrees == rounds
+
+
+def test_high_volume_train_only_means(spark):
+    from tillcast.operators.select import high_volume
+    rows = [("A", dt.date(2020, 1, 1), 10.0), ("A", dt.date(2025, 1, 1), 1000.0),
+            ("B", dt.date(2020, 1, 1), 600.0), ("B", dt.date(2025, 1, 1), 600.0)]
+    df = spark.createDataFrame(rows, "Famille string, week_start date, sum_Quantite double")
+    leaky = {r[0] for r in high_volume(df, 500, []).select("Famille").distinct().collect()}
+    clean = {r[0] for r in high_volume(df, 500, [], means_before=("week_start", "2024-01-01"))
+             .select("Famille").distinct().collect()}
+    assert leaky == {"A", "B"} and clean == {"B"}

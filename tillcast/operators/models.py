@@ -204,7 +204,8 @@ def best_round(errors: list[float], patience: int) -> int:
 
 def fit_gbt(train: DataFrame, features: list[str], target: str, max_iter: int = 100,
             step: float = 0.05, depth: int = 5, seed: int = GBT_SEED, patience: int | None = None,
-            date_col: str | None = None, valid_fraction: float = 0.2):
+            date_col: str | None = None, valid_fraction: float = 0.2,
+            validation: DataFrame | None = None):
     """M5: gradient-boosted trees (squared loss), subsample 0.8, 0.8 of the
     features per split, seed 42.
 
@@ -213,7 +214,10 @@ def fit_gbt(train: DataFrame, features: list[str], target: str, max_iter: int =
     best round under the patience rule is read from the per-round validation
     error, and the model is refitted on the whole training set with that many
     rounds (the tree sequence is the same for one seed).
-    Returns (model, rounds).
+
+    ``validation`` gives the stopping set explicitly; passing the test rows
+    reproduces the reference's early stopping on the test set (a leak, for
+    parity runs only).  Returns (model, rounds).
     """
     # the fit, the validation pass and the refit all read the same frame
     data = assemble(train, features).persist()
@@ -223,7 +227,10 @@ def fit_gbt(train: DataFrame, features: list[str], target: str, max_iter: int =
                             subsamplingRate=SUBSAMPLE, featureSubsetStrategy=str(COLSAMPLE), seed=seed,
                             lossType="squared")
     rounds = max_iter
-    if patience is not None and date_col is not None:
+    if patience is not None and validation is not None:
+        probe = make(max_iter).fit(data)
+        rounds = best_round(probe.evaluateEachIteration(assemble(validation, features), "squared"), patience)
+    elif patience is not None and date_col is not None:
         cut = data.agg(F.percentile_approx(F.col(date_col).cast("timestamp").cast("long"),
                                            F.lit(1 - valid_fraction))).first()[0]
         ts = F.col(date_col).cast("timestamp").cast("long")

@@ -47,11 +47,16 @@ def exclude_families(df: DataFrame, names: list[str] | None = None, key: str = "
 
 
 def high_volume(df: DataFrame, threshold: float = MIN_MEAN_WEEKLY_SALES,
-                exclude: list[str] | None = None, target: str = TARGET, key: str = "Famille") -> DataFrame:
-    """Families whose mean target over all their rows is at least the
-    threshold, then P11.  (The reference takes the mean over train and test
-    rows together; kept as is.)"""
-    means = df.groupBy(key).agg(F.avg(target).alias("_m")).filter(F.col("_m") >= threshold).select(key)
+                exclude: list[str] | None = None, target: str = TARGET, key: str = "Famille",
+                means_before: tuple[str, str] | None = None) -> DataFrame:
+    """Families whose mean target is at least the threshold, then P11.
+
+    By default the mean is over all rows of the family, train and test
+    together, as the reference does (its registered queries compare against
+    that).  ``means_before=(date_col, cut)`` takes the mean over the rows
+    before the test cut only, which keeps test weeks out of the selection."""
+    rows = df if means_before is None else df.filter(F.col(means_before[0]) < F.lit(means_before[1]).cast("date"))
+    means = rows.groupBy(key).agg(F.avg(target).alias("_m")).filter(F.col("_m") >= threshold).select(key)
     return exclude_families(keep_families(df, means, key), exclude, key)
 
 

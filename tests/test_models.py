@@ -188,3 +188,21 @@ def test_high_volume_train_only_means(spark):
     clean = {r[0] for r in high_volume(df, 500, [], means_before=("week_start", "2024-01-01"))
              .select("Famille").distinct().collect()}
     assert leaky == {"A", "B"} and clean == {"B"}
+
+
+def test_stream_several_micro_batches(spark, tmp_path):
+    from tillcast.streaming.scoring_stream import start_scoring
+    codes = spark.createDataFrame([("A", 0), ("B", 1)], "Famille string, Famille_encoded int")
+    supported = spark.createDataFrame([("A",), ("B",)], "Famille string")
+    req = _requests(spark)
+    for i, part in enumerate(req.collect()):       # one file per request -> one micro-batch each
+        spark.createDataFrame([part], req.schema).write.parquet(str(tmp_path / "req" / f"f{i}"))
+    q = start_scoring(spark, str(tmp_path / "req" / "*"), str(tmp_path / "out"), _model(), codes, supported,
+                      name="test_stream_many", max_files_per_trigger=1, summer_families=["A"],
+                      winter_families=["B"])
+    q.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out" / "predictions"))
+    assert out.select("batch_id").distinct().count() >= 2
+    batch, rejects = split_scored(score(req, _model(), codes, supported, ["A"], ["B"]))
+    assert sorted(map(tuple, out.drop("batch_id").collect())) == sorted(map(tuple, batch.collect()))
+    assert spark.read.parquet(str(tmp_path / "out" / "rejects")).count() == rejects.count()

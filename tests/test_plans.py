@@ -49,3 +49,11 @@ def test_store_features_window_needs_one_exchange(spark):
     assert any("Window" in ln for ln in main)
     assert sum("Exchange" in ln for ln in main) == 1      # the window's, after the materialized mart
     assert not any("SortMergeJoin" in ln for ln in main)
+
+
+def test_per_family_ridge_python_sees_aggregates_only(spark):
+    df = E.queries()["ridge_per_family"](spark, SF_SMALL)
+    tree = plan(df).split("\n\n")[0].splitlines()
+    i = next(k for k, ln in enumerate(tree) if "MapInPandas" in ln)
+    below = tree[i + 1:i + 4]
+    assert any("HashAggregate" in ln or "ObjectHashAggregate" in ln or "SortAggregate" in ln for ln in below)

@@ -25,12 +25,13 @@ def request_stream(spark: SparkSession, source: str, fmt: str = "parquet",
 
 def start_scoring(spark: SparkSession, source: str, sink: str, model: LinearModel, codes: DataFrame,
                   supported: DataFrame, name: str = "scoring", fmt: str = "parquet",
-                  available_now: bool = True, **score_args):
+                  available_now: bool = True, max_files_per_trigger: int | None = None, **score_args):
     """Start the stream: each micro-batch is scored and its predictions and
     rejects are written under ``<sink>/predictions`` and ``<sink>/rejects``,
     partitioned by ``batch_id``.
     Returns the StreamingQuery."""
-    scored = score(request_stream(spark, source, fmt), model, codes, supported, **score_args)
+    scored = score(request_stream(spark, source, fmt, max_files_per_trigger), model, codes, supported,
+                   **score_args)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         # one folder per micro-batch, overwritten on a retry: a batch that is

@@ -213,3 +213,22 @@ def test_sample_rows_stable_under_repartition(spark):
     assert a == b and 1700 < len(a) < 2300
     other = {r[0] for r in C.sample_rows(df, 0.1, seed=8, keys=["k"]).collect()}
     assert other != a
+
+
+def test_store_features_null_store(spark):
+    base = dt.date(2022, 1, 1)
+    rows = []
+    for i in range(40):
+        d = base + dt.timedelta(days=i)
+        rows.append((d, 1, "A", 2.0, 20.0, "RED", "rod"))
+        rows.append((d, 1, "A", 1.0, 10.0, "BLUE", "rod"))
+        rows.append((d, 1, "A", 1.0, 10.0, "BLUE", "gear"))
+        rows.append((d, None, "A", 5.0, 50.0, "RED", "rod"))
+    clean = spark.createDataFrame(rows, "Date date, CodeMag long, Famille string, Quantite double, Total double, "
+                                        "ArCouleur string, ArFamille string")
+    stores = spark.createDataFrame([(1, "EUROPE")], "CodeMag long, Pays string")
+    out = FE.store_features(clean, with_dominant=True, stores=stores).collect()
+    assert len(out) == 40 - 28 and all(r["CodeMag"] == 1 for r in out)
+    first = min(out, key=lambda r: r["Date"])
+    assert first["lag_28"] == 4.0 and first["rolling_mean_7"] == 4.0
+    assert first["dominant_couleur"] == "BLUE" and first["dominant_sfamille"] == "gear"   # tie -> smallest pair

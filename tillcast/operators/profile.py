@@ -97,9 +97,8 @@ _SLOT_TYPES = {"v_long": "bigint", "v_dbl": "double", "v_str": "string", "v_date
                "v_ts": "timestamp_ntz"}
 
 
-def typed_value_counts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
-    """(ci, v_long, v_dbl, v_str, v_date, v_ts, nb): one row per column index
-    and distinct value (all slots null = the null group of that column)."""
+def _records(fields: list[T.StructField]) -> Column:
+    """One struct per column: (ci, v_long, v_dbl, v_str, v_date, v_ts)."""
     records = []
     for i, f in enumerate(fields):
         slot = _slot(f.dataType)
@@ -109,7 +108,13 @@ def typed_value_counts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
         vals = [(src.cast(_SLOT_TYPES[s]) if s == slot else F.lit(None).cast(_SLOT_TYPES[s])).alias(s)
                 for s in SLOTS]
         records.append(F.struct(F.lit(i).alias("ci"), *vals))
-    long = df.select(F.inline(F.array(*records)))
+    return F.array(*records)
+
+
+def typed_value_counts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """(ci, v_long, v_dbl, v_str, v_date, v_ts, nb): one row per column index
+    and distinct value (all slots null = the null group of that column)."""
+    long = df.select(F.inline(_records(fields)))
     return long.groupBy("ci", *SLOTS).agg(F.count(F.lit(1)).alias("nb"))
 
 
@@ -298,31 +303,38 @@ def dimension_profile(tables: dict[str, DataFrame], columns: dict[str, list[str]
     (table, column): filled, nulls, percent null,
     distinct, top values ``"v (n)"`` and a remark.  A listed column missing
     from its table gives a row with an error text (``Erreur``)."""
-    parts = []
+    # every profiled column of every table gets one global index, so all the
+    # tables' (column, value) records are grouped by one aggregate: one job
+    # and one checkpoint for the whole set of dimensions
+    records, meta_rows, errors = None, [], []
+    spark = None
     for table, df in tables.items():
+        spark = df.sparkSession
         wanted = columns.get(table, df.columns) if columns else df.columns
         present = [c for c in wanted if c in df.columns]
         missing = [c for c in wanted if c not in df.columns]
         if present:
-            fields = [df.schema[c] for c in present]
-            vc = checkpointed(typed_value_counts(df, fields))     # one pass over the table
-            meta = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(present)],
-                                                   "ci int, Colonne string")
-            stats = column_stats(vc, fields).select("ci", "Total_Lignes", "Valeurs_Remplies", "Valeurs_Distinctes")
-            text_vc = vc.filter(_non_null()).select("ci", value_text().alias("value"), "nb")
-            rk = F.row_number().over(Window.partitionBy("ci").orderBy(F.desc("nb"), F.asc("value")))
-            top = (text_vc.withColumn("rk", rk).filter(F.col("rk") <= top_n).groupBy("ci")
-                   .agg(F.array_sort(F.collect_list(F.struct("rk", "value", "nb"))).alias("items"))
-                   .select("ci", format_items(F.col("items"), _count_label).alias("top")))
-            part = (F.broadcast(meta).join(stats, "ci", "left").join(F.broadcast(top), "ci", "left")
-                    .withColumn("pos", F.col("ci")).drop("ci")
-                    .withColumn("Table", F.lit(table)).withColumn("Erreur", F.lit(None).cast("string")))
-            parts.append(part)
-        for j, c in enumerate(missing):
-            err = df.sparkSession.createDataFrame(
-                [(table, c, len(present) + j, f"[UNRESOLVED_COLUMN] column '{c}' not found in {table}")],
-                "Table string, Colonne string, pos int, Erreur string")
-            parts.append(err)
+            start = len(meta_rows)
+            meta_rows += [(start + i, table, c, i) for i, c in enumerate(present)]
+            rec = df.select(F.inline(_records([df.schema[c] for c in present])))
+            rec = rec.withColumn("ci", F.col("ci") + F.lit(start))
+            records = rec if records is None else records.unionByName(rec)
+        errors += [(table, c, len(present) + j, f"[UNRESOLVED_COLUMN] column '{c}' not found in {table}")
+                   for j, c in enumerate(missing)]
+    parts = []
+    if records is not None:
+        vc = checkpointed(records.groupBy("ci", *SLOTS).agg(F.count(F.lit(1)).alias("nb")))
+        meta = spark.createDataFrame(meta_rows, "ci int, Table string, Colonne string, pos int")
+        stats = column_stats(vc, []).select("ci", "Total_Lignes", "Valeurs_Remplies", "Valeurs_Distinctes")
+        text_vc = vc.filter(_non_null()).select("ci", value_text().alias("value"), "nb")
+        rk = F.row_number().over(Window.partitionBy("ci").orderBy(F.desc("nb"), F.asc("value")))
+        top = (text_vc.withColumn("rk", rk).filter(F.col("rk") <= top_n).groupBy("ci")
+               .agg(F.array_sort(F.collect_list(F.struct("rk", "value", "nb"))).alias("items"))
+               .select("ci", format_items(F.col("items"), _count_label).alias("top")))
+        parts.append(F.broadcast(meta).join(stats, "ci", "left").join(F.broadcast(top), "ci", "left")
+                     .drop("ci").withColumn("Erreur", F.lit(None).cast("string")))
+    if errors:
+        parts.append(spark.createDataFrame(errors, "Table string, Colonne string, pos int, Erreur string"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)

@@ -26,7 +26,7 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-_SOLID = "trim(both ' \\t\\r' from {}) <> ''"
+_SOLID = "trim({}) <> ''"
 
 
 def _runs(docs: DataFrame, gram: int, window: int) -> DataFrame:
@@ -38,13 +38,14 @@ def _runs(docs: DataFrame, gram: int, window: int) -> DataFrame:
 
     # the fingerprint of the run that starts at line i: its smallest gram, the last one of equals
     runs = _let("x", f"filter(split(text, '\\n', -1), y -> {_SOLID.format('y')})",
-                _let("h", "transform(x, y -> xxhash64(trim(both ' \\t\\r' from y)))",
-                     _let("k", "transform(x, y -> xxhash64(trim(both ' \\t\\r' from y), 'second'))",
+                _let("h", "transform(x, y -> xxhash64(trim(y)))",
+                     _let("k", "transform(x, y -> xxhash64(trim(y), 'second'))",
                           _let("g", f"transform({upto(gram)}, i -> struct(xxhash64(slice(h, i, {gram})) as fp, -i as back))",
                                f"transform({upto(run)}, i -> struct(array_min(slice(g, i, {window})) as least, "
                                f"i as start, xxhash64(slice(h, i, {run})) as run_a, xxhash64(slice(k, i, {run})) as run_b))"))))
-    return (docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(F.expr(runs)).alias("r"))
-            .select("doc_id", "text_key", F.col("r.least.fp").alias("fp"), F.expr("-r.least.back").alias("place"),
+    # the outer form, as the inner one is preceded by a filter that works the array out once more
+    return (docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode_outer(F.expr(runs)).alias("r"))
+            .filter("r is not null").select("doc_id", "text_key", F.col("r.least.fp").alias("fp"), F.expr("-r.least.back").alias("place"),
                     "r.start", "r.run_a", "r.run_b"))
 
 
@@ -71,7 +72,7 @@ def dedup_lines(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
     """``docs`` with later repeated runs of lines deleted from ``text``.
 
     A run of at least ``gram + window - 1`` (three) non-blank lines, compared
-    without white space at their ends, is deleted where it also starts earlier,
+    without spaces at their ends, is deleted where it also starts earlier,
     in this document or in one with a smaller doc_id.  Adds ``n_lines`` (lines
     that are not blank) and ``n_removed``.  Every row stays: a document may
     become empty.  Columns of these names in ``docs`` are replaced.  Blank lines are never part of a run and stay.  A null text
@@ -105,9 +106,9 @@ with lines as (
          generate_subscripts(string_split(text, chr(10)), 1) as i
   from documents),
 solid as (
-  select doc_id, i, trim(line, ' ' || chr(9) || chr(13)) as line,
+  select doc_id, i, trim(line) as line,
          row_number() over (partition by doc_id order by i) as place
-  from lines where trim(line, ' ' || chr(9) || chr(13)) <> ''),
+  from lines where trim(line) <> ''),
 runs as (
   select doc_id, place, [line, lead(line, 1) over w, lead(line, 2) over w] as run, lead(line, 2) over w as third
   from solid window w as (partition by doc_id order by place)),

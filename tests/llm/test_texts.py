@@ -273,8 +273,8 @@ def test_packing_edge_rows(spark, edge):
     odd = [(20, "<|endoftext|> it's <|startoftext|>x <|STARTOFTEXT|>"), (21, "a b é İstanbul ΣΑΣ 12,5 …\u0085z"), (22, "x" * 5000)]
     data = [(i, t) for i, t, _ in EDGE] + odd
     df = spark.createDataFrame([r + (1, 2) for r in data], "doc_id long, text string, start int, tier int")
-    check_packing(packing.pack(df, reserve=1000).collect(), data)
-    assert packing.pack(edge.limit(0)).count() == 0
+    check_packing(packing.pack_documents(df, reserve=1000).collect(), data)
+    assert packing.pack_documents(edge.limit(0)).count() == 0
 
 
 def test_word_cache_turns_over():
@@ -283,4 +283,14 @@ def test_word_cache_turns_over():
     small, large = packing.WordTokens(path, most=50), packing.WordTokens(path)
     texts = [" ".join(f"word{i * k}" for i in range(40)).encode() for k in range(1, 200)]
     assert small.encode(texts) == large.encode(texts)
-    assert len(small.fresh) <= 64 * 40
+    assert len(small.fresh) <= 64 * 40 + 50
+
+
+def test_words_are_encoded_as_the_tokenizer_does(docs):
+    import public_tokenizers
+    words = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["don't.", "it's,", "ABC.", "É.", "é,", "é.", "ﬁ.", "ß", "İ.", "ΑΣ.", "日本.", "a.b.", "..", ".", ",", "x1.", "'s.", "l'll,", "ǅ",
+           "<|endoftext|>.", "<|ENDOFTEXT|>", "ẞ.", "ª.", "ʰ,", "a­.", "İstanbul", "Å.", " a.", "ṩ."]
+    for w in odd + sorted({w for t in docs.text for w in t.split()})[:4000]:
+        want = words.tokenizer.encode(w, add_special_tokens=False).ids
+        assert np.frombuffer(words.encode([w.encode()])[0], "<u4").tolist() == want, w

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from bisect import bisect_right, insort
 from itertools import count
+from struct import pack
+from unicodedata import is_normalized
 from zlib import crc32
 
 import numpy as np
@@ -25,6 +27,10 @@ from tillcast.llm.common import small_batches, text_bytes
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
+#: The byte-level tokenizers' letter for each byte: itself if printable, else the next from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(b) for b in _PRINTABLE} | {
+    b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, tier int, step_group long")
 
@@ -33,37 +39,54 @@ class WordTokens:
     """Token ids of texts by a tokenizer that never joins what ASCII white space parts.
 
     The ids of a text are then those of its words in turn, so words are encoded
-    once and kept in two generations of at most ``most`` words each.
+    once and kept in two generations of at most ``most`` words each.  ``of``
+    keeps one such memory in a worker process for all its tasks.
+
+    A word of small letters, in composed form, passes the tokenizer's
+    normaliser and splitter unchanged and goes straight to its BPE model; a
+    full stop or comma after such a word is a token run of its own.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    _memory: dict[str, WordTokens] = {}
+
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator = "<|endoftext|>"
-        self.separator_id = self.tokenizer.token_to_id(self.separator)
         self.most, self.fresh, self.old = most, {}, {}
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    @classmethod
+    def of(cls, path: str) -> WordTokens:
+        if path not in cls._memory:
+            cls._memory[path] = cls(path)
+        return cls._memory[path]
+
+    def _ids(self, word: str) -> bytes:
+        if word.isalpha() and word == word.lower() and is_normalized("NFC", word):
+            inner = word if word.isascii() else "".join([BYTE_LETTERS[b] for b in word.encode()])
+            ids = [t.id for t in self.tokenizer.model.tokenize(inner)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _of(self, word: bytes) -> bytes:
+        ids = self.fresh.get(word)
+        if ids is None:
+            ids = self.old.get(word)
+            if ids is None:
+                text = word.decode()
+                if text[-1] in ".," and text[-2:-1].lower().isalpha() and "<|" not in text:
+                    ids = self._of(word[:-1]) + self._of(word[-1:])
+                else:
+                    low = word.lower()
+                    ids = self._of(low) if low != word and b"<|" not in word else self._ids(text)
+            self.fresh[word] = ids
+        return ids
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.fresh) + len(words) > self.most:
             self.fresh, self.old = {}, self.fresh
-        new = []
         for w in words.difference(self.fresh):
-            kept = self.old.get(w)
-            if kept is not None:
-                self.fresh[w] = kept
-            elif b"<|" in w:
-                self.fresh[w] = self._ids(w.decode()).tobytes()
-            else:
-                new.append(w)
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            ids = self._ids(self.separator.join(w.decode() for w in part))
-            bounds = np.concatenate(([-1], np.flatnonzero(ids == self.separator_id), [len(ids)])).tolist()
-            for w, a, b in zip(part, bounds, bounds[1:]):
-                self.fresh[w] = ids[a + 1:b].tobytes()
+            self._of(w)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -152,7 +175,7 @@ class _Packer:
                                           names=[f.split()[0] for f in SCHEMA.split(", ")])
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, tiers: tuple[int, ...] = TIERS,
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, tiers: tuple[int, ...] = TIERS,
          group_tokens: int = 16_384, reserve: int = 262_144) -> DataFrame:
     """Pack the tokens of every document: one row per piece.
 
@@ -174,7 +197,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, tiers: tuple[int, .
         if path is None:
             import public_tokenizers
             path = public_tokenizers.path("word_bpe_49k.json")
-        words = WordTokens(path)
+        words = WordTokens.of(path)
         packer = _Packer(TaskContext.get().partitionId(), tiers, group_tokens)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in small_batches(batches, "text", 4 << 20):

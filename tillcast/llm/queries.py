@@ -90,4 +90,4 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))

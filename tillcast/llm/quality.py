@@ -74,7 +74,7 @@ def _fold():
     return F.expr(f"crc32(cast(doc_id as string)) % {FOLDS}")
 
 
-def train(docs: DataFrame, labels: DataFrame, bits: int = 18, epochs: int = 3, train_rows: int = 20_000,
+def train(docs: DataFrame, labels: DataFrame, bits: int = 18, epochs: int = 3, train_rows: int = 5_000,
           alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 1.0) -> np.ndarray:
     """Weights (``2**bits`` places and the bias) learnt from labelled rows outside fold 0.
 

@@ -24,7 +24,7 @@ def test_profile_top_n_is_limited_before_the_shuffle(spark):
 
 
 def test_partition_pruning_on_the_year_partitioned_mart(spark):
-    text = plan(E.queries()["mart_daily_by_year"](spark, SF_SMALL))
+    text = plan(E.queries()["mart_daily_by_year"](spark, SF_SMALL).filter("year >= 1998"))
     assert any(ln.startswith("PartitionFilters") and ">= 1998" in ln for ln in text.splitlines())
 
 

@@ -232,3 +232,22 @@ def test_store_features_null_store(spark):
     first = min(out, key=lambda r: r["Date"])
     assert first["lag_28"] == 4.0 and first["rolling_mean_7"] == 4.0
     assert first["dominant_couleur"] == "BLUE" and first["dominant_sfamille"] == "gear"   # tie -> smallest pair
+
+
+def test_split_leaves_out_rows_without_a_date(spark):
+    from tillcast.operators.select import split_counts
+    df = spark.createDataFrame([("2021-01-01",), ("2022-01-01",), (None,)], "d string").selectExpr("cast(d as date) as d")
+    got = {r["split"]: r["rows"] for r in split_counts(df, "d", "2022-01-01").collect()}
+    assert got == {"train": 1, "test": 1}
+
+
+def test_sales_rows_do_not_depend_on_the_columns(spark, tmp_path):
+    from tillcast.sources.tables import read_table, sales
+    for name in ("lineitem", "orders", "part", "supplier", "nation", "region"):
+        df = read_table(spark, "/root/testdata/sf0.001", name)
+        if name in ("part", "supplier"):
+            df = df.filter(f"{name[0]}_{name}key > 2" if name == "part" else "s_suppkey > 2")
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    counts = {c: sales(spark, str(tmp_path), [c]).count() for c in ("Date", "Famille", "Pays", "Reception")}
+    assert len(set(counts.values())) == 1
+    assert sales(spark, str(tmp_path), ["Pays"]).filter("Pays is null").count() > 0

@@ -7,7 +7,7 @@ broadcast: one row has a proven size bound.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.constants import RECEPTION_RANGE
@@ -59,11 +59,11 @@ def gap_stats(df: DataFrame) -> DataFrame:
 def gap_distribution(df: DataFrame, top: int = 20) -> DataFrame:
     """G15 + J3 + K1: the ``top`` most frequent gaps with count and percent of
     both-present rows.  Ties on the count are broken by the gap value."""
-    present = both_present(df)
-    per_gap = present.groupBy(day_gap("Date", "Reception").alias("ecart_jours")).agg(
+    per_gap = both_present(df).groupBy(day_gap("Date", "Reception").alias("ecart_jours")).agg(
         F.count(F.lit(1)).alias("nb_lignes"))
-    total = present.agg(F.count(F.lit(1)).alias("_n"))
-    return (per_gap.crossJoin(F.broadcast(total))
+    # the total is a sum over one row per gap (days between two dates), so the fact is read once
+    total = F.sum("nb_lignes").over(Window.partitionBy())
+    return (per_gap.withColumn("_n", total)
             .select("ecart_jours", "nb_lignes", pct("nb_lignes", "_n").alias("pourcentage"))
             .orderBy(F.desc("nb_lignes"), F.asc("ecart_jours"))
             .limit(top))

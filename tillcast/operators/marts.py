@@ -43,8 +43,8 @@ def daily_mart(clean: DataFrame, stores: DataFrame | None = None) -> DataFrame:
 
 
 def attach_country(df: DataFrame, stores: DataFrame) -> DataFrame:
-    """Add Pays from the store dimension (inner join, as the fact view)."""
-    return (df.join(stores, on="CodeMag", how="inner")
+    """Add Pays from the store dimension (left join, as the fact view: a store without one keeps its rows)."""
+    return (df.join(stores, on="CodeMag", how="left")
             .select("Date", "CodeMag", "Famille", "Pays", *[c for c in df.columns
                                                            if c not in ("Date", "CodeMag", "Famille")]))
 

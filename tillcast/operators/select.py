@@ -73,9 +73,9 @@ def min_then_top(df: DataFrame, n: int = TOP_FAMILIES, minimum: float = MIN_TARG
 
 
 def add_split(df: DataFrame, date_col: str, cut: str = TEST_CUT) -> DataFrame:
-    """``split`` = 'train' before the cut, 'test' from it on."""
-    return df.withColumn("split", F.when(F.col(date_col) < F.lit(cut).cast("date"), F.lit("train"))
-                         .otherwise(F.lit("test")))
+    """``split`` = 'train' before the cut, 'test' from it on; rows without a date are on neither side."""
+    return df.filter(F.col(date_col).isNotNull()).withColumn(
+        "split", F.when(F.col(date_col) < F.lit(cut).cast("date"), F.lit("train")).otherwise(F.lit("test")))
 
 
 def split_counts(df: DataFrame, date_col: str, cut: str = TEST_CUT) -> DataFrame:

@@ -24,7 +24,7 @@ SESSION_CONF = {
 }
 
 
-def get_session(master: str | None = None, shuffle_partitions: int = 8,
+def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "tillcast") -> SparkSession:
     """Build (or reuse) a session with the settings above.
 
@@ -34,8 +34,10 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("TILLCAST_DRIVER_MEMORY", "16g"))
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master and master.startswith("local"):      # one JVM does all the work; a cluster sets its own
+        builder = builder.config("spark.driver.memory", os.environ.get("TILLCAST_DRIVER_MEMORY", "8g"))
     for key, value in SESSION_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -48,11 +50,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` as the cluster sets it.  Only when it is
-    unset (local tests) a fresh folder is made under the system temp folder.
+    unset on a local master a fresh folder is made under the system temp
+    folder; a cluster's executors would not share that, so there it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="tillcast-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)

@@ -4,8 +4,9 @@ The sales fact of the reference (one row per ticket line) is mapped onto the
 TPC-H-like tables as FIXTURES.md section 2 describes.  Only the dimension
 joins a caller needs are planned: a query on Date and Quantite reads lineitem
 alone, Reception adds orders, Famille/ArFamille/ArCouleur add part and Pays
-adds supplier -> nation -> region.  The joins are key lookups that match every
-row of the fixtures, so leaving out an unused one does not change results.
+adds supplier -> nation -> region.  The joins are left joins on unique keys,
+so the row count never depends on the columns asked for: a line whose part or
+store is missing keeps its row with null columns.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def store_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     geo = F.broadcast(nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey))
-    return (supplier.join(geo, supplier.s_nationkey == geo.n_nationkey)
+    return (supplier.join(geo, supplier.s_nationkey == geo.n_nationkey, "left")
             .select(F.col("s_suppkey").alias("CodeMag"), F.col("r_name").alias("Pays")))
 
 
@@ -102,17 +103,17 @@ def sales(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,
     if "Reception" in wanted:
         orders = read_table(spark, sf_dir, "orders").select(
             F.col("o_orderkey"), F.to_date("o_orderdate").alias("Reception"))
-        df = df.join(orders, df.l_orderkey == orders.o_orderkey).drop("o_orderkey")
+        df = df.join(orders, df.l_orderkey == orders.o_orderkey, "left").drop("o_orderkey")
     if _PART_COLUMNS & set(wanted):
         part = read_table(spark, sf_dir, "part").select(
             "p_partkey",
             F.col("p_type").alias("Famille"),
             F.split_part(F.col("p_name"), F.lit(" "), F.lit(2)).alias("ArFamille"),
             F.nullif(F.col("p_brand"), F.lit("Brand#7")).alias("ArCouleur"))
-        df = df.join(part, df.l_partkey == part.p_partkey).drop("p_partkey")
+        df = df.join(part, df.l_partkey == part.p_partkey, "left").drop("p_partkey")
     if "Pays" in wanted:
         geo = store_country(spark, sf_dir).withColumnRenamed("CodeMag", "_geo_mag")
-        df = df.join(geo, df.l_suppkey == geo._geo_mag).drop("_geo_mag")
+        df = df.join(geo, df.l_suppkey == geo._geo_mag, "left").drop("_geo_mag")
     return df.select(*wanted)
 
 
@@ -127,9 +128,9 @@ select l_orderkey, l_linenumber,
        concat('Q', cast(quarter(l_shipdate) as varchar(1))) as Saison, r_name as Pays,
        l_extendedprice / l_quantity as Prix, l_quantity as Quantite, l_extendedprice as Total
 from lineitem
-join orders on l_orderkey = o_orderkey
-join part on l_partkey = p_partkey
-join supplier on l_suppkey = s_suppkey
-join nation on s_nationkey = n_nationkey
-join region on n_regionkey = r_regionkey
+left join orders on l_orderkey = o_orderkey
+left join part on l_partkey = p_partkey
+left join supplier on l_suppkey = s_suppkey
+left join nation on s_nationkey = n_nationkey
+left join region on n_regionkey = r_regionkey
 """

@@ -178,8 +178,13 @@ def test_reordered_and_partial_leaks(spark, block_chars):
     got = decontaminate.leaks(docs, items, block_chars=block_chars).collect()
     assert sorted((str(r.doc_id), r.item_id) for r in got) == sorted(
         [("1", 10), ("3", 10), ("5", 10), ("5", 11), ("None", 11), ("8", 11), ("8", 11)])
-    kept = decontaminate.clean(docs, items)
-    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "4", "6", "7", "None"]
+    # each row is judged by its own text: one without an id goes, a clean one that repeats the id of a leak stays
+    more = docs.union(spark.createDataFrame([(8, "clean", 1), (None, "clean too", 1)], docs.schema))
+    kept = decontaminate.clean(more, items, block_chars=block_chars)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.item_id) for r in kept.collect()) == [("2", 0), ("4", 0), ("6", 0), ("7", 0), ("8", 1), ("None", 1)]
+    assert decontaminate.clean(docs, items.limit(0)).count() == len(data)
+    assert decontaminate.clean(docs.limit(0), items).count() == 0
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0
     assert decontaminate.leaks(docs.limit(0), items).count() == 0
 

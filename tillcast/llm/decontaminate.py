@@ -11,8 +11,11 @@ and put in another order are found too.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -174,17 +177,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float
     Documents are not shuffled.  Null and empty texts hold nothing; rows with a
     null or repeated doc_id are judged like any other and give a row each.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, item_id long, coverage double, n_tiles int, longest_tile int"
 
-    def met(block: int) -> DataFrame:
-        part = items.filter(F.expr(f"pmod(xxhash64(item_id, text), {blocks}) = {block}"))
-        held = spark.sparkContext.broadcast([tuple(r) for r in part.orderBy("item_id", "text").collect()])
-
+    def met(held) -> DataFrame:
         def work(batches):
             seeds = _Seeds(held.value, least)
             for batch in small_batches(batches, "text"):
@@ -197,13 +193,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float
                                                      names=["doc_id", "item_id", "coverage", "n_tiles", "longest_tile"])
         return base.mapInArrow(work, schema)
 
-    out = met(0)
-    for block in range(1, blocks):
-        out = out.union(met(block))
-    return out
+    return reduce(DataFrame.union, [met(held) for held in _blocks(benchmark, block_chars)])
+
+
+def _blocks(benchmark: DataFrame, block_chars: int):
+    """Broadcast blocks of the benchmark of about ``block_chars`` characters each."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-chars // block_chars))
+    for block in range(blocks):
+        part = items.filter(F.expr(f"pmod(xxhash64(item_id, text), {blocks}) = {block}"))
+        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in part.orderBy("item_id", "text").collect()])
+
 
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.8,
+          block_chars: int = 16_000_000) -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark item (see ``leaks``).
+
+    Each row is judged by its own text, so rows with a null or repeated doc_id
+    go or stay by themselves, and nothing is shuffled or joined.  A block of the
+    benchmark is one filter; a row that one block drops is not met with the next.
+    """
+    def holds(held):
+        @F.pandas_udf("boolean")
+        def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            seeds = _Seeds(held.value, least)
+            for texts in batches:
+                yield texts.map(lambda t: next(seeds.found_in(t, coverage), None) is not None).astype(bool)
+        return udf(F.col("text").cast("string"))
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.8) -> DataFrame:
-    """``docs`` without documents that hold a benchmark item (see ``leaks``)."""
-    gone = leaks(docs, benchmark, least, coverage).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return reduce(lambda left, held: left.filter(~holds(held)), _blocks(benchmark, block_chars), docs)

@@ -77,6 +77,17 @@ def test_exact_quantiles_several_columns(spark):
     assert np.allclose(got["b"], np.nanquantile(b, [0.25, 0.9]), atol=1e-12)
 
 
+def test_exact_quantiles_between_two_heavy_values(spark):
+    rng = np.random.default_rng(11)
+    between = rng.uniform(0, 1, 500)
+    vals = np.concatenate([np.zeros(20_000), np.ones(20_000), between])
+    df = spark.createDataFrame(pd.DataFrame({"v": vals}))
+    probs = [0.0, 0.2, 0.4938, 0.5, 0.5061, 0.8, 1.0]
+    assert np.allclose(exact_quantiles(df, "v", probs, max_values=100, accuracy=1000), np.quantile(vals, probs), atol=1e-12)
+    one = spark.createDataFrame(pd.DataFrame({"v": np.full(5000, 3.0)}))
+    assert exact_quantiles(one, "v", [0.0, 0.5, 1.0], max_values=10) == [3.0, 3.0, 3.0]
+
+
 def test_cap_series_p99(spark):
     rng = np.random.default_rng(1)
     q = rng.integers(0, 10_000, 300).astype(float)
@@ -93,6 +104,29 @@ def test_best_round_patience():
     assert MD.best_round(errs, 10) == 7
 
 
+def test_growing_rounds_is_the_full_fit_under_the_patience_rule():
+    rng = np.random.default_rng(4)
+    for patience in (1, 5, 30):
+        for _ in range(50):
+            errs = (np.abs(np.arange(300) - rng.integers(0, 300)) + rng.normal(0, 20, 300)).tolist()
+            fitted = []
+
+            def fit(n):
+                fitted.append(n)
+                return errs[:n]
+            assert MD.growing_rounds(fit, lambda m: m, 300, patience) == MD.best_round(errs, patience)
+            assert sum(fitted) <= 2 * 2 * fitted[-1]
+
+
+def test_trees_of_a_short_fit_begin_those_of_a_long_one(spark):
+    rng = np.random.default_rng(6)
+    x = rng.uniform(0, 10, 200)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": np.sin(x) * 10}))
+    valid = MD.assemble(df, ["x"])
+    short, long = (MD.fit_gbt(df, ["x"], "y", max_iter=n, step=0.3, depth=3)[0] for n in (4, 8))
+    assert short.evaluateEachIteration(valid, "squared") == long.evaluateEachIteration(valid, "squared")[:4]
+
+
 def test_gbt_beats_mean(spark):
     rng = np.random.default_rng(0)
     x = rng.uniform(0, 10, 400)

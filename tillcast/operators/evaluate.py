@@ -127,11 +127,11 @@ def best_model(ranking: DataFrame, exclude: list[str]) -> DataFrame:
             .agg(F.min_by("model", F.struct("WMAPE", "model")).alias("best_model")))
 
 
-def change_against_baseline(metrics: DataFrame, baseline: float = MODEL_WMAPE,
+def change_against_baseline(metrics: DataFrame, baseline: float | None = MODEL_WMAPE,
                             col: str = "WMAPE") -> DataFrame:
-    """Baseline minus new WMAPE (positive = better), rounded to 2."""
-    return metrics.withColumns({"baseline_WMAPE": F.lit(float(baseline)),
-                                "improvement_pp": round_to(F.lit(float(baseline)) - F.col(col), 2)})
+    """Baseline minus new WMAPE (positive = better), rounded to 2; null without a baseline."""
+    base = F.lit(baseline).cast("double")
+    return metrics.withColumns({"baseline_WMAPE": base, "improvement_pp": round_to(base - F.col(col), 2)})
 
 
 def attach_predictions(test: DataFrame, preds: Column, keys: list[str], target: str,

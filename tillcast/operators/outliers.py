@@ -3,8 +3,10 @@
 ``exact_quantiles`` gives pandas' ``quantile`` (linear interpolation) without
 sorting the column in one task.  Each round narrows a bracket around the
 wanted ranks with ``percentile_approx`` and counts exactly how many values lie
-below and inside it; a bracket is resolved once it holds at most
-``max_values`` rows, whose value counts are then small enough to bring back.
+below, at and between its ends.  A rank that falls on an end is settled by it,
+and only the values strictly between the ends go on, so a heavy value never
+stays in a bracket; a bracket is resolved once it holds at most ``max_values``
+rows, whose value counts are then small enough to bring back.
 Every result that reaches the driver has a size fixed by the arguments.
 """
 
@@ -42,14 +44,14 @@ def cap_series(series: DataFrame, value: str = "Quantite", p: float = 0.99,
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], max_values: int = 100_000,
-                    accuracy: int = 10_000, max_rounds: int = 8) -> list[float | None]:
+                    accuracy: int = 10_000) -> list[float | None]:
     """Exact quantiles (linear interpolation between order statistics) of a
     column of any size.  Nulls and NaN are ignored, as pandas does."""
-    return exact_quantiles_multi(df, {col: probs}, max_values, accuracy, max_rounds)[col]
+    return exact_quantiles_multi(df, {col: probs}, max_values, accuracy)[col]
 
 
 def exact_quantiles_multi(df: DataFrame, wanted: dict[str, list[float]], max_values: int = 100_000,
-                          accuracy: int = 10_000, max_rounds: int = 8) -> dict[str, list[float | None]]:
+                          accuracy: int = 10_000) -> dict[str, list[float | None]]:
     """:func:`exact_quantiles` for several columns.
 
     Every wanted probability has its own bracket (the two order statistics it
@@ -73,11 +75,11 @@ def exact_quantiles_multi(df: DataFrame, wanted: dict[str, list[float]], max_val
     def inside(it):
         cond = ok[it["col"]]
         if it["lo"] is not None:
-            cond = cond & (x[it["col"]] >= it["lo"]) & (x[it["col"]] <= it["hi"])
+            cond = cond & (x[it["col"]] > it["lo"]) & (x[it["col"]] < it["hi"])
         return cond
 
-    for _ in range(max_rounds):
-        narrow = [i for i, it in enumerate(items) if ns[it["col"]] and it["inside"] > max_values]
+    while True:
+        narrow = [i for i, it in enumerate(items) if ns[it["col"]] and it["ranks"] and it["inside"] > max_values]
         if not narrow:
             break
         aggs = []
@@ -95,22 +97,28 @@ def exact_quantiles_multi(df: DataFrame, wanted: dict[str, list[float]], max_val
         approx = df.agg(*aggs).first().asDict()
         cnt = []
         for i in narrow:
-            xc, lo, hi = x[items[i]["col"]], min(approx[f"a{i}"]), max(approx[f"a{i}"])
-            cnt += [F.count_if(ok[items[i]["col"]] & (xc < lo)).alias(f"b{i}"),
-                    F.count_if(ok[items[i]["col"]] & (xc >= lo) & (xc <= hi)).alias(f"i{i}")]
+            good, xc = ok[items[i]["col"]], x[items[i]["col"]]
+            lo, hi = min(approx[f"a{i}"]), max(approx[f"a{i}"])
+            cnt += [F.count_if(good & (xc < lo)).alias(f"b{i}"), F.count_if(good & (xc == lo)).alias(f"l{i}"),
+                    F.count_if(good & (xc > lo) & (xc < hi)).alias(f"i{i}"), F.count_if(good & (xc == hi)).alias(f"h{i}")]
         counts = df.agg(*cnt).first().asDict()
         for i in narrow:
             it = items[i]
             lo, hi = min(approx[f"a{i}"]), max(approx[f"a{i}"])
-            b, n_in = counts[f"b{i}"], counts[f"i{i}"]
-            if b <= it["ranks"][0] and b + n_in > it["ranks"][-1]:
-                if (lo, hi) == (it["lo"], it["hi"]):
-                    n_in = min(n_in, max_values)     # a single repeated value: nothing left to narrow
-                it.update(lo=lo, hi=hi, below=b, inside=n_in, widen=1.0)
+            first = counts[f"b{i}"]                     # ranks first.. are lo, inner.. lie between, last.. are hi
+            inner = first + counts[f"l{i}"]
+            last = inner + counts[f"i{i}"]
+            past = last + counts[f"h{i}"] if hi > lo else inner
+            if first <= it["ranks"][0] and it["ranks"][-1] < past:
+                for r in it["ranks"]:
+                    if r < inner or r >= last:
+                        it["values"][r] = lo if r < inner else hi
+                it["ranks"] = [r for r in it["ranks"] if r not in it["values"]]
+                it.update(lo=lo, hi=hi, below=inner, inside=last - inner, widen=1.0)
             else:
-                it["widen"] *= 4                      # missed a rank: widen the margin
+                it["widen"] *= 4                      # missed a rank: widen the margin, in the end to all values
 
-    open_items = [i for i, it in enumerate(items) if ns[it["col"]]]
+    open_items = [i for i, it in enumerate(items) if ns[it["col"]] and it["ranks"]]
     if open_items:
         _resolve_all(df, items, open_items, x, inside)
 

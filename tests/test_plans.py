@@ -1,7 +1,7 @@
 """Plan properties that the scale design relies on, read from explain()."""
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from conftest import SF_MID, SF_SMALL
 
 
 def plan(df) -> str:
@@ -52,7 +52,7 @@ def test_store_features_window_needs_one_exchange(spark):
 
 
 def test_per_family_ridge_python_sees_aggregates_only(spark):
-    df = E.queries()["ridge_per_family"](spark, SF_SMALL)
+    df = E.queries()["ridge_per_family"](spark, SF_MID)
     tree = plan(df).split("\n\n")[0].splitlines()
     i = next(k for k, ln in enumerate(tree) if "MapInPandas" in ln)
     below = tree[i + 1:i + 4]

@@ -19,17 +19,9 @@ SUMMER_FAMILIES = ["ECONOMY", "PROMO"]
 WINTER_FAMILIES = ["LARGE", "MEDIUM"]
 EXCLUDE = ["STANDARD"]
 TOP_K = 3
-# mean weekly sum_Quantite threshold: 240 at sf0.01, proportional to sf
-THRESHOLD_PER_SF = 24_000.0
+# mean weekly sum_Quantite a family needs (C1); the same at every data size
+THRESHOLD = 240.0
 
 
 def clean_bounds() -> dict:
     return dict(min_date=MIN_DATE, prix_range=PRIX_RANGE, quantite_range=QUANTITE_RANGE)
-
-
-def threshold(spark, sf_dir: str) -> float:
-    """24,000 x sf, with sf read from the data: the tables hold exactly
-    6,000,000 x sf lineitem rows (a count Parquet answers from file footers),
-    so the value does not depend on how the folder is named."""
-    from tillcast.sources.tables import read_table
-    return THRESHOLD_PER_SF * read_table(spark, sf_dir, "lineitem").count() / 6_000_000.0

@@ -17,12 +17,9 @@ from tillcast.plans.catalog import clean_frame, register, rounded
 from tillcast.sources.tables import store_country
 from tillcast.plans.q_features import MART_COLS, STORE_FEAT_SQL, WEEKLY_V2_SQL, _sq, weekly_v2
 
-# threshold = 24,000 x sf; the tables have exactly 6,000,000 x sf lineitem rows
-ORACLE_THRESHOLD = f"((select count(*) from lineitem) * {P.THRESHOLD_PER_SF!r} / 6000000.0)"
-
 HV_SQL = f"""{WEEKLY_V2_SQL},
 hv as (select * from v2 where Famille in (
-         select Famille from v2 group by Famille having avg(sum_Quantite) >= {ORACLE_THRESHOLD})
+         select Famille from v2 group by Famille having avg(sum_Quantite) >= {P.THRESHOLD})
        and (Famille not in ({_sq(P.EXCLUDE)}) or Famille is null)),
 trainmean as (select avg(sum_Quantite) as m from hv where week_start < DATE '{P.TEST_CUT}'),
 naive as (
@@ -55,7 +52,7 @@ def _wmape_pos_sql(y, p):
 
 
 def hv_frame(spark, d):
-    return S.high_volume(weekly_v2(spark, d), P.threshold(spark, d), P.EXCLUDE)
+    return S.high_volume(weekly_v2(spark, d), P.THRESHOLD, P.EXCLUDE)
 
 
 def naive_frame(spark, d, parity: bool = False):

@@ -8,40 +8,24 @@ reused for training and scoring, so one family never gets two codes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillcast.session import materialize
 
 
-# at most this many distinct values are numbered in a single task; a table
-# this small (a few MB) is also broadcast when it is joined back
-SINGLE_TASK_CODES = 200_000
-
-
-def code_table(df: DataFrame, col: str, code_col: str | None = None, partitions: int | None = None,
-               single_task_limit: int = SINGLE_TASK_CODES) -> DataFrame:
-    return code_table_sized(df, col, code_col, partitions, single_task_limit)[0]
-
-
-def code_table_sized(df: DataFrame, col: str, code_col: str | None = None, partitions: int | None = None,
-                     single_task_limit: int = SINGLE_TASK_CODES) -> tuple[DataFrame, bool]:
+def code_table(df: DataFrame, col: str, code_col: str | None = None, partitions: int | None = None) -> DataFrame:
     """(value, code) for the distinct non-null values of ``col``.
 
     ``distinct`` is a partial aggregate, so only distinct values are shuffled.
-    A ``limit(L + 1)`` count checks the number of values first.  Up to ``L``
-    values (a dimension: families, stores, countries) are numbered by one
-    window in one task, a proven bound.  Beyond it the numbering is
-    distributed: the values are range-partitioned and sorted inside each
-    partition, written once to the checkpoint folder, and each partition adds
-    the count of the partitions before it (one row per partition comes back
-    to the driver), so no task holds more than its range of values.
+    They are range-partitioned and sorted inside each partition, written once
+    to the checkpoint folder, and each partition adds the count of the
+    partitions before it (one row per partition comes back to the driver), so
+    no task holds more than its range of values, whatever their number.
     """
     code_col = code_col or f"{col}_encoded"
     spark = df.sparkSession
     distinct = df.select(col).filter(F.col(col).isNotNull()).distinct()
-    if distinct.limit(single_task_limit + 1).count() <= single_task_limit:
-        return distinct.withColumn(code_col, (F.row_number().over(Window.orderBy(col)) - 1).cast("int")), True
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = materialize(distinct.repartitionByRange(n, col).sortWithinPartitions(col)
                           .withColumn("_pid", F.spark_partition_id())
@@ -55,23 +39,18 @@ def code_table_sized(df: DataFrame, col: str, code_col: str | None = None, parti
     # monotonically_increasing_id = partition id << 33 + position in partition
     local = F.col("_pos") - F.shiftleft(F.col("_pid").cast("long"), 33)
     return (ordered.join(F.broadcast(off), "_pid")
-            .select(col, (F.col("_off") + local).cast("int").alias(code_col))), False
+            .select(col, (F.col("_off") + local).cast("int").alias(code_col)))
 
 
 def encode(df: DataFrame, col: str, table: DataFrame | None = None,
            code_col: str | None = None) -> DataFrame:
     """Add ``<col>_encoded``; null or unknown values get -1.
 
-    A code table built here and found under the single-task bound is
-    broadcast (its size is checked).  A larger or given table is joined
-    normally, and AQE broadcasts it if it measures small.
+    The code table is joined without a hint: AQE broadcasts it if it measures
+    small and splits a hot value's partition otherwise.
     """
     code_col = code_col or f"{col}_encoded"
-    if table is not None:
-        tbl, bounded = table, False
-    else:
-        tbl, bounded = code_table_sized(df, col, code_col)
-    joined = df.join(F.broadcast(tbl) if bounded else tbl, on=col, how="left")
+    joined = df.join(table if table is not None else code_table(df, col, code_col), on=col, how="left")
     return joined.withColumn(code_col, F.coalesce(F.col(code_col), F.lit(-1)).cast("int"))
 
 

@@ -61,3 +61,25 @@ def test_median_option(spark, frame):
             .collect()}
     assert prof["three"]["Mediane"] == 1.0 and prof["spiky"]["Mediane"] == 1.0
     assert prof["num_unique"]["Mediane"] == float(np.median(np.arange(1200) * 3))
+
+
+def test_decimals_keep_their_digits(spark):
+    from decimal import Decimal
+    rows = [(Decimal("1.000000000000000001"), Decimal("12345678901234567890123456789012345678")),
+            (Decimal("1.000000000000000002"), Decimal("12345678901234567890123456789012345679")),
+            (Decimal("1.000000000000000003"), None)]
+    df = spark.createDataFrame(rows, "small decimal(38,18), wide decimal(38,0)")
+    prof = {r["Colonne"]: r for r in column_profile(df).collect()}
+    assert prof["small"]["Valeurs_Distinctes"] == 3 and prof["small"]["Min"] == "1.000000000000000001"
+    assert prof["small"]["Type_Logique"] == K.TYPE_CONTINUOUS and prof["small"]["Moyenne"] == 1.0
+    assert prof["wide"]["Valeurs_Distinctes"] == 2 and prof["wide"]["Max"] == "12345678901234567890123456789012345679"
+    assert prof["wide"]["Valeurs_Nulles"] == 1 and prof["wide"]["Pct_NULL"] == 33.33
+
+
+def test_missing_columns_and_empty_tables_give_rows(spark):
+    df = spark.createDataFrame([], "a int, b string")
+    prof = {r["Colonne"]: r for r in column_profile(df, columns=["a", "b", "c"]).collect()}
+    assert list(prof) == ["a", "b", "c"]
+    assert prof["a"]["Total_Lignes"] == prof["b"]["Total_Lignes"] == prof["b"]["Valeurs_Distinctes"] == 0
+    assert prof["a"]["Top_5_Valeurs"] == "" and prof["a"]["Min"] is None
+    assert prof["c"]["Total_Lignes"] is None and prof["c"]["Interpretation_Auto"] == f"{K.PROFILE_ERROR} 'c'"

@@ -150,5 +150,6 @@ REMARK_DIM_PRIMARY = "Clé primaire ou identifiant unique"
 REMARK_DIM_FOREIGN = "Clé étrangère"
 REMARK_DIM_UNIQUE = "Identifiant unique ou label unique"
 REMARK_DIM_CATEGORICAL = "Variable catégorique ({n} valeurs distinctes)"
+PROFILE_ERROR = "Erreur : colonne absente"
 TOP_VALUES_EMPTY = "Aucune valeur"
 TOP_VALUES_PERIOD = "Période : {min} → {max}"

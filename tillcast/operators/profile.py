@@ -75,16 +75,13 @@ def logical_type(name: str, type_sql: str) -> str:
     return K.TYPE_OTHER
 
 
-SLOTS = ("v_long", "v_dbl", "v_str", "v_date", "v_ts")
-# slots with a reported range; text has none, and leaving it out keeps the
-# aggregation buffers fixed-width (hash aggregate, not a sort-based one)
-RANGE_SLOTS = ("v_long", "v_dbl", "v_date", "v_ts")
-
-
 def _slot(dt: T.DataType) -> str:
+    """Slot of a column type; every decimal type has its own, so no digit is lost."""
+    if isinstance(dt, T.DecimalType):
+        return f"v_dec_{dt.precision}_{dt.scale}"
     if isinstance(dt, (T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.BooleanType)):
         return "v_long"
-    if isinstance(dt, (T.DoubleType, T.FloatType, T.DecimalType)):
+    if isinstance(dt, (T.DoubleType, T.FloatType)):
         return "v_dbl"
     if isinstance(dt, T.DateType):
         return "v_date"
@@ -97,79 +94,90 @@ _SLOT_TYPES = {"v_long": "bigint", "v_dbl": "double", "v_str": "string", "v_date
                "v_ts": "timestamp_ntz"}
 
 
-def _records(fields: list[T.StructField]) -> Column:
-    """One struct per column: (ci, v_long, v_dbl, v_str, v_date, v_ts)."""
+def _slot_types(fields: list[T.StructField]) -> dict[str, str]:
+    """The slots records of ``fields`` have, with their types."""
+    decimals = sorted({(_slot(f.dataType), f.dataType.simpleString()) for f in fields
+                       if isinstance(f.dataType, T.DecimalType)})
+    return _SLOT_TYPES | dict(decimals)
+
+
+def slots_of(vc: DataFrame) -> list[str]:
+    return [c for c in vc.columns if c.startswith("v_")]
+
+
+def _numbers(slots: list[str]) -> list[str]:
+    return [s for s in slots if s in ("v_long", "v_dbl") or s.startswith("v_dec_")]
+
+
+def _records(fields: list[T.StructField], slot_types: dict[str, str]) -> Column:
+    """One struct per column: (ci, one typed slot per kind of value)."""
     records = []
     for i, f in enumerate(fields):
         slot = _slot(f.dataType)
         src = F.col(f.name)
         if slot == "v_ts":
             src = src.cast("timestamp_ntz")
-        vals = [(src.cast(_SLOT_TYPES[s]) if s == slot else F.lit(None).cast(_SLOT_TYPES[s])).alias(s)
-                for s in SLOTS]
+        vals = [(src.cast(t) if s == slot else F.lit(None).cast(t)).alias(s) for s, t in slot_types.items()]
         records.append(F.struct(F.lit(i).alias("ci"), *vals))
     return F.array(*records)
 
 
 def typed_value_counts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
-    """(ci, v_long, v_dbl, v_str, v_date, v_ts, nb): one row per column index
-    and distinct value (all slots null = the null group of that column)."""
-    long = df.select(F.inline(_records(fields)))
-    return long.groupBy("ci", *SLOTS).agg(F.count(F.lit(1)).alias("nb"))
+    """(ci, typed slots, nb): one row per column index and distinct value
+    (all slots null = the null group of that column)."""
+    slots = _slot_types(fields)
+    return df.select(F.inline(_records(fields, slots))).groupBy("ci", *slots).agg(F.count(F.lit(1)).alias("nb"))
 
 
-def value_text() -> Column:
+def value_text(slots: list[str]) -> Column:
     """A typed value as text (as the column would print it)."""
-    return F.coalesce(F.col("v_long").cast("string"), F.col("v_dbl").cast("string"), F.col("v_str"),
-                      F.col("v_date").cast("string"), F.col("v_ts").cast("string"))
+    return F.coalesce(*[F.col(s).cast("string") for s in slots])
 
 
-def _non_null() -> Column:
+def _non_null(slots: list[str]) -> Column:
     cond = F.lit(False)
-    for s in SLOTS:
+    for s in slots:
         cond = cond | F.col(s).isNotNull()
     return cond
 
 
-def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(Colonne, value, nb) for every non-null value of every column, as text."""
-    fields = [df.schema[c] for c in cols]
-    names = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(i), F.lit(c))])
-    vc = typed_value_counts(df, fields).filter(_non_null())
-    return vc.select(names[F.col("ci")].alias("Colonne"), value_text().alias("value"), "nb")
-
-
 def column_stats(vc: DataFrame, fields: list[T.StructField]) -> DataFrame:
     """Per column index, from the typed value counts: total rows, filled,
     distinct, min, max (as text), mean and population std of numbers (N10:
     MySQL's ``STD()`` is the population deviation)."""
-    x = F.coalesce(F.col("v_long").cast("double"), F.col("v_dbl"))
-    filled = _non_null()
+    slots = slots_of(vc)
+    # text has no reported range, and leaving it out keeps the aggregation
+    # buffers fixed-width (hash aggregate, not a sort-based one)
+    ranged = [s for s in slots if s != "v_str"]
+    x = F.coalesce(*[F.col(s).cast("double") for s in _numbers(slots)])
+    filled = _non_null(slots)
     first = vc.groupBy("ci").agg(
         F.sum("nb").alias("Total_Lignes"),
         F.sum(F.when(filled, F.col("nb")).otherwise(0)).alias("Valeurs_Remplies"),
         F.count_if(filled).alias("Valeurs_Distinctes"),
-        *[F.min(s).alias(f"min_{s}") for s in RANGE_SLOTS], *[F.max(s).alias(f"max_{s}") for s in RANGE_SLOTS],
+        *[F.min(s).alias(f"min_{s}") for s in ranged], *[F.max(s).alias(f"max_{s}") for s in ranged],
         (F.sum(x * F.col("nb")) / F.sum(F.when(x.isNotNull(), F.col("nb")))).alias("_mean"))
     # second pass over the (small) group table for a stable variance
     dev = (vc.join(F.broadcast(first.select("ci", "_mean")), "ci")
            .groupBy("ci").agg((F.sum(F.col("nb") * F.pow(x - F.col("_mean"), 2))
                                / F.sum(F.when(x.isNotNull(), F.col("nb")))).alias("_var")))
-    lo = F.coalesce(*[F.col(f"min_{s}").cast("string") for s in RANGE_SLOTS])
-    hi = F.coalesce(*[F.col(f"max_{s}").cast("string") for s in RANGE_SLOTS])
+    lo = F.coalesce(*[F.col(f"min_{s}").cast("string") for s in ranged])
+    hi = F.coalesce(*[F.col(f"max_{s}").cast("string") for s in ranged])
     return (first.join(F.broadcast(dev), "ci", "left")
             .select("ci", "Total_Lignes", "Valeurs_Remplies", "Valeurs_Distinctes", lo.alias("Min"),
                     hi.alias("Max"), "_mean", F.sqrt(F.greatest(F.col("_var"), F.lit(0.0))).alias("_std")))
 
 
 def top_items(vc: DataFrame, n: int) -> DataFrame:
-    """K8: per column, the ``n`` most frequent values as a sorted array of
+    """K8: per column index, the ``n`` most frequent values as a sorted array of
     (rk, value, nb), ties by value text.  ``row_number() <= n`` is planned with
     a partial group limit before the shuffle (at most n rows per column and
     task travel), and the final array holds at most n items."""
-    rk = F.row_number().over(Window.partitionBy("Colonne").orderBy(F.desc("nb"), F.asc("value")))
-    top = vc.withColumn("rk", rk).filter(F.col("rk") <= n)
-    return top.groupBy("Colonne").agg(F.array_sort(F.collect_list(F.struct("rk", "value", "nb"))).alias("items"))
+    slots = slots_of(vc)
+    texts = vc.filter(_non_null(slots)).select("ci", value_text(slots).alias("value"), "nb")
+    rk = F.row_number().over(Window.partitionBy("ci").orderBy(F.desc("nb"), F.asc("value")))
+    top = texts.withColumn("rk", rk).filter(F.col("rk") <= n)
+    return top.groupBy("ci").agg(F.array_sort(F.collect_list(F.struct("rk", "value", "nb"))).alias("items"))
 
 
 def format_items(items: Column, label) -> Column:
@@ -189,8 +197,11 @@ def column_profile(df: DataFrame, primary_key: str | None = None, top_n: int = 5
 
     ``Mediane`` stays null as in the reference, which skips it as too costly;
     ``median=True`` fills it for numeric columns with the exact distributed
-    quantile (a few more passes, every result bounded)."""
+    quantile (a few more passes, every result bounded).  A requested column
+    that the table lacks gives a row with its name, null numbers and the error
+    as its remark; a table without rows gives 0 rows counted for each column."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    missing = [c for c in columns or [] if c not in df.columns]
     vc = typed_value_counts(df, fields)
     if materialize:
         vc = checkpointed(vc)        # the one pass over the table
@@ -199,12 +210,10 @@ def column_profile(df: DataFrame, primary_key: str | None = None, top_n: int = 5
         [(i, f.name, sql_type(f.dataType)) for i, f in enumerate(fields)],
         "ci int, Colonne string, Type_SQL string")
     stats = column_stats(vc, fields)
-    text_vc = vc.filter(_non_null()).select("ci", value_text().alias("value"), "nb")
-    rk = F.row_number().over(Window.partitionBy("ci").orderBy(F.desc("nb"), F.asc("value")))
-    top = (text_vc.withColumn("rk", rk).filter(F.col("rk") <= top_n)
-           .groupBy("ci").agg(F.array_sort(F.collect_list(F.struct("rk", "value", "nb"))).alias("items")))
     # meta, stats and top have one row per profiled column (size fixed by the schema)
-    out = (F.broadcast(meta).join(stats, "ci", "left").join(F.broadcast(top), "ci", "left"))
+    out = (F.broadcast(meta).join(stats, "ci", "left").join(F.broadcast(top_items(vc, top_n)), "ci", "left")
+           .withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+                         for c in ("Total_Lignes", "Valeurs_Remplies", "Valeurs_Distinctes")}))
     total = F.col("Total_Lignes")
     typ = F.col("Type_SQL")
     is_num = typ.isin(*NUMERIC_SQL)
@@ -213,7 +222,6 @@ def column_profile(df: DataFrame, primary_key: str | None = None, top_n: int = 5
         "top": format_items(F.col("items"), _count_label),
         "top_txt": format_items(F.col("items"), lambda x: F.concat(
             round_to(x["nb"] * 100.0 / total, 1).cast("string"), F.lit("%"))),
-        "Valeurs_Distinctes": F.coalesce(F.col("Valeurs_Distinctes"), F.lit(0)).cast("bigint"),
         "Valeurs_Nulles": F.col("Total_Lignes") - F.col("Valeurs_Remplies"),
         "Min": F.when(is_num | is_date, F.col("Min")),
         "Max": F.when(is_num | is_date, F.col("Max")),
@@ -231,6 +239,10 @@ def column_profile(df: DataFrame, primary_key: str | None = None, top_n: int = 5
                           .otherwise(F.coalesce(F.col("top_txt"), F.lit(""))),
         "Interpretation_Auto": remark(is_num, is_date),
     })
+    if missing:
+        out = out.unionByName(spark.createDataFrame(
+            [(len(fields) + j, c, f"{K.PROFILE_ERROR} '{c}'") for j, c in enumerate(missing)],
+            "ci int, Colonne string, Interpretation_Auto string"), allowMissingColumns=True)
     return out.orderBy("ci").select(
         "Colonne", "Type_SQL", "Type_Logique", "Clé", "Total_Lignes", "Valeurs_Remplies",
         "Valeurs_Nulles", "Pct_NULL", "Valeurs_Distinctes", "Min", "Max", "Moyenne", "Ecart_Type",
@@ -316,21 +328,18 @@ def dimension_profile(tables: dict[str, DataFrame], columns: dict[str, list[str]
         if present:
             start = len(meta_rows)
             meta_rows += [(start + i, table, c, i) for i, c in enumerate(present)]
-            rec = df.select(F.inline(_records([df.schema[c] for c in present])))
+            fields = [df.schema[c] for c in present]
+            rec = df.select(F.inline(_records(fields, _slot_types(fields))))
             rec = rec.withColumn("ci", F.col("ci") + F.lit(start))
-            records = rec if records is None else records.unionByName(rec)
+            records = rec if records is None else records.unionByName(rec, allowMissingColumns=True)
         errors += [(table, c, len(present) + j, f"[UNRESOLVED_COLUMN] column '{c}' not found in {table}")
                    for j, c in enumerate(missing)]
     parts = []
     if records is not None:
-        vc = checkpointed(records.groupBy("ci", *SLOTS).agg(F.count(F.lit(1)).alias("nb")))
+        vc = checkpointed(records.groupBy("ci", *slots_of(records)).agg(F.count(F.lit(1)).alias("nb")))
         meta = spark.createDataFrame(meta_rows, "ci int, Table string, Colonne string, pos int")
         stats = column_stats(vc, []).select("ci", "Total_Lignes", "Valeurs_Remplies", "Valeurs_Distinctes")
-        text_vc = vc.filter(_non_null()).select("ci", value_text().alias("value"), "nb")
-        rk = F.row_number().over(Window.partitionBy("ci").orderBy(F.desc("nb"), F.asc("value")))
-        top = (text_vc.withColumn("rk", rk).filter(F.col("rk") <= top_n).groupBy("ci")
-               .agg(F.array_sort(F.collect_list(F.struct("rk", "value", "nb"))).alias("items"))
-               .select("ci", format_items(F.col("items"), _count_label).alias("top")))
+        top = top_items(vc, top_n).select("ci", format_items(F.col("items"), _count_label).alias("top"))
         parts.append(F.broadcast(meta).join(stats, "ci", "left").join(F.broadcast(top), "ci", "left")
                      .drop("ci").withColumn("Erreur", F.lit(None).cast("string")))
     if errors:

@@ -170,17 +170,17 @@ def test_score_by_hand(spark):
 
 
 def test_stream_matches_batch(spark, tmp_path):
-    from tillcast.streaming.scoring_stream import start_scoring
+    from tillcast.streaming.scoring_stream import read_predictions, read_rejects, start_scoring
     codes = spark.createDataFrame([("A", 0), ("B", 1)], "Famille string, Famille_encoded int")
     supported = spark.createDataFrame([("A",), ("B",)], "Famille string")
     _requests(spark).write.parquet(str(tmp_path / "req"))
     q = start_scoring(spark, str(tmp_path / "req"), str(tmp_path / "out"), _model(), codes, supported,
                       name="test_stream", summer_families=["A"], winter_families=["B"])
     q.awaitTermination()
-    streamed = spark.read.parquet(str(tmp_path / "out" / "predictions")).drop("batch_id")
+    streamed = read_predictions(spark, str(tmp_path / "out")).drop("batch_id")
     batch, rejects = split_scored(score(_requests(spark), _model(), codes, supported, ["A"], ["B"]))
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
-    assert spark.read.parquet(str(tmp_path / "out" / "rejects")).count() == rejects.count() == 2
+    assert read_rejects(spark, str(tmp_path / "out")).count() == rejects.count() == 2
 
 
 def test_save_load_linear(spark, tmp_path):
@@ -225,7 +225,7 @@ def test_high_volume_train_only_means(spark):
 
 
 def test_stream_several_micro_batches(spark, tmp_path):
-    from tillcast.streaming.scoring_stream import start_scoring
+    from tillcast.streaming.scoring_stream import read_predictions, read_rejects, start_scoring
     codes = spark.createDataFrame([("A", 0), ("B", 1)], "Famille string, Famille_encoded int")
     supported = spark.createDataFrame([("A",), ("B",)], "Famille string")
     req = _requests(spark)
@@ -235,8 +235,8 @@ def test_stream_several_micro_batches(spark, tmp_path):
                       name="test_stream_many", max_files_per_trigger=1, summer_families=["A"],
                       winter_families=["B"])
     q.awaitTermination()
-    out = spark.read.parquet(str(tmp_path / "out" / "predictions"))
+    out = read_predictions(spark, str(tmp_path / "out"))
     assert out.select("batch_id").distinct().count() >= 2
     batch, rejects = split_scored(score(req, _model(), codes, supported, ["A"], ["B"]))
     assert sorted(map(tuple, out.drop("batch_id").collect())) == sorted(map(tuple, batch.collect()))
-    assert spark.read.parquet(str(tmp_path / "out" / "rejects")).count() == rejects.count()
+    assert read_rejects(spark, str(tmp_path / "out")).count() == rejects.count()

@@ -132,9 +132,3 @@ def change_against_baseline(metrics: DataFrame, baseline: float | None = MODEL_W
     """Baseline minus new WMAPE (positive = better), rounded to 2; null without a baseline."""
     base = F.lit(baseline).cast("double")
     return metrics.withColumns({"baseline_WMAPE": base, "improvement_pp": round_to(base - F.col(col), 2)})
-
-
-def attach_predictions(test: DataFrame, preds: Column, keys: list[str], target: str,
-                       name: str = "predicted_Quantite") -> DataFrame:
-    """Test rows with the prediction, keys and target only."""
-    return test.select(*keys, target, preds.alias(name))

@@ -156,6 +156,30 @@ def predict_by_group(df: DataFrame, coefs: DataFrame, key: str, features: list[s
         "n", "intercept", *[f"b_{f}" for f in features])
 
 
+def ridge_gradient(train: DataFrame, features: list[str], target: str, prediction: str,
+                   coef: dict[str, Column], alpha: float = RIDGE_ALPHA, by: list[str] | None = None) -> DataFrame:
+    """Optimality of a standardised ridge on its train rows: per term, the
+    gradient of its loss relative to ``n`` times the target's deviation (0 at
+    the optimum, whatever the features' scale).  One aggregate; one row per
+    term (and group): (by, term, n, gradient).  ``intercept`` is the mean residual.
+    """
+    y = F.col(target).cast("double")
+    resid = y - F.col(prediction)
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg(resid).alias("_r"), F.stddev_pop(y).alias("_sy")]
+    for i, f in enumerate(features):
+        x = F.col(f).cast("double")
+        aggs += [F.covar_pop(x, resid).alias(f"_c{i}"), F.stddev_pop(x).alias(f"_s{i}"), F.first(coef[f]).alias(f"_b{i}")]
+    rows = [F.struct(F.lit("intercept").alias("term"), (F.col("_r") / F.col("_sy")).alias("gradient"))]
+    for i, f in enumerate(features):
+        s = F.when(F.col(f"_s{i}") < _SCALE_EPS, 1.0).otherwise(F.col(f"_s{i}"))
+        g = (F.col("n") * F.col(f"_c{i}") - alpha * s * s * F.col(f"_b{i}")) / (F.col("n") * s * F.col("_sy"))
+        rows.append(F.struct(F.lit(f).alias("term"), g.alias("gradient")))
+    by = by or []
+    return (_complete(train, features, target).groupBy(*by).agg(*aggs)
+            .select(*by, "n", F.inline(F.array(*rows)))
+            .select(*by, "term", "n", F.abs("gradient").alias("gradient")))
+
+
 # ------------------------------------------------------------------ M9 seasonal trend (re-aimed)
 
 def fourier_columns(date_col: str, order: int = 10, period_days: float = 365.25) -> dict[str, Column]:
@@ -237,7 +261,13 @@ def fit_gbt(train: DataFrame, features: list[str], target: str, max_iter: int =
     """
     # the fit, the validation pass and the refit all read the same frame
     data = assemble(train, features).persist()
+    try:
+        return _fit_gbt(data, features, target, max_iter, step, depth, seed, patience, date_col, valid_fraction, validation)
+    finally:
+        data.unpersist()
+
 
+def _fit_gbt(data, features, target, max_iter, step, depth, seed, patience, date_col, valid_fraction, validation):
     def make(n):
         return GBTRegressor(featuresCol="features", labelCol=target, maxIter=n, stepSize=step, maxDepth=depth,
                             subsamplingRate=SUBSAMPLE, featureSubsetStrategy=str(COLSAMPLE), seed=seed,
@@ -252,12 +282,11 @@ def fit_gbt(train: DataFrame, features: list[str], target: str, max_iter: int =
                                            F.lit(1 - valid_fraction))).first()[0]
         ts = F.col(date_col).cast("timestamp").cast("long")
         fit_part, valid = data.filter(ts < cut), data.filter(ts >= cut)
-        if fit_part.take(1) and valid.take(1):
-            rounds = growing_rounds(lambda n: make(n).fit(fit_part), lambda m: m.evaluateEachIteration(valid, "squared"),
-                                    max_iter, patience)
-    model = make(rounds).fit(data)
-    data.unpersist()
-    return model, rounds
+        if not fit_part.take(1) or not valid.take(1):
+            raise ValueError("early stopping needs rows on both sides of the validation date")
+        rounds = growing_rounds(lambda n: make(n).fit(fit_part), lambda m: m.evaluateEachIteration(valid, "squared"),
+                                max_iter, patience)
+    return make(rounds).fit(data), rounds
 
 
 def fit_random_forest(train: DataFrame, features: list[str], target: str, trees: int = 300,

@@ -2,8 +2,8 @@
 
 All models train on the weekly v2 feature table after the high-volume filter
 (C1), split in time at the test cut; the tree models use the reference's
-settings except the number of rounds, kept small here (spark.ml fits a round
-per job) and exposed as an argument.
+settings.  Its round counts are upper limits: growing fits end as soon as the
+patience rule has fired, with the round that the full fit would give.
 """
 
 from __future__ import annotations
@@ -20,13 +20,20 @@ from tillcast.operators.encode import code_table
 from tillcast.operators.scoring import model_status, score, split_scored
 from tillcast.plans import params as P
 from tillcast.plans.catalog import clean_frame, register, rounded
-from tillcast.plans.q_features import WEEK_COLS, WEEKLY_COUNTRY, weekly_v2
+from tillcast.plans.q_features import WEEK_COLS, WEEKLY_COUNTRY, _sq, weekly_v2
 from tillcast.plans.q_select import HV_SQL
 from tillcast.session import checkpoint_dir, materialize
 
-GBT_ROUNDS = 60
+# fixed values: most rounds, rounds without improvement, forest trees
+GBT_ROUNDS = 1000
+GBT_ROUNDS_PER_FAMILY = 500
 GBT_PATIENCE = 50
-RF_TREES = 100
+RF_TREES = 300
+
+# fixed coefficients in the order of WEEKLY_FEATURES_15, so that SQL can
+# compute every prediction of the scorer
+FIXED_INTERCEPT = -120.0
+FIXED_COEF = [0.0625, -0.5, 1.25, -2.0, 6.0, 3.5, -4.0, 8.0, 0.75, 0.25, 0.125, 0.0625, 0.1875, 0.25, 0.125]
 KEYS = ["week_start", "Famille"]
 
 
@@ -43,7 +50,7 @@ def weekly_tables(spark, d):
     """(v2 features, high-volume subset), the first written once to the
     checkpoint folder: fits, predictions, code table and requests all read it."""
     v2 = materialize(weekly_v2(spark, d))
-    return v2, S.high_volume(v2, P.threshold(spark, d), P.EXCLUDE)
+    return v2, S.high_volume(v2, P.THRESHOLD, P.EXCLUDE)
 
 
 def ridge_global_parts(spark, d, standardize=True, tables=None):
@@ -71,6 +78,34 @@ def q_ridge_per_family(spark, d):
     return _out(pred.withColumn("prediction", F.when(F.col("prediction") < 0, 0.0).otherwise(F.col("prediction"))))
 
 
+@register("ridge_optimality", f"""{HV_SQL}
+select term, (select count(*) from hv where week_start < DATE '{P.TEST_CUT}') as n, 0.0::double as gradient
+from (values {", ".join(f"('{t}')" for t in ["intercept", *K.WEEKLY_FEATURES_15])}) t(term)""")
+def q_ridge_optimality(spark, d):
+    """M1 + M2: train rows and, per term, the gradient of the fitted global
+    ridge's loss, which is 0 at the one optimum."""
+    model, hv, _ = ridge_global_parts(spark, d)
+    train = _split(hv)[0].withColumn("_p", model.predict_col())
+    coef = {f: F.lit(float(b)) for f, b in zip(model.features, model.coef)}
+    return rounded(MD.ridge_gradient(train, K.WEEKLY_FEATURES_15, K.TARGET, "_p", coef))
+
+
+@register("ridge_family_optimality", f"""{HV_SQL}, g as (
+  select Famille, count(*) filter (where week_start < DATE '{P.TEST_CUT}') as n,
+         count(*) filter (where week_start >= DATE '{P.TEST_CUT}') as n_test from hv group by Famille)
+select Famille, term, n, 0.0::double as gradient
+from g, (values {", ".join(f"('{t}')" for t in ["intercept", *K.WEEKLY_FEATURES_PER_FAMILY])}) t(term)
+where n >= 10 and n_test >= 1""")
+def q_ridge_family_optimality(spark, d):
+    """M4 + P15: the same check for the ridge of every guarded family."""
+    hv = S.guard_groups(weekly_tables(spark, d)[1], "week_start", P.TEST_CUT, 10, 1)
+    train, feats = _split(hv)[0], K.WEEKLY_FEATURES_PER_FAMILY
+    coefs = materialize(MD.fit_ridge_by_group(train, "Famille", feats, K.TARGET))
+    fitted = (MD.predict_by_group(train, coefs, "Famille", feats, "_p")
+              .join(coefs.drop("n", "intercept"), "Famille"))
+    return rounded(MD.ridge_gradient(fitted, feats, K.TARGET, "_p", {f: F.col(f"b_{f}") for f in feats}, by=["Famille"]))
+
+
 @register("ridge_vs_baseline")
 def q_ridge_vs_baseline(spark, d):
     """E7 + E10: overall metrics of the per-family ridge against the WMAPE
@@ -103,7 +138,7 @@ def q_gbt_per_family(spark, d):
     train, test = _split(v1, P.TEST_CUT_LATE)
     families = [r[0] for r in v1.select("Famille").distinct().orderBy("Famille").collect()]
     pred = MD.fit_gbt_by_group(train, test, "Famille", K.WEEKLY_FEATURES_13, K.TARGET, families,
-                               max_iter=GBT_ROUNDS // 2, step=0.05, depth=4, patience=GBT_PATIENCE,
+                               max_iter=GBT_ROUNDS_PER_FAMILY, step=0.05, depth=4, patience=GBT_PATIENCE,
                                date_col="week_start")
     return _out(pred.withColumn("prediction", F.when(F.col("prediction") < 0, 0.0).otherwise(F.col("prediction"))))
 
@@ -190,11 +225,51 @@ from req, choices where famille not in (select Famille from sup)""")(
     lambda spark, d: split_scored(_scored(spark, d))[1])
 
 
+def _fixed_model():
+    return MD.LinearModel(K.WEEKLY_FEATURES_15, FIXED_INTERCEPT, FIXED_COEF)
+
+
+_FIXED_SUM = " + ".join(f"{b!r} * {f}" for f, b in zip(K.WEEKLY_FEATURES_15, FIXED_COEF))
+
+
+@register("score_fixed_model", f"""{HV_SQL}, sup as (select distinct Famille as sfam from hv),
+choices as (select '[' || coalesce(string_agg('''' || sfam || '''', ', ' order by sfam), '') || ']' as c from sup),
+codes as (select distinct Famille as fam, Famille_encoded from v2),
+base as (select Famille as famille, year, week_of_year, lag_1, lag_2, lag_4, lag_52, rolling_mean_4, rolling_mean_12
+         from v2 where week_start >= DATE '{P.TEST_CUT}'),
+req as (select * from base union all
+        select famille, year, 53 as week_of_year, lag_1, lag_2, lag_4, lag_52, rolling_mean_4, rolling_mean_12
+        from base where week_of_year = 52),
+mon as (select *, cast(date_trunc('week', make_date(year, 1, 4)) as date) + cast((week_of_year - 1) * 7 as integer) as m
+        from req),
+x as (select *, isoyear(m) = year and week(m) = week_of_year as valid, month(m) as month, quarter(m) as quarter,
+        cast(month(m) in ({", ".join(map(str, K.SUMMER_MONTHS))}) as int) as is_summer,
+        cast(month(m) in ({", ".join(map(str, K.WINTER_MONTHS))}) as int) as is_winter,
+        cast(month(m) in ({", ".join(map(str, K.SOLDES_MONTHS))}) as int) as is_soldes from mon),
+y as (select x.*, codes.Famille_encoded, sfam is not null as known,
+        cast((famille in ({_sq(P.SUMMER_FAMILIES)}) and is_summer = 1)
+             or (famille in ({_sq(P.WINTER_FAMILIES)}) and is_winter = 1) as int) as is_high_season
+      from x left join codes on fam = famille left join sup on sfam = famille)
+select famille, year, week_of_year,
+       case when known and valid then round(greatest({FIXED_INTERCEPT!r} + {_FIXED_SUM}, 0.0), 2) end as predicted_quantity,
+       case when not known then 'Famille ''' || famille || ''' not supported. Choose from: ' || c
+            when not valid then 'Invalid ISO week: ' || year || '-W' || week_of_year end as error
+from y, choices""")
+def q_score_fixed_model(spark, d):
+    """M13 + X8: the scorer with fixed coefficients over the test weeks of
+    every family, and a week 53 asked for in each year that has a week 52."""
+    v2, hv = weekly_tables(spark, d)
+    base = _requests(v2)
+    requests = base.unionByName(base.filter("week_of_year = 52").withColumn("week_of_year", F.lit(53)))
+    return score(requests, _fixed_model(), code_table(v2, "Famille"), hv.select("Famille").distinct(),
+                 P.SUMMER_FAMILIES, P.WINTER_FAMILIES)
+
+
 @register("score_stream")
 def q_score_stream(spark, d):
     """M13 on a stream: requests written as files, read with readStream,
     scored and written per micro-batch; returns what the stream wrote."""
-    from tillcast.streaming.scoring_stream import start_scoring
+    from tillcast.streaming.scoring_stream import read_predictions, start_scoring
     model, codes, supported, v2 = _scoring_inputs(spark, d)
     run = f"{checkpoint_dir(spark).rstrip('/')}/score-stream-{uuid.uuid4().hex}"
     _requests(v2).write.mode("overwrite").parquet(f"{run}/requests")
@@ -202,7 +277,7 @@ def q_score_stream(spark, d):
                       name=f"scoring_{uuid.uuid4().hex[:8]}", summer_families=P.SUMMER_FAMILIES,
                       winter_families=P.WINTER_FAMILIES)
     q.awaitTermination()
-    return spark.read.parquet(f"{run}/out/predictions").drop("batch_id")
+    return read_predictions(spark, f"{run}/out").drop("batch_id")
 
 
 @register("model_status")
@@ -276,7 +351,7 @@ def q_gbt_country_daily(spark, d):
     train, test = s.filter("split = 'train'"), s.filter("split = 'test'")
     families = [r[0] for r in feats.select("Famille").distinct().orderBy("Famille").collect()]
     pred = MD.fit_gbt_by_group(train, test, "Famille", K.DAILY_FEATURES_15, K.TARGET, families,
-                               max_iter=GBT_ROUNDS // 2, step=0.05, depth=6, patience=GBT_PATIENCE,
+                               max_iter=GBT_ROUNDS_PER_FAMILY, step=0.05, depth=6, patience=GBT_PATIENCE,
                                date_col="Date")
     sizes = S.group_sizes(feats, "Date", P.TEST_CUT, 50, 10).select("Famille", "train_rows", "test_rows")
     per = EV.per_group_metrics(pred, "Famille", K.TARGET, "prediction", split_sizes=sizes)

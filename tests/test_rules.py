@@ -142,6 +142,14 @@ def test_code_table_distributed_path(spark):
     assert small == big == {f"v{i:05d}": i for i in range(3000)}
 
 
+def test_encode_is_the_same_past_the_broadcast_bound(spark, monkeypatch):
+    from tillcast.operators import encode as EN
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("é",), ("a",)], "x string")
+    small = sorted(encode(df, "x").collect(), key=str)
+    monkeypatch.setattr(EN, "BROADCAST_BYTES", 0)
+    assert sorted(encode(df, "x").collect(), key=str) == small
+
+
 def test_top_families_ties(spark):
     df = spark.createDataFrame([("B", 5.0), ("A", 5.0), ("C", 1.0)], "Famille string, sum_Quantite double")
     assert [r[0] for r in S.top_families(df, 2).collect()] == ["A", "B"]

@@ -14,8 +14,17 @@ from pyspark.sql import functions as F
 from tillcast.session import materialize
 
 
+# a code table of at most this many bytes (values and 16 a row) is broadcast
+BROADCAST_BYTES = 32 << 20
+
+
 def code_table(df: DataFrame, col: str, code_col: str | None = None, partitions: int | None = None) -> DataFrame:
-    """(value, code) for the distinct non-null values of ``col``.
+    return code_table_sized(df, col, code_col, partitions)[0]
+
+
+def code_table_sized(df: DataFrame, col: str, code_col: str | None = None,
+                     partitions: int | None = None) -> tuple[DataFrame, int]:
+    """(value, code) for the distinct non-null values of ``col``, and its size in bytes.
 
     ``distinct`` is a partial aggregate, so only distinct values are shuffled.
     They are range-partitioned and sorted inside each partition, written once
@@ -30,27 +39,33 @@ def code_table(df: DataFrame, col: str, code_col: str | None = None, partitions:
     ordered = materialize(distinct.repartitionByRange(n, col).sortWithinPartitions(col)
                           .withColumn("_pid", F.spark_partition_id())
                           .withColumn("_pos", F.monotonically_increasing_id()))
-    counts = sorted((r["_pid"], r["n"]) for r in ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, total = [], 0
-    for pid, cnt in counts:
+    counts = sorted(ordered.groupBy("_pid").agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(col).cast("string"))))
+                    .collect())
+    offsets, total, size = [], 0, 0
+    for pid, cnt, length in counts:
         offsets.append((pid, total))
         total += cnt
+        size += length + 16 * cnt
     off = spark.createDataFrame(offsets or [(0, 0)], "_pid int, _off long")
     # monotonically_increasing_id = partition id << 33 + position in partition
     local = F.col("_pos") - F.shiftleft(F.col("_pid").cast("long"), 33)
     return (ordered.join(F.broadcast(off), "_pid")
-            .select(col, (F.col("_off") + local).cast("int").alias(code_col)))
+            .select(col, (F.col("_off") + local).cast("int").alias(code_col))), size
 
 
 def encode(df: DataFrame, col: str, table: DataFrame | None = None,
            code_col: str | None = None) -> DataFrame:
     """Add ``<col>_encoded``; null or unknown values get -1.
 
-    The code table is joined without a hint: AQE broadcasts it if it measures
-    small and splits a hot value's partition otherwise.
+    A code table built here is broadcast if it measures at most
+    ``BROADCAST_BYTES``.  A larger or given one is joined without a hint: AQE
+    broadcasts it if it is small and splits a hot value's partition otherwise.
     """
     code_col = code_col or f"{col}_encoded"
-    joined = df.join(table if table is not None else code_table(df, col, code_col), on=col, how="left")
+    if table is None:
+        table, size = code_table_sized(df, col, code_col)
+        table = F.broadcast(table) if size <= BROADCAST_BYTES else table
+    joined = df.join(table, on=col, how="left")
     return joined.withColumn(code_col, F.coalesce(F.col(code_col), F.lit(-1)).cast("int"))
 
 

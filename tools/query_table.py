@@ -32,15 +32,17 @@ IDS = {
     "gbt_country_daily": "M6 (V5), E4, E8", "random_forest": "M7", "seasonal_trend": "M9",
     "feature_importance": "M11", "model_comparison": "E9, K7, M3, M7, M8", "model_save_load": "M12",
     "score_requests": "M13, J5, X8", "score_rejects": "M13, J5", "score_stream": "M13 (streaming)",
-    "model_status": "M14",
+    "model_status": "M14", "ridge_optimality": "M1, M2, M10", "ridge_family_optimality": "M4, P15",
+    "score_fixed_model": "M13, J5, X8",
 }
 
 
 def main():
-    import __spark_entry__ as E
-    qs, orc = E.queries(), E.oracle_sql()
+    from tillcast.plans import load_all
+    from tillcast.plans.catalog import ORACLES as orc, QUERIES as qs
+    load_all()
     lines = ["# Registered queries", "",
-             "Every entry of `__spark_entry__.queries()`, the SURVEY section 2 operators it exercises,",
+             "Every query of the sales part, the SURVEY section 2 operators it exercises,",
              "and whether `oracle_sql()` has a DuckDB twin (otherwise the driver checks row counts only).",
              "", "| query | operators | oracle |", "|---|---|---|"]
     for name in qs:

@@ -107,6 +107,48 @@ def test_line_runs_shorter_than_guaranteed_stay(spark):
     assert sorted((r.doc_id, r.text) for r in out.collect()) == data
 
 
+def passages_twin(rows, words=50):
+    """Texts left by the rule with passages, by plain loops; doc_ids are unique."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        lines = text.split("\n")
+        solid = [k for k, x in enumerate(lines) if x.strip(" ")]
+        gone = set()
+        for n in (1, 2, 3):
+            for at in range(len(solid) - n + 1):
+                run = tuple(lines[k].strip(" ") for k in solid[at:at + n])
+                whole = n < 3 and n == len(solid)
+                long = n == 3 or sum(len(re.findall(r"[^ \t\n\v\f\r]+", x)) for x in run) >= words
+                for key in [(run, False)] * long + [(run, True)] * whole:
+                    if key in seen:
+                        gone.update(solid[at:at + n])
+                    seen.add(key)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_short_passages_go_by_their_words(spark):
+    fifty = " ".join(f"w{k}" for k in range(50))
+    half, rest = " ".join(fifty.split()[:25]), " ".join(fifty.split()[25:])
+    short = " ".join(fifty.split()[:49])
+    data = [(1, f"a\n{fifty}\nb"), (2, f"c\n {fifty} \n\nd\n{fifty}"), (3, f"{half}\n{rest}\nx"), (4, f"y\n{half}\n\n{rest}\nz"),
+            (5, f"e\n{short}\nf"), (6, f"{short}\ng"), (7, "tiny\ndoc"), (8, "tiny\n\ndoc"), (9, "tiny\ndoc\nlonger"), (10, "tiny"),
+            (11, "tiny")]
+    want = passages_twin(data)
+    assert (want[2], want[4], want[8], want[11]) == ("c\n\nd", "y\n\nz", "", "")
+    assert [want[i] for i in (3, 5, 6, 7, 9, 10)] == [t for i, t in data if i in (3, 5, 6, 7, 9, 10)]
+    out = linededup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string"), passage_words=50).collect()
+    assert {r.doc_id: r.text for r in out} == want
+
+
+def test_short_passages_on_the_table(spark):
+    mid = "/root/testdata/sf0.01"
+    table = pd.read_parquet(f"{mid}/documents.parquet")
+    want = passages_twin(list(zip(table.doc_id.tolist(), table.text)))
+    out = linededup.dedup_lines(spark.read.parquet(f"{mid}/documents.parquet"), passage_words=50).collect()
+    assert {r.doc_id: r.text for r in out} == want
+
+
 def tiles_twin(text, item, least=5):
     """Greedy tiling, plainly: always the longest common run of free words."""
     a_free, b_free, found = [True] * len(text), [True] * len(item), 0

@@ -49,49 +49,83 @@ def _runs(docs: DataFrame, gram: int, window: int) -> DataFrame:
                     "r.start", "r.run_a", "r.run_b"))
 
 
-def repeated_runs(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
-    """``(doc_id, text_key, starts)``: the later copies of runs, by their first line.
+def _passages(docs: DataFrame, most: int, words: int) -> DataFrame:
+    """``(doc_id, text_key, start, lines, whole, run_a, run_b)``: runs of ``most`` or fewer lines that hold ``words`` words.
+
+    The lines of a document of ``most`` or fewer lines are one more run, marked ``whole``.
+    """
+    def run(i: str, n: str, whole: str) -> str:
+        return (f"struct({i} as start, {n} as lines, {whole} as whole, xxhash64(slice(h, {i}, {n})) as run_a, "
+                f"xxhash64(slice(k, {i}, {n})) as run_b)")
+
+    long = [f"transform(filter(sequence(1, greatest(size(h), 1)), i -> i <= size(h) - {n - 1} and "
+            f"aggregate(slice(w, i, {n}), 0, (a, b) -> a + b) >= {words}), i -> {run('i', str(n), 'false')})"
+            for n in range(1, most + 1)]
+    whole = f"transform(filter(array(size(h)), n -> n between 1 and {most}), n -> {run('1', 'n', 'true')})"
+    found = _let("x", f"filter(split(text, '\\n', -1), y -> {_SOLID.format('y')})",
+                 _let("h", "transform(x, y -> xxhash64(trim(y)))",
+                      _let("k", "transform(x, y -> xxhash64(trim(y), 'second'))",
+                           _let("w", "transform(x, y -> size(filter(split(y, '\\\\s+'), z -> z <> '')))",
+                                f"concat({', '.join([*long, whole])})"))))
+    return (docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode_outer(F.expr(found)).alias("r"))
+            .filter("r is not null").select("doc_id", "text_key", "r.*"))
+
+
+def _later(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``placed`` whose ``keys`` stand at a smaller (doc_id, start) as well."""
+    first = (placed.groupBy(*keys)
+             .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
+             .filter("first <> last").select(*keys, "first"))
+    return placed.join(first, keys).filter(F.struct("doc_id", "start") > F.col("first"))
+
+
+def repeated_runs(docs: DataFrame, gram: int = 2, window: int = 2, passage_words: int | None = None) -> DataFrame:
+    """``(doc_id, text_key, runs)``: the later copies of runs, by their first line and number of lines.
 
     Lines count from 1 over a document's lines that are not blank.  A run is a
     later copy if the same lines start at a smaller (doc_id, line) anywhere.
     """
+    run = gram + window - 1
     runs = written(_runs(docs, gram, window), "runs")
     # neighbouring runs may choose the same gram: a fingerprint is shared if it has two places
     shared = (runs.groupBy("fp").agg(F.min(F.struct("doc_id", "place")).alias("low"),
                                      F.max(F.struct("doc_id", "place")).alias("high"))
               .filter("low <> high").select("fp"))
     placed = written(runs.join(shared, "fp", "left_semi").drop("fp", "place"), "placed")
-    first = (placed.groupBy("run_a", "run_b")
-             .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
-             .filter("first <> last").select("run_a", "run_b", "first"))
-    later = placed.join(first, ["run_a", "run_b"]).filter(F.struct("doc_id", "start") > F.col("first"))
-    return later.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    later = _later(placed, ["run_a", "run_b"]).select("doc_id", "text_key", "start", F.lit(run).alias("lines"))
+    if passage_words is not None and run > 1:
+        passages = written(_passages(docs, run - 1, passage_words), "passages")
+        later = later.unionByName(_later(passages, ["lines", "whole", "run_a", "run_b"])
+                                  .select("doc_id", "text_key", "start", "lines"))
+    return later.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "lines"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, gram: int = 2, window: int = 2, passage_words: int | None = None) -> DataFrame:
     """``docs`` with later repeated runs of lines deleted from ``text``.
 
     A run of at least ``gram + window - 1`` (three) non-blank lines, compared
     without spaces at their ends, is deleted where it also starts earlier,
-    in this document or in one with a smaller doc_id.  Adds ``n_lines`` (lines
+    in this document or in one with a smaller doc_id.  With ``passage_words``
+    the same holds for shorter runs of that many words (parted by white space)
+    or more, and for shorter documents all of whose lines are those of an
+    earlier document; without it shorter runs stay.  Adds ``n_lines`` (lines
     that are not blank) and ``n_removed``.  Every row stays: a document may
     become empty.  Columns of these names in ``docs`` are replaced.  Blank lines are never part of a run and stay.  A null text
     stays null with counts 0; rows without a doc_id stay as they are and are no
     earlier copy for others; rows with one doc_id and one text are one place,
     so neither is later than the other.  An empty table gives no rows.
     """
-    run = gram + window - 1
     known = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    marks = repeated_runs(known, gram, window).select(
-        F.col("doc_id").alias("mark_doc"), F.col("text_key").alias("mark_key"), F.col("starts").alias("mark_starts"))
+    marks = repeated_runs(known, gram, window, passage_words).select(
+        F.col("doc_id").alias("mark_doc"), F.col("text_key").alias("mark_key"), F.col("runs").alias("mark_runs"))
     joined = docs.join(marks, (docs["doc_id"] == F.col("mark_doc")) & (F.xxhash64(docs["text"]) == F.col("mark_key")),
                        "left")
-    gone = f"array_distinct(flatten(transform(mark_starts, s -> sequence(s, s + {run - 1}))))"
+    gone = "array_distinct(flatten(transform(mark_runs, s -> sequence(s.start, s.start + s.lines - 1))))"
     places = "sequence(0, size(x) - 1)"
     kept = _let("x", "split(text, '\\n', -1)",
                 _let("p", f"filter({places}, i -> {_SOLID.format('x[i]')})",
                      f"array_join(transform(array_except({places}, transform({gone}, r -> p[r - 1])), i -> x[i]), '\\n')"))
-    text = F.when(F.col("mark_starts").isNotNull(), F.expr(kept)).otherwise(F.col("text"))
+    text = F.when(F.col("mark_runs").isNotNull(), F.expr(kept)).otherwise(F.col("text"))
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(
         *[text.alias(c) if c == "text" else docs[c] for c in own],

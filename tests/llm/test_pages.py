@@ -100,3 +100,22 @@ def test_style_tree_cuts_what_a_host_repeats(spark):
     assert [got[k] for k in range(6)] == [f"Body {k}" for k in range(6)]
     assert got[10] == "Same words on all pages Only page" and got[11] == "Same words on all pages"
     assert {got[20 + k] for k in range(6)} == {"The same article"}
+
+
+def test_story_beside_articles_stays(spark):
+    data = [
+        (1, "<div class=content><p>story</p></div><aside><article>teaser</article></aside>", "story"),
+        (2, "<div><p>story</p></div><ol class='comment-list'><li><article>reader</article></ol>", "story"),
+        (3, "<div><p>story</p></div><article class='comment'><p>reader</p></article>", "story"),
+        (4, "<div class=lead><p>story</p></div><article><p>card</p></article>", "story card"),
+        (5, "<article class='post comments-open'><p>story</p></article><article class='promo'>buy</article>", "story"),
+    ]
+    out = htmltext.main_text(spark.createDataFrame([(i, "http://s.org/", h) for i, h, _ in data], "page_id long, url string, html string"),
+                             least_pages=9)
+    assert {r.page_id: r.text for r in out.collect()} == {i: t for i, _, t in data}
+
+
+def test_host_decides_what_stands_beside_articles(spark):
+    rows = [(k, f"http://h.org/{k}", f"<div class=x>Same words</div><div class=y>Story {k}</div><article>Card {k}</article>") for k in range(6)]
+    got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Story {k} Card {k}" for k in range(6)}

@@ -119,3 +119,15 @@ def test_host_decides_what_stands_beside_articles(spark):
     rows = [(k, f"http://h.org/{k}", f"<div class=x>Same words</div><div class=y>Story {k}</div><article>Card {k}</article>") for k in range(6)]
     got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {k: f"Story {k} Card {k}" for k in range(6)}
+
+
+def test_notices_go_one_by_one(spark):
+    def pages(at, host, body):
+        return [(at + k, f"http://{host}/{k}", body.format(k=k)) for k in range(6)]
+    rows = pages(0, "inside.org", "<article><div class=box>Follow us</div><p>Body {k}</p><p>Read on</p></article>")
+    rows += pages(10, "path.org", "<div><p>Same notice</p><p>Body {k}</p></div>")
+    rows += pages(20, "half.org", "<article><p>Body {k}</p></article>")[:3]
+    rows += [(23 + k, f"http://half.org/{k}", f"<article><p>Heading</p><p>Text {k}</p></article>") for k in range(3)]
+    got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {at + k: f"Body {k}" for at in (0, 10) for k in range(6)} | {20 + k: f"Body {k}" for k in range(3)}
+    assert got == want | {23 + k: f"Heading Text {k}" for k in range(3)}

@@ -64,6 +64,13 @@ def test_simhash_edge_rows(spark, edge):
         str(i) for i, _, c in simhash_twin([(i, t) for i, t, _ in EDGE]) if i == "None" or i == c)
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    data = [(3, a), (5, a), (5, b), (5, None), (6, ""), (None, a)]
+    kept = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(3, a), (5, b), (5, None), (None, a)]))
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_simhash_links_join_all_near_fingerprints(spark, block):
     """Chains and large groups of near fingerprints, in one block and dealt to many."""

@@ -49,15 +49,23 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` for every row; ``fp`` is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keyed: bool = False) -> DataFrame:
+    """``(doc_id, fp)`` for every row; ``fp`` is the fingerprint as a signed long.
+
+    With ``keyed`` a hash of the text comes between them, as ``text_key``.
+    """
+    names = ["doc_id", "text_key", "fp"] if keyed else ["doc_id", "fp"]
+
     def work(batches):
         for batch in small_batches(batches, "text"):
-            fps = [fingerprint(t, shingle) for t in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))],
-                                             names=["doc_id", "fp"])
+            fps = [fingerprint(t, shingle) for t in text_bytes(batch.column(batch.num_columns - 1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(fps, np.uint64).view(np.int64))],
+                                             names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    key = [F.xxhash64(text).alias("text_key")] if keyed else []
+    return docs.select(F.col("doc_id").cast("long"), *key, text.alias("text")).mapInArrow(
+        work, ", ".join(f"{n} long" for n in names))
 
 
 def _cells(fps: DataFrame, groups: int, max_bits: int) -> DataFrame:
@@ -126,21 +134,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, groups
     component's smallest id; a component without any id has a null id.  An
     empty table gives no rows.
     """
-    fps = written(fingerprints(docs, shingle), "fingerprints")
+    return _classes(fingerprints(docs, shingle), max_bits, groups)
+
+
+def _classes(fps: DataFrame, max_bits: int, groups: int = 6) -> DataFrame:
+    """``fps`` with the ``component_id`` of each row."""
+    fps = written(fps, "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     member = components(links(nodes.select("fp"), max_bits, groups))
     sets = nodes.join(member, nodes.fp == member.node, "left").select(
         "fp", "first_id", F.coalesce("component", "fp").alias("set_id"))
     smallest = sets.groupBy("set_id").agg(F.min("first_id").alias("component_id"))
     of_fp = sets.join(smallest, "set_id").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(of_fp, "fp").select(*fps.columns, "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """``docs`` with one document of each near-duplicate class: the smallest doc_id.
 
-    Rows that repeat that doc_id all stay, as does every row without an id.
+    Each row is judged by its own text, so of rows that share an id but not a
+    class each goes or stays by itself.  Rows of a class that repeat its
+    smallest doc_id all stay, as does every row without an id.
     """
-    classes = near_duplicates(docs, shingle, max_bits)
-    gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    classes = _classes(fingerprints(docs, shingle, keyed=True), max_bits)
+    gone = (classes.filter("doc_id <> component_id")
+            .select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct())
+    return docs.join(gone, (docs["doc_id"] == gone["gone_id"])
+                     & (F.xxhash64(docs["text"].cast("string")) == gone["gone_key"]), "left_anti")

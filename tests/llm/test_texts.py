@@ -279,6 +279,19 @@ def test_secret_spans_and_owners(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_a_value_in_many_documents_of_one_source_is_an_example(spark):
+    hot, few, unowned = "Zx81" * 9, "Qw3rty" * 6, "Ab12cd" * 7
+    data = [(k, "s1", f"{hot} {few}" if k < 9 else hot) for k in range(12)] + [(20, "s2", hot)]
+    data += [(30 + k, None, unowned) for k in range(12)] + [(3, "s1", few), (3, "s1", few)]
+    out = secrets.scan(spark.createDataFrame(data, "doc_id long, source string, text string")).collect()
+    assert len(out) == len(data)
+    for r in out:
+        want = (0, 1, "mixed:0:42") if r.doc_id >= 30 else (1, 1, "mixed:37:73") if r.doc_id < 9 else (1, 0, "")
+        if not (r.doc_id == 3 and r.n_example == 0):
+            assert (r.n_example, r.n_live, r.spans) == want
+    assert sorted((r.n_example, r.n_live) for r in out if r.doc_id == 3) == [(0, 1), (0, 1), (1, 1)]
+
+
 def check_packing(pieces, rows):
     from tokenizers import Tokenizer
     import public_tokenizers

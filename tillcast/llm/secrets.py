@@ -1,9 +1,9 @@
 """Secret scanning with corpus-wide ownership, as DataFrame operations only.
 
 Three patterns give the base spans.  Longer mixed tokens are candidates beside
-them: a candidate is reported if its value belongs to few owners, since a value
-that many repositories of many owners hold is a copied example and one that a
-single owner holds looks live.  Base spans are reported anyway, with the same
+them: a candidate is reported if its value belongs to few owners and to few
+repositories of each, since a value that many owners hold, or many repositories
+of one, is a copied example and one of few looks live.  Base spans are reported anyway, with the same
 judgement of their values.
 """
 
@@ -58,19 +58,21 @@ def found_spans(docs: DataFrame) -> DataFrame:
         .alias("mixed")).select("doc_id", "owner", F.array_sort(F.concat("assign", "access", "hex", "mixed")).alias("spans"))
 
 
-def ownership(candidates: DataFrame, example_owners: int) -> DataFrame:
+def ownership(candidates: DataFrame, example_owners: int, example_repos: int) -> DataFrame:
     """``(value_key, n_repos, n_owners, example)`` of ``candidates(value_key, repo, owner)``.
 
-    Distinct repositories and owners are counted from one row for each value,
+    ``n_repos`` is the largest number of repositories that one owner has the
+    value in.  Null owners count for neither.  Distinct repositories and owners are counted from one row for each value,
     owner and repository, merged before they are shuffled, so a value that a
     third of all rows hold is no hot row.
     """
     by_owner = (candidates.distinct().groupBy("value_key", "owner").agg(F.count("repo").alias("repos")))
-    return (by_owner.groupBy("value_key").agg(F.sum("repos").alias("n_repos"), F.count("owner").alias("n_owners"))
-            .withColumn("example", F.col("n_owners") >= example_owners))
+    return (by_owner.groupBy("value_key").agg(F.max(F.expr("if(owner is null, 0, repos)")).alias("n_repos"),
+                                            F.count("owner").alias("n_owners"))
+            .withColumn("example", (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)))
 
 
-def scan(docs: DataFrame, owner: str = "source", example_owners: int = 3) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", example_owners: int = 3, example_repos: int = 10) -> DataFrame:
     """One row per input row: base counts and spans, and the spans that ownership adds.
 
     Columns: doc_id, n_assign, n_access, n_hex, base (string of
@@ -78,7 +80,8 @@ def scan(docs: DataFrame, owner: str = "source", example_owners: int = 3) -> Dat
     exclusive), spans (base and added, joined likewise), n_example and n_live
     (spans whose value is a widely copied example or owner-specific).  A
     repository is a document and an owner is the ``owner`` column's value;
-    a value held by ``example_owners`` owners or more is an example.  ``mixed``
+    a value held by ``example_owners`` owners or more, or by ``example_repos``
+    repositories or more of one owner, is an example.  ``mixed``
     candidates (32 or more letters, digits and ``+/_-`` with a digit, a capital
     and a small letter, overlapping no base span) are added if they are no
     example.  Null and empty texts have no spans; null owners are one owner
@@ -98,7 +101,7 @@ def scan(docs: DataFrame, owner: str = "source", example_owners: int = 3) -> Dat
     held = kept.filter(F.size("spans") > 0)
     each = held.select("row_key", F.col("doc_id").alias("repo"), "owner", F.explode("spans").alias("s")).select(
         "row_key", "repo", "owner", "s.value_key")
-    examples = ownership(each.select("value_key", "repo", "owner"), example_owners).filter("example").select("value_key")
+    examples = ownership(each.select("value_key", "repo", "owner"), example_owners, example_repos).filter("example").select("value_key")
     of_row = (each.select("row_key", "value_key").distinct().join(examples, "value_key")
               .groupBy("row_key").agg(F.collect_set("value_key").alias("examples")))
     full = (held.join(of_row, "row_key", "left").drop("row_key").unionByName(

@@ -109,3 +109,13 @@ def test_registered_queries_are_the_eleven():
     names = set(E.queries())
     assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in names if q.startswith("op") and q[2].isdigit()}
     assert "pipeline" in names and set(E.oracle_sql()) <= names
+
+
+def test_quality_learns_from_twenty_thousand_rows(spark):
+    """Of 12,000 labelled rows each counts: a word that one of them holds has a weight."""
+    docs = spark.range(12_000).selectExpr("id as doc_id", "concat('q', id) as text")
+    labels = spark.range(12_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    w = quality.train(docs, labels, bits=24, epochs=1, l1=0.0)
+    learnt = [i for i in range(12_000) if binascii.crc32(str(i).encode()) % 5]
+    place = [binascii.crc32(b"q%d" % i, 0) & ((1 << 24) - 1) for i in learnt]
+    assert (w[place] != 0).all()

@@ -3,10 +3,10 @@
 Lines are hashed, ``gram`` consecutive line hashes make a gram, and of every
 ``window`` consecutive grams the smallest is a fingerprint (winnowing), so any
 two equal runs of ``window + gram - 1`` lines share a fingerprint at the same
-place.  Positions are joined on shared fingerprints, and from each shared
-fingerprint the match is extended both ways, line by line, to the runs of that
-guaranteed length around it; runs that stand earlier in the corpus as well are
-deleted.  Longer repeats are unions of such runs.
+place.  Every run of that guaranteed length is kept with its own hash and the
+fingerprint it chose; runs whose fingerprint has one place are dropped, the
+others are grouped by their hash, and runs that stand earlier in the corpus as
+well are deleted.  Longer repeats are unions of such runs.
 """
 
 from __future__ import annotations

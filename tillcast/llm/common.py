@@ -71,6 +71,28 @@ def small_batches(batches, size_of: str, most: int = 8 << 20):
             yield batch.slice(start, step)
 
 
+def rows_by_text(docs: DataFrame, judge) -> DataFrame:
+    """Rows of ``docs`` whose text is kept, with all columns.
+
+    ``judge()`` is called once a task and gives a function from an Arrow column
+    of texts (null where the row has none) to booleans.  A ``mapInArrow`` does
+    this, not a filter by a Python function: the optimiser moves a filter below
+    other operators, where a text that is still an expression cannot be given
+    to Python.
+    """
+    at = docs.columns.index("text")
+
+    def work(batches):
+        keeps = judge()
+        for batch in batches:
+            column = batch.column(at)
+            if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+                column = column.cast(pa.string())
+            yield batch.filter(pa.array(keeps(column), pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def text_bytes(column) -> list[bytes]:
     """UTF-8 bytes of a string column; null gives the empty text."""
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]

@@ -11,16 +11,14 @@ and put in another order are found too.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillcast.llm.common import small_batches
+from tillcast.llm.common import rows_by_text, small_batches
 
 WORD = re.compile(r"\w+")
 _BASE = np.uint64(1_000_003)
@@ -212,14 +210,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float
 
     Each row is judged by its own text, so rows with a null or repeated doc_id
     go or stay by themselves, and nothing is shuffled or joined.  A block of the
-    benchmark is one filter; a row that one block drops is not met with the next.
+    benchmark is one pass over the rows left; a row that one block drops is not met with the next.
     """
-    def holds(held):
-        @F.pandas_udf("boolean")
-        def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def free_of(held):
+        def judge():
             seeds = _Seeds(held.value, least)
-            for texts in batches:
-                yield texts.map(lambda t: next(seeds.found_in(t, coverage), None) is not None).astype(bool)
-        return udf(F.col("text").cast("string"))
+            return lambda texts: [next(seeds.found_in(t, coverage), None) is None for t in texts.to_pylist()]
+        return judge
 
-    return reduce(lambda left, held: left.filter(~holds(held)), _blocks(benchmark, block_chars), docs)
+    return reduce(lambda left, held: rows_by_text(left, free_of(held)), _blocks(benchmark, block_chars), docs)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillcast.llm.common import small_batches, text_bytes
+from tillcast.llm.common import rows_by_text, small_batches, text_bytes
 
 FOLDS = 5
 _CLASS = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b
@@ -142,14 +142,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
     """``docs`` without the rows whose quality score is under ``threshold``."""
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
-    @F.pandas_udf("double")
-    def quality(texts):
+    def judge():
         w = held.value.astype(np.float64)
         bits = (len(w) - 1).bit_length() - 1
 
-        def one(text):
-            place, value = features(b"" if text is None else text.encode(), bits)
-            return float(sigmoid(w[place] @ value + w[-1]))
-        return texts.map(one).astype("float64")
+        def one(text: bytes) -> bool:
+            place, value = features(text, bits)
+            return bool(sigmoid(w[place] @ value + w[-1]) >= threshold)
+        return lambda texts: [one(t) for t in text_bytes(texts)]
 
-    return docs.filter(quality(F.col("text").cast("string")) >= threshold)
+    return rows_by_text(docs, judge)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm import (decontaminate, embeddings, htmltext, linededup, packing, quality, secrets, simhash, substrings,
-                          urlfilter)
+from tillcast.llm import (decontaminate, embeddings, htmltext, linededup, packing, periodic, quality, secrets, simhash,
+                          substrings, urlfilter)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,42 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``; texts of every tenth id by hash repeat a stretch of words to their end.
+
+    With h = crc32 of the decimal doc_id, g = h div 10 and n words, word i >= a of
+    a text with h mod 10 = 0 becomes word a + (i - a) mod p, where a = g mod n and
+    p = 1 + (n - a) div (3 + g mod 8).  All other texts (null ids too) stay.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')")
+    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    chosen = (base.withColumn("g", F.when(h % 10 == 0, F.floor(h / 10)))
+              .withColumn("words", F.when(F.col("g").isNotNull(), words))
+              .withColumn("n", F.size("words"))
+              .withColumn("a", F.expr("case when n > 0 then g % n end"))
+              .withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)")))
+    repeated = F.expr("array_join(transform(sequence(0, n - 1), "
+                      "i -> words[cast(if(i < a, i, a + (i - a) % p) as int)]), ' ')")
+    return chosen.select("doc_id", F.when(F.col("a").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def periodic_digest(docs: DataFrame, plant: bool = True) -> DataFrame:
+    """One row per document: its runs, their strongest (by exact length over period) and digests."""
+    out = periodic.collapse(planted_runs(docs) if plant else docs)
+    # a / b > c / d for positive whole numbers is a * d > c * b
+    best = F.expr("""aggregate(runs, cast(null as struct<start:long,length:long,period:long>), (b, r) ->
+        case when b is null or cast(r.length as decimal(20,0)) * b.period > cast(b.length as decimal(20,0)) * r.period
+             then r else b end)""")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return (out.withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                    F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+                    F.sha2(lines, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256")))
+
+
+@_register
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_digest(_table(spark, sf_dir, "documents"))

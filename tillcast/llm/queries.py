@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm import (decontaminate, embeddings, htmltext, linededup, packing, periodic, quality, secrets, simhash,
-                          substrings, urlfilter)
+from tillcast.llm import (collocations, decontaminate, embeddings, htmltext, linededup, packing, periodic, quality, secrets,
+                          simhash, substrings, urlfilter)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,11 @@ def periodic_digest(docs: DataFrame, plant: bool = True) -> DataFrame:
 @_register
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_digest(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_collocations"] = collocations.ORACLE

@@ -107,7 +107,7 @@ def test_pipeline_edge_rows(spark, edge):
 def test_registered_queries_are_the_dealt_ones():
     import __spark_entry__ as E
     names = set(E.queries())
-    assert {f"op{n}_" for n in range(1, 13)} == {q.split("_")[0] + "_" for q in names if q.startswith("op") and q[2].isdigit()}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in names if q.startswith("op") and q[2].isdigit()}
     assert "pipeline" in names and set(E.oracle_sql()) <= names
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm import (collocations, decontaminate, embeddings, htmltext, linededup, packing, periodic, quality, secrets,
-                          simhash, substrings, urlfilter)
+from tillcast.llm import (collocations, decontaminate, embeddings, htmltext, licenses, linededup, packing, periodic, quality,
+                          secrets, simhash, substrings, urlfilter)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +138,15 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_collocations"] = collocations.ORACLE
+
+
+@_register
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(_table(spark, sf_dir, "documents"), licenses.PHRASES + licenses.NOTICES)
+    base = F.expr("array_join(array_sort(array_distinct(transform(filter(matches, m -> m.phrase), m -> m.label))), ',')")
+    every = F.expr("array_join(array_sort(array_distinct(transform(matches, m -> m.label))), ',')")
+    return out.select("doc_id", "n_words", F.col("n_places").alias("n_base"), "first_word", "last_word",
+                      base.alias("base_labels"), every.alias("labels"), "score")
+
+
+ORACLES["op13_licenses"] = licenses.oracle(licenses.PHRASES + licenses.NOTICES)

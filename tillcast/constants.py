@@ -114,6 +114,10 @@ RIDGE_ALPHA = 1.0
 GBT_SEED = 42
 SUBSAMPLE = 0.8
 COLSAMPLE = 0.8
+CHANGEPOINTS = 25               # places where a trend may change its slope
+CHANGEPOINT_RANGE = 0.8         # share of the training period they are spread over
+CHANGEPOINT_PRIOR = 0.1         # scale of the prior on the changes
+FOURIER_ORDER = 10              # yearly sine and cosine pairs
 
 # ---- fixed values: saved-model status
 MODEL_NAME = "Ridge (alpha=1.0) — Global Model"

@@ -15,7 +15,6 @@ size is the number of families.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,7 +26,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillcast.constants import COLSAMPLE, GBT_SEED, RIDGE_ALPHA, SUBSAMPLE
-from tillcast.functions.scalars import clip_zero
 
 # scikit-learn treats a scale below 10 * machine epsilon as 0 and uses 1
 _SCALE_EPS = 10 * np.finfo(np.float64).eps
@@ -180,32 +178,6 @@ def ridge_gradient(train: DataFrame, features: list[str], target: str, predictio
             .select(*by, "term", "n", F.abs("gradient").alias("gradient")))
 
 
-# ------------------------------------------------------------------ M9 seasonal trend (re-aimed)
-
-def fourier_columns(date_col: str, order: int = 10, period_days: float = 365.25) -> dict[str, Column]:
-    """Trend t (years) and yearly Fourier terms sin/cos(2 pi k t), k = 1..order."""
-    days = F.datediff(F.col(date_col), F.lit("1970-01-01").cast("date")).cast("double")
-    cols = {"t": days / period_days}
-    for k in range(1, order + 1):
-        ang = days * (2 * math.pi * k / period_days)
-        cols[f"sin_{k}"] = F.sin(ang)
-        cols[f"cos_{k}"] = F.cos(ang)
-    return cols
-
-
-def seasonal_trend(train: DataFrame, test: DataFrame, key: str, date_col: str, target: str,
-                   order: int = 10, alpha: float = RIDGE_ALPHA, out: str = "prediction") -> DataFrame:
-    """M9: per family, a ridge on trend + yearly Fourier terms of log1p(y)
-    (multiplicative yearly seasonality), predicted back with expm1 and
-    clipped at 0.  A different model for the same task as the reference's."""
-    cols = fourier_columns(date_col, order)
-    feats = list(cols)
-    tr = train.withColumns(cols).withColumn("_ly", F.log1p(clip_zero(F.col(target))))
-    coefs = fit_ridge_by_group(tr, key, feats, "_ly", alpha=alpha, standardize=True)
-    pred = predict_by_group(test.withColumns(cols), coefs, key, feats, "_lp")
-    return pred.withColumn(out, clip_zero(F.expm1(F.col("_lp")))).drop("_lp", *feats)
-
-
 # ------------------------------------------------------------------ M5-M7 trees
 
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tillcast import constants as K
 from tillcast.operators import evaluate as EV
 from tillcast.operators import models as MD
+from tillcast.operators import seasonal as SE
 from tillcast.operators import select as S
 from tillcast.operators.encode import code_table
 from tillcast.operators.scoring import model_status, score, split_scored
@@ -153,15 +154,36 @@ def rf_parts(spark, d):
 register("random_forest")(lambda spark, d: _out(rf_parts(spark, d)[1]))
 
 
-def seasonal_parts(spark, d, hv=None):
+def seasonal_split(spark, d, hv=None):
+    """Train and test weeks of the families that pass the guard (10 train rows, 1 test row)."""
     hv = hv if hv is not None else weekly_tables(spark, d)[1]
-    train, test = _split(hv)
-    return MD.seasonal_trend(train, test, "Famille", "week_start", K.TARGET)
+    return _split(S.guard_groups(hv, "week_start", P.TEST_CUT, 10, 1))
+
+
+def seasonal_parts(spark, d, hv=None):
+    train, test = seasonal_split(spark, d, hv)
+    return SE.changepoint_trend(train, test, "Famille", "week_start", K.TARGET)
 
 
 register("seasonal_trend")(lambda spark, d: _out(seasonal_parts(spark, d)))
 
 
+@register("seasonal_optimality", f"""{HV_SQL}, g as (
+  select Famille, count(*) filter (where week_start < DATE '{P.TEST_CUT}') as n,
+         count(*) filter (where week_start >= DATE '{P.TEST_CUT}') as n_test,
+         date_diff('day', min(week_start), max(week_start) filter (where week_start < DATE '{P.TEST_CUT}')) as width
+  from hv group by Famille)
+select Famille, term, round({K.CHANGEPOINT_RANGE} * j * width / {K.CHANGEPOINTS}, 6)::double as at_day, n, 0.0::double as violation
+from g, (values {", ".join(f"('{t}', {t.split('_')[1] if t.startswith('change_') else 'null'})" for t in SE.TERMS)}) t(term, j)
+where n >= 10 and n_test >= 1""")
+def q_seasonal_optimality(spark, d):
+    """M9 + P15: places of the changepoints and, per family and term, by how
+    much the fit misses the optimality conditions of its prior (0 at the optimum)."""
+    train, _ = seasonal_split(spark, d)
+    fitted = materialize(SE.fit_changepoint_trend(train, "Famille", "week_start", K.TARGET))
+    return rounded(SE.optimality(train, fitted, "Famille", "week_start", K.TARGET))
+
+
 @register("feature_importance")
 def q_feature_importance(spark, d):
     """Importances of the global GBT, sorted descending."""

@@ -73,6 +73,13 @@ DAILY_FEATURES_16 = [
     "lag_7", "lag_14", "lag_28",
     "rolling_mean_7", "rolling_mean_30",
 ]
+DAILY_FEATURES_16_V4 = [
+    "year", "month", "day", "day_of_week", "week_of_year",
+    "quarter", "is_weekend", "is_month_start", "is_month_end",
+    "Famille_encoded", "CodeMag_encoded",
+    "lag_7", "lag_14", "lag_28",
+    "rolling_mean_7", "rolling_mean_30",
+]
 DAILY_FEATURES_15 = [
     "year", "month", "day", "day_of_week", "week_of_year",
     "quarter", "is_weekend", "is_month_start", "is_month_end",

@@ -202,16 +202,20 @@ WEEKLY_CAL_SQL = """cast(month(week_start) as integer) as month, cast(quarter(we
   cast(month(week_start) in (1, 7) as integer) as is_soldes"""
 
 
-@register("weekly_features_v1", f"""{WEEKLY_SQL}, feat as (
+WEEKLY_V1_SQL = f"""{WEEKLY_SQL}, feat as (
   select Famille, year, week_of_year, week_start, sum_Quantite, {WEEKLY_CAL_SQL},
   cast(dense_rank() over (order by Famille) - 1 as integer) as Famille_encoded,
   {_lag_sql('sum_Quantite', 'Famille', 'year, week_of_year', [1, 2, 4], [4, 12], True)}
-  from weekly)
+  from weekly),
+v1 as (select * from feat where Famille is not null and lag_1 is not null and lag_2 is not null and lag_4 is not null
+  and rolling_mean_4 is not null and rolling_mean_12 is not null)"""
+
+
+@register("weekly_features_v1", f"""{WEEKLY_V1_SQL}
 select Famille, year, week_of_year, week_start, round(sum_Quantite, 6) as sum_Quantite, month, quarter,
        is_summer, is_winter, is_soldes, Famille_encoded,
        {_r(['lag_1', 'lag_2', 'lag_4', 'rolling_mean_4', 'rolling_mean_12'])}
-from feat where Famille is not null and lag_1 is not null and lag_2 is not null and lag_4 is not null
-  and rolling_mean_4 is not null and rolling_mean_12 is not null""")
+from v1""")
 def q_weekly_features_v1(spark, d):
     return rounded(FE.weekly_features_v1(clean_frame(spark, d, WEEK_COLS), WEEKLY_COUNTRY))
 

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tillcast import constants as K
+from tillcast.operators import boosting as BO
 from tillcast.operators import evaluate as EV
 from tillcast.operators import models as MD
 from tillcast.operators import seasonal as SE
@@ -21,7 +22,7 @@ from tillcast.operators.encode import code_table
 from tillcast.operators.scoring import model_status, score, split_scored
 from tillcast.plans import params as P
 from tillcast.plans.catalog import clean_frame, register, rounded
-from tillcast.plans.q_features import WEEK_COLS, WEEKLY_COUNTRY, _sq, weekly_v2
+from tillcast.plans.q_features import STORE_FEAT_SQL, WEEK_COLS, WEEKLY_COUNTRY, WEEKLY_V1_SQL, _sq, weekly_v2
 from tillcast.plans.q_select import HV_SQL
 from tillcast.session import checkpoint_dir, materialize
 
@@ -29,6 +30,7 @@ from tillcast.session import checkpoint_dir, materialize
 GBT_ROUNDS = 1000
 GBT_ROUNDS_PER_FAMILY = 500
 GBT_PATIENCE = 50
+GBT_PATIENCE_TOP_FAMILIES = 30
 RF_TREES = 300
 
 # fixed coefficients in the order of WEEKLY_FEATURES_15, so that SQL can
@@ -129,6 +131,14 @@ register("gbt_global")(lambda spark, d: _out(gbt_global_parts(spark, d)[1].withC
     "prediction", F.when(F.col("prediction") < 0, 0.0).otherwise(F.col("prediction")))))
 
 
+def weekly_family_rows(spark, d):
+    """M6 (V6): weekly v1 features of families with 10 train / 3 test rows, with each row's role."""
+    from tillcast.operators.features import weekly_features_v1
+    v1 = weekly_features_v1(clean_frame(spark, d, WEEK_COLS), WEEKLY_COUNTRY)
+    v1 = S.guard_groups(materialize(v1), "week_start", P.TEST_CUT_LATE, 10, 3)
+    return materialize(BO.hold_out_last(v1, "Famille", "week_start", P.TEST_CUT_LATE))
+
+
 @register("gbt_per_family")
 def q_gbt_per_family(spark, d):
     """M6 (V6 settings): weekly v1 features, one model per family, depth 4,
@@ -378,3 +388,79 @@ def q_gbt_country_daily(spark, d):
     sizes = S.group_sizes(feats, "Date", P.TEST_CUT, 50, 10).select("Famille", "train_rows", "test_rows")
     per = EV.per_group_metrics(pred, "Famille", K.TARGET, "prediction", split_sizes=sizes)
     return rounded(per)
+
+
+# ------------------------------------------------------------------ one model per top family (V3, V4)
+
+def top_family_rows(spark, d, country=None):
+    """M6 (V3; V4 with a country): targets >= 2, the top families, guard 100 train / 10 test
+    rows, each row's role; validation rows are the last fifth of a family's training rows."""
+    from tillcast.operators.features import store_features
+    from tillcast.plans.q_features import MART_COLS
+    from tillcast.sources.tables import store_country
+    feats = materialize(store_features(clean_frame(spark, d, MART_COLS), with_dominant=False, stores=store_country(spark, d)))
+    rows = S.guard_groups(S.min_then_top(feats, P.TOP_K, 2, country), "Date", P.TEST_CUT, 100, 10)
+    return materialize(BO.hold_out_last(rows, "Famille", "Date", P.TEST_CUT))
+
+
+def _top_family_model(spark, d, features, country=None):
+    model = BO.fit_boosting(top_family_rows(spark, d, country), "Famille", features, K.TARGET, GBT_ROUNDS, step=0.05, depth=5,
+                            patience=GBT_PATIENCE_TOP_FAMILIES)
+    pred = model.predictions.filter(F.col("role") == BO.TEST)
+    return rounded(pred.select("Date", "CodeMag", "Famille", "Pays", K.TARGET,
+                               F.when(F.col("prediction") < 0, 0.0).otherwise(F.col("prediction")).alias("predicted_Quantite")))
+
+
+register("gbt_top_families")(lambda spark, d: _top_family_model(spark, d, K.DAILY_FEATURES_16))
+register("gbt_top_families_country")(lambda spark, d: _top_family_model(spark, d, K.DAILY_FEATURES_16_V4, P.COUNTRY))
+
+
+def _root_split_sql(features, rows_sql, date_col, cut):
+    """The best first split of every family of ``rows`` from all cuts and features, by joins of rows and cuts."""
+    values = "\nunion all ".join(
+        f"select Famille, y, {i} as f, '{f}' as feature, cast({f} as double) as x from fit" for i, f in enumerate(features))
+    shares = ", ".join(repr(k / 32) for k in range(1, 32))
+    return f"""{rows_sql},
+train as (select *, {K.TARGET} as y from kept where {date_col} < DATE '{cut}'),
+edge as (select Famille, quantile_disc({date_col}, 0.8) as e from train group by Famille),
+fit as (select train.* from train join edge using (Famille) where {date_col} <= e),
+base as (select Famille, avg(y) as base, count(*) as n from fit group by Famille),
+vals as ({values}),
+cuts as (select distinct Famille, f, feature, cut from (
+  select Famille, f, feature, unnest(quantile_disc(x, [{shares}])) as cut from vals group by Famille, f, feature)),
+sides as (select c.Famille, c.f, c.feature, c.cut, count(*) as nl, sum(v.y - b.base) as sl
+          from cuts c join vals v on v.Famille = c.Famille and v.f = c.f and v.x <= c.cut join base b on b.Famille = c.Famille
+          group by c.Famille, c.f, c.feature, c.cut),
+gains as (select *, n - nl as nr, 0.5 * (sl * sl / (nl + 1) + sl * sl / (n - nl + 1)) as gain
+          from sides join base using (Famille) where nl >= 1 and n - nl >= 1)
+select Famille, feature, round(cut, 6) as cut, round(gain, 4) as gain, nl::bigint as nl, nr::bigint as nr, round(base, 6) as base from gains
+qualify row_number() over (partition by Famille order by round(gain, 4) desc, f, cut) = 1"""
+
+
+def _root_splits(rows, features):
+    """M6: the first split of each family's first tree, over all features and fit rows."""
+    rows = rows.filter(F.col("role") == BO.FIT)
+    cuts = materialize(BO.quantile_cuts(rows, "Famille", features, K.TARGET))
+    data = rows.join(cuts, "Famille").withColumn("bins", BO.binned(rows, features))
+    data = data.select("Famille", F.lit(1).alias("node"), (F.col(K.TARGET) - F.col("base")).alias("res"), "bins",
+                       F.expr(f"sequence(0, {len(features) - 1})").alias("chosen"))
+    names = F.array(*[F.lit(f) for f in features])
+    best = BO.best_splits(data, "Famille").join(cuts, "Famille")
+    return rounded(best.select("Famille", F.get(names, F.col("split.f")).alias("feature"),
+                               F.get(F.get("cuts", F.col("split.f")), F.col("split.b")).alias("cut"),
+                               F.round("split.gain", 4).alias("gain"), "split.nl", "split.nr", "base"))
+
+
+register("boost_root_splits", _root_split_sql(K.WEEKLY_FEATURES_13, f"""{WEEKLY_V1_SQL},
+sizes as (select Famille from v1 group by Famille having count(*) filter (where week_start < DATE '{P.TEST_CUT_LATE}') >= 10
+          and count(*) filter (where week_start >= DATE '{P.TEST_CUT_LATE}') >= 3),
+kept as (select * from v1 where Famille in (select Famille from sizes))""", "week_start", P.TEST_CUT_LATE))(
+    lambda spark, d: _root_splits(weekly_family_rows(spark, d), K.WEEKLY_FEATURES_13))
+
+register("boost_root_splits_top", _root_split_sql(K.DAILY_FEATURES_16, f"""{STORE_FEAT_SQL},
+sf as (select * from feat where lag_7 is not null and lag_14 is not null and lag_28 is not null and sum_Quantite >= 2),
+top as (select Famille from sf where Famille is not null group by Famille order by sum(sum_Quantite) desc, Famille limit {P.TOP_K}),
+sizes as (select Famille from sf where Famille in (select Famille from top) group by Famille
+          having count(*) filter (where Date < DATE '{P.TEST_CUT}') >= 100 and count(*) filter (where Date >= DATE '{P.TEST_CUT}') >= 10),
+kept as (select * from sf where Famille in (select Famille from sizes))""", "Date", P.TEST_CUT))(
+    lambda spark, d: _root_splits(top_family_rows(spark, d), K.DAILY_FEATURES_16))

@@ -30,6 +30,8 @@ IDS = {
     "ridge_global": "M1, M2, M10, M15", "ridge_per_family": "M4, P15, M15", "ridge_vs_baseline": "E7, E10",
     "gbt_global": "M5", "gbt_per_family": "M6, P15", "gbt_store_daily": "M5 (V2 order)",
     "gbt_country_daily": "M6 (V5), E4, E8", "random_forest": "M7", "seasonal_trend": "M9", "seasonal_optimality": "M9, P15",
+    "boost_root_splits": "M6 (V6), P15", "boost_root_splits_top": "M6 (V3), P15",
+    "gbt_top_families": "M6 (V3), M10", "gbt_top_families_country": "M6 (V4), M10",
     "feature_importance": "M11", "model_comparison": "E9, K7, M3, M7, M8", "model_save_load": "M12",
     "score_requests": "M13, J5, X8", "score_rejects": "M13, J5", "score_stream": "M13 (streaming)",
     "model_status": "M14", "ridge_optimality": "M1, M2, M10", "ridge_family_optimality": "M4, P15",

@@ -338,7 +338,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, chunk_bytes: int = 8 << 20,
              .join(words.select("lang", "word", "id"), ["lang", "word"])
              .groupBy("chunk").agg(F.collect_list(F.struct("pos", "id")).alias("known")))
     filters = chunks.select("chunk", "lang", "ids").join(known, "chunk").select("lang", "ids", "known").mapInArrow(
-        _filters(bits, shard, 1 << 22), "lang string, n int, bucket long, filter binary")
+        _filters(bits, shard, 1 << 21), "lang string, n int, bucket long, filter binary")
     phrases = written(filters.repartition("lang", "n", "bucket").sortWithinPartitions("lang", "n", "bucket").mapInArrow(
         _merged(bits, shard, least), "lang string, n int, ids array<long>, f long"), "phrases")
     return words, ones.unionByName(phrases)

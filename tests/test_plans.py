@@ -57,3 +57,10 @@ def test_per_family_ridge_python_sees_aggregates_only(spark):
     i = next(k for k, ln in enumerate(tree) if "MapInPandas" in ln)
     below = tree[i + 1:i + 4]
     assert any("HashAggregate" in ln or "ObjectHashAggregate" in ln or "SortAggregate" in ln for ln in below)
+
+
+def test_gap_fill_joins_bounds_only(spark):
+    """One window over the mart and a one-row broadcast: no grid join, no second scan of the lines."""
+    tree = plan(E.queries()["calendar_fill"](spark, SF_SMALL)).split("\n\n")[0]
+    assert "SortMergeJoin" not in tree and "lineitem" not in tree
+    assert tree.count("Window") == 1 and "Generate" in tree

@@ -259,3 +259,56 @@ def test_sales_rows_do_not_depend_on_the_columns(spark, tmp_path):
     counts = {c: sales(spark, str(tmp_path), [c]).count() for c in ("Date", "Famille", "Pays", "Reception")}
     assert len(set(counts.values())) == 1
     assert sales(spark, str(tmp_path), ["Pays"]).filter("Pays is null").count() > 0
+
+
+def test_calendar_fill_edges_and_one_scan(spark):
+    """Days before a key's first and after its last row; rows without key or day; empty input."""
+    import datetime as dt
+    from tillcast.operators.features import calendar_fill
+    day = lambda k: dt.date(2022, 1, k)
+    rows = [("A", day(1), 2.0), ("A", day(4), None), ("B", day(3), 5.0), (None, day(2), 1.0), ("C", None, 1.0)]
+    df = spark.createDataFrame(rows, "Famille string, Date date, q double")
+    got = sorted(tuple(r) for r in calendar_fill(df, measures=("q",)).collect())
+    want = [(day(k), f, {("A", 1): 2.0, ("B", 3): 5.0}.get((f, k), 0.0)) for k in range(1, 5) for f in "AB"]
+    assert got == sorted(want)
+    assert calendar_fill(df.limit(0), measures=("q",)).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["D", "W"])
+@pytest.mark.parametrize("full", [True, False])
+def test_date_lags_equal_fill_then_row_lags(spark, unit, full):
+    """Against pandas: reindex to the whole calendar, shift and roll there."""
+    import datetime as dt
+    import numpy as np
+    import pandas as pd
+    from tillcast.operators.features import add_date_lags
+    rng, step = np.random.default_rng(3), {"D": 1, "W": 7}[unit]
+    base, rows = dt.date(2021, 12, 27), []
+    for key in "AB":
+        for k in sorted(rng.choice(60, 25, replace=False).tolist()):
+            rows.append((key, base + dt.timedelta(days=k * step), float(rng.integers(1, 99))))
+    df = spark.createDataFrame(rows + [(None, base, 1.0), ("A", None, 1.0)], "k string, d date, v double")
+    got = add_date_lags(df, ["k"], "d", [1, 3], [4], full, value="v", unit=unit, fill=0.0)
+    gone = [r for r in got.collect() if r["k"] is None or r["d"] is None]
+    assert len(gone) == 2 and all(r["lag_1"] is None and r["rolling_mean_4"] is None for r in gone)
+    frame = pd.DataFrame(rows, columns=["k", "d", "v"])
+    for key, part in frame.groupby("k"):
+        s = part.set_index(pd.to_datetime(part["d"]))["v"]
+        s = s.reindex(pd.date_range(s.index.min(), s.index.max(), freq=f"{step}D"), fill_value=0.0)
+        want = pd.DataFrame({"lag_1": s.shift(1), "lag_3": s.shift(3),
+                             "rolling_mean_4": s.shift(1).rolling(4, min_periods=4 if full else 1).mean()})
+        for r in got.filter((got.k == key) & got.d.isNotNull()).collect():
+            for c in want.columns:
+                w = want.loc[pd.Timestamp(r["d"]), c]
+                assert (r[c] is None and np.isnan(w)) or abs(r[c] - w) < 1e-9
+
+
+def test_date_lags_without_fill_leave_gaps_null(spark):
+    import datetime as dt
+    from tillcast.operators.features import add_date_lags
+    rows = [("A", dt.date(2022, 1, 1), 2.0), ("A", dt.date(2022, 1, 2), 4.0), ("A", dt.date(2022, 1, 5), 8.0)]
+    df = spark.createDataFrame(rows, "k string, d date, v double")
+    got = add_date_lags(df, ["k"], "d", [1, 3], [3], False, value="v").orderBy("d").collect()
+    assert [(r["lag_1"], r["lag_3"], r["rolling_mean_3"]) for r in got] == [(None, None, None), (2.0, None, 2.0), (None, 4.0, 4.0)]
+    with pytest.raises(ValueError):
+        add_date_lags(df, ["k"], "d", [1], [], False, value="v", unit="M")

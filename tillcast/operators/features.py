@@ -78,22 +78,75 @@ def valid_families(df: DataFrame, col: str = "Famille") -> DataFrame:
 def calendar_fill(df: DataFrame, key: str = "Famille", date_col: str = "Date",
                   measures: tuple[str, ...] = ("sum_Quantite", "sum_Total", "nb_magasins")) -> DataFrame:
     """Every day from the global first to the global last day, for every
-    key, left-joined to the data; the measures get 0 where missing (and the
-    counts become doubles, as after a pandas fill).
-
-    The bounds are one row.  Each key row expands its own day sequence, so
-    the grid is built without a cross join, and its size is exactly the
-    output size (keys x days).  Input must have one row per (key, day).
+    key; the measures get 0 where missing (and the counts become doubles, as
+    after a pandas fill).
+
+    Each row emits its own day and the missing days up to the key's next row
+    (``lead``); a key's first row also emits the days before it.  Nothing is
+    joined but the one-row bounds, and no grid of keys and days is made.  The
+    input is read twice, so give a materialized mart with one row per
+    (key, day).  Rows without a key or a day are left out; an empty input gives
+    no rows.
+    """
+    rows = df.filter(F.col(key).isNotNull() & F.col(date_col).isNotNull()).select(
+        F.col(key), F.col(date_col).alias("_day"), *[F.col(m).cast("double").alias(m) for m in measures])
+    bounds = rows.agg(F.min("_day").alias("_lo"), F.max("_day").alias("_hi"))       # one row
+    w = Window.partitionBy(key).orderBy("_day")
+    spans = rows.withColumns({"_prev": F.lag("_day").over(w), "_next": F.lead("_day").over(w)}).join(F.broadcast(bounds))
+    first = F.when(F.col("_prev").isNull(), F.col("_lo")).otherwise(F.col("_day"))
+    last = F.coalesce(F.date_sub("_next", 1), F.col("_hi"))
+    days = spans.withColumn(date_col, F.explode(F.sequence(first, last, F.expr("INTERVAL 1 DAY"))))
+    own = F.col(date_col) == F.col("_day")
+    return days.select(date_col, key, *[F.when(own, F.coalesce(m, F.lit(0.0))).otherwise(0.0).alias(m) for m in measures])
+
+
+def add_date_lags(df: DataFrame, keys: list[str], date_col: str, lags: list[int], rolling: list[int],
+                  full_windows: bool, value: str = TARGET, unit: str = "D", fill: float | None = None,
+                  start: str | None = None) -> DataFrame:
+    """W1 + W2/W3 by date: ``lag_k`` is the value ``k`` days (``unit='D'``) or
+    ISO weeks (``'W'``) earlier, whatever rows lie between.
+
+    RANGE frames over the day or week number find the earlier rows, so no
+    missing rows are made.  With ``fill`` a missing day counts as that value
+    from ``start`` on (a column with the first day of the calendar; by default
+    the key's own first day): the same numbers as lags by row over a filled
+    calendar.  Without it a missing day has no value: its lag is null, means
+    leave it out, and ``full_windows`` asks for all ``k`` values.  Input: one
+    row per key and day (week); rows with a null key or date get nulls.
     """
-    bounds = df.agg(F.min(date_col).alias("lo"), F.max(date_col).alias("hi")).first()
-    if bounds["lo"] is None:
-        return df.select(key, date_col, *[F.col(m).cast("double") for m in measures]).limit(0)
-    keys = df.select(key).filter(F.col(key).isNotNull()).distinct()
-    grid = keys.select(key, F.explode(F.sequence(F.lit(bounds["lo"]), F.lit(bounds["hi"]),
-                                                 F.expr("INTERVAL 1 DAY"))).alias(date_col))
-    filled = grid.join(df, on=[key, date_col], how="left")
-    return filled.select(date_col, key, *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m)
-                                          for m in measures])
+    if unit not in ("D", "W"):
+        raise ValueError("unit is 'D' or 'W'")
+    monday = F.lit("1970-01-05").cast("date")
+
+    def number(c: Column) -> Column:
+        days = F.datediff(c, monday)
+        return days if unit == "D" else F.floor(days / 7).cast("int")
+
+    own = [c for c in df.columns]
+    known = F.col(date_col).isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    at = df.withColumn("_at", number(F.col(date_col)))
+    series = Window.partitionBy(*keys)
+    begin = number(F.col(start)) if start else F.min("_at").over(series)
+    at = at.withColumn("_from", begin)
+    order = series.orderBy("_at")
+    past = F.col("_at") - F.col("_from")            # days of the calendar before this one
+    out = {}
+    for k in lags:
+        found = F.max(value).over(order.rangeBetween(-k, -k))
+        out[f"lag_{k}"] = found if fill is None else F.when(past >= k, F.coalesce(found, F.lit(float(fill))))
+    for k in rolling:
+        frame = order.rangeBetween(-k, -1)
+        n, total = F.count(value).over(frame), F.sum(value).over(frame)
+        if fill is None:
+            mean = F.try_divide(total, n)
+            out[f"rolling_mean_{k}"] = F.when(n == k, mean) if full_windows else mean
+        else:
+            size = F.least(past, F.lit(k))
+            mean = F.try_divide(F.coalesce(total, F.lit(0.0)) + (size - n) * float(fill), size)
+            out[f"rolling_mean_{k}"] = F.when(past >= k, mean) if full_windows else mean
+    return at.withColumns({name: F.when(known, c) for name, c in out.items()}).select(*own, *out)
 
 
 def dominant_attribute(clean: DataFrame, keys: tuple[str, ...] = ("Date", "CodeMag", "Famille"),

@@ -152,7 +152,7 @@ def q_valid_families(spark, d):
 select Date, Famille, round(sum_Quantite, 6) as sum_Quantite, round(sum_Total, 6) as sum_Total,
        nb_magasins from filled""")
 def q_calendar_fill(spark, d):
-    mart = FE.valid_families(M.country_daily_mart(clean_frame(spark, d, CDAY_COLS), P.COUNTRY))
+    mart = materialize(FE.valid_families(M.country_daily_mart(clean_frame(spark, d, CDAY_COLS), P.COUNTRY)))
     return rounded(FE.calendar_fill(mart))
 
 
@@ -196,6 +196,40 @@ def q_lag_features_daily(spark, d):
     return rounded(FE.country_daily_features(clean_frame(spark, d, CDAY_COLS), P.COUNTRY))
 
 
+@register("lag_features_by_day", f"""{CDAY_SQL}, feat as (
+  select Date, Famille, sum_Quantite, {_lag_sql('sum_Quantite', 'Famille', 'Date', STORE_LAGS, [7, 30], True)}
+  from filled)
+select f.Date, f.Famille, {_r(['f.sum_Quantite', 'lag_7', 'lag_14', 'lag_28', 'rolling_mean_7', 'rolling_mean_30'])
+                           .replace('as f.', 'as ')}
+from feat f join vday v on f.Famille = v.Famille and f.Date = v.Date""")
+def q_lag_features_by_day(spark, d):
+    """W1 + W3 by date (fill 'D'): the days that have sales, with the lags and
+    means that the filled calendar gives; the oracle fills, then lags by row."""
+    mart = materialize(FE.valid_families(M.country_daily_mart(clean_frame(spark, d, CDAY_COLS), P.COUNTRY)))
+    first = F.broadcast(mart.agg(F.min("Date").alias("first_day")))
+    df = FE.add_date_lags(mart.join(first), ["Famille"], "Date", STORE_LAGS, [7, 30], full_windows=True,
+                          unit="D", fill=0.0, start="first_day")
+    return rounded(df.drop("first_day", "sum_Total", "nb_magasins"))
+
+
+@register("lag_features_by_week", f"""{WEEKLY_SQL},
+spans as (select Famille, min(week_start) as lo, max(week_start) as hi from weekly where Famille is not null group by Famille),
+wgrid as (select Famille, cast(unnest(generate_series(lo, hi, interval 7 day)) as date) as week_start from spans),
+wfill as (select g.Famille, g.week_start, coalesce(w.sum_Quantite, 0) as filled, w.sum_Quantite
+          from wgrid g left join weekly w on g.Famille = w.Famille and g.week_start = w.week_start),
+feat as (select *, {_lag_sql('sum_Quantite', 'Famille', 'week_start', [1, 2, 4, 52], [], True)},
+  {_lag_sql('filled', 'Famille', 'week_start', [], [4, 12], False)} from wfill)
+select Famille, week_start, {_r(['sum_Quantite', 'lag_1', 'lag_2', 'lag_4', 'lag_52', 'rolling_mean_4', 'rolling_mean_12'])}
+from feat where sum_Quantite is not null""")
+def q_lag_features_by_week(spark, d):
+    """W1 by date in ISO weeks: lags of weeks without sales are null (no fill);
+    the means count such weeks as 0 (fill 'W' from the family's first week)."""
+    mart = materialize(M.weekly_mart(clean_frame(spark, d, WEEK_COLS), WEEKLY_COUNTRY).filter(F.col("Famille").isNotNull()))
+    df = FE.add_date_lags(mart, ["Famille"], "week_start", [1, 2, 4, 52], [], True, unit="W")
+    df = FE.add_date_lags(df, ["Famille"], "week_start", [], [4, 12], False, unit="W", fill=0.0)
+    return rounded(df.drop("year", "week_of_year"))
+
+
 WEEKLY_CAL_SQL = """cast(month(week_start) as integer) as month, cast(quarter(week_start) as integer) as quarter,
   cast(month(week_start) in (6, 7, 8) as integer) as is_summer,
   cast(month(week_start) in (12, 1, 2) as integer) as is_winter,

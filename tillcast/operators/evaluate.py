@@ -127,6 +127,18 @@ def best_model(ranking: DataFrame, exclude: list[str]) -> DataFrame:
             .agg(F.min_by("model", F.struct("WMAPE", "model")).alias("best_model")))
 
 
+def chosen_model_metrics(long: DataFrame, by: str, exclude: list[str], y: str = "y") -> DataFrame:
+    """K7 + E7: metrics per ``by`` of the best model of ``long(.., y, model, p)``.
+
+    The choice is a one-row aggregate that the prediction rows meet as a
+    broadcast, so ranking and metrics are one plan.  Only excluded models, or
+    no rows, give no rows.
+    """
+    best = F.broadcast(best_model(evaluate(long, y=y, by=["model"]), exclude))
+    chosen = long.join(best, long["model"] == best["best_model"])
+    return evaluate(chosen, y=y, by=["best_model", by])
+
+
 def change_against_baseline(metrics: DataFrame, baseline: float | None = MODEL_WMAPE,
                             col: str = "WMAPE") -> DataFrame:
     """Baseline minus new WMAPE (positive = better), rounded to 2; null without a baseline."""

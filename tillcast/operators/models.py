@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillcast.constants import COLSAMPLE, GBT_SEED, RIDGE_ALPHA, SUBSAMPLE
+from tillcast.sources.versions import path_exists
 
 # scikit-learn treats a scale below 10 * machine epsilon as 0 and uses 1
 _SCALE_EPS = 10 * np.finfo(np.float64).eps
@@ -323,8 +324,5 @@ def load_linear(spark, path: str) -> tuple[LinearModel, DataFrame | None]:
     r = spark.read.parquet(f"{path}/model").first()
     model = LinearModel(list(r["features"]), r["intercept"], list(r["coef"]), list(r["mean"]),
                         list(r["scale"]), r["alpha"], r["standardize"], r["n"])
-    try:
-        codes = spark.read.parquet(f"{path}/codes")
-    except Exception:  # noqa: BLE001 - no code table saved
-        codes = None
+    codes = spark.read.parquet(f"{path}/codes") if path_exists(spark, f"{path}/codes") else None
     return model, codes

@@ -313,12 +313,36 @@ def q_family_means(spark, d):
     return rounded(M.family_target_stats(weekly_v2(spark, d)))
 
 
-@register("schema_lookup")
+@register("feature_value_counts", f"""{MART_SQL},
+counted as (select 'Famille' as "column", Famille as value, count(*) as "count" from mart group by Famille
+            union all select 'Pays', Pays, count(*) from mart group by Pays)
+select * from counted where value is not null
+qualify "column" = 'Pays' or row_number() over (partition by "column" order by "count" desc, value) <= 10""")
+def q_feature_value_counts(spark, d):
+    """The ten most frequent families and all country counts of the daily mart."""
+    from tillcast.sources.sinks import feature_counts
+    mart = M.daily_mart(clean_frame(spark, d, MART_COLS), store_country(spark, d))
+    return feature_counts(mart, {"Famille": 10, "Pays": None})
+
+
+# fixed values: Spark's type names of the lineitem columns, in order
+LINEITEM_TYPES = {
+    "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int",
+    "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double",
+    "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz",
+}
+
+
+@register("schema_lookup", " union all ".join(
+    f"""select '{c}' as COLUMN_NAME, '{t}' as DATA_TYPE, 'YES' as IS_NULLABLE,
+       '{'PRI' if c == 'l_orderkey' else ''}' as COLUMN_KEY, {i + 1} as ORDINAL_POSITION,
+       count(*) as ROW_COUNT, count(*) - count({c}) as NULL_COUNT from lineitem"""
+    for i, (c, t) in enumerate(LINEITEM_TYPES.items())))
 def q_schema_lookup(spark, d):
-    """Name, type, nullability, key flag and position of lineitem's columns."""
-    from tillcast.sources.sinks import schema_table
+    """Name, type, nullability, key flag and position of lineitem's columns, with their row and null counts."""
+    from tillcast.sources.sinks import schema_counts
     from tillcast.sources.tables import read_table
-    return schema_table(spark, read_table(spark, d, "lineitem"))
+    return schema_counts(read_table(spark, d, "lineitem"), "l_orderkey")
 
 
 @register("mart_daily_by_year", f"""{MART_SQL}

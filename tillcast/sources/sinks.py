@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,36 @@ def schema_table(spark: SparkSession, df: DataFrame, primary_key: str | None = N
     return spark.createDataFrame(rows, schema)
 
 
+def schema_counts(df: DataFrame, primary_key: str | None = None) -> DataFrame:
+    """S7 with the data behind it: the rows of ``schema_table`` plus the number of
+    rows and of nulls of every column, from one aggregate of the whole table."""
+    names = [f.name for f in df.schema.fields]
+    counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(f"`{c}`")).alias(f"_c{i}") for i, c in enumerate(names)])
+    rows = [F.struct(F.lit(f.name).alias("COLUMN_NAME"), F.lit(f.dataType.simpleString()).alias("DATA_TYPE"),
+                     F.lit("YES" if f.nullable else "NO").alias("IS_NULLABLE"),
+                     F.lit("PRI" if primary_key and f.name == primary_key else "").alias("COLUMN_KEY"),
+                     F.lit(i + 1).alias("ORDINAL_POSITION"), F.col("_n").alias("ROW_COUNT"),
+                     (F.col("_n") - F.col(f"_c{i}")).alias("NULL_COUNT")) for i, f in enumerate(df.schema.fields)]
+    return counts.select(F.inline(F.array(*rows)))
+
+
+def feature_counts(df: DataFrame, top: dict[str, int | None]) -> DataFrame:
+    """``(column, value, count)``: the ``n`` most frequent values of each column
+    of ``top`` (all for ``None``), ties by value; nulls are left out.
+
+    One aggregate over all the columns together serves every column.
+    """
+    cols = list(top)
+    together = df.groupBy(*[F.col(c).cast("string").alias(c) for c in cols]).agg(F.count(F.lit(1)).alias("count"))
+    each = (together.unpivot(["count"], cols, "column", "value").filter(F.col("value").isNotNull())
+            .groupBy("column", "value").agg(F.sum("count").alias("count")))
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "value"))
+    most = F.lit(False)
+    for c, n in top.items():
+        most = most | ((F.col("column") == c) & (F.lit(True) if n is None else F.col("_place") <= n))
+    return each.withColumn("_place", place).filter(most).drop("_place")
+
+
 def table_check(spark: SparkSession, name: str, df: DataFrame | None = None) -> DataFrame:
     """Does a catalog table exist, and how many rows it (or ``df``) has."""
     exists = spark.catalog.tableExists(name)

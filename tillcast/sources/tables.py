@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillcast.functions.scalars import parse_date
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -45,6 +47,36 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
             .option("dateFormat", "yyyy-MM-dd").csv(path))
 
 
+def read_csv_checked(spark: SparkSession, path: str, schema: str, header: bool = True,
+                     date_format: str = "yyyy-MM-dd") -> tuple[DataFrame, DataFrame]:
+    """S3 + X17 for dirty text: (rows of ``schema``, rejects ``(reason, record)``).
+
+    Every field is read as text and then parsed on its own, so one bad value
+    rejects its line with the column's name as the reason instead of ending the
+    job or becoming null.  Lines with too few or too many fields have the reason
+    ``fields``.  Empty fields are null and no reason to reject; a line with
+    several bad values takes the first column's name.  Dates are parsed by
+    ``date_format``; both results come from one scan plan each.
+    """
+    fields = T._parse_datatype_string(schema).fields
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in fields] + [T.StructField("_bad", T.StringType())])
+    # without column pruning a line is judged by all its fields, whatever is selected
+    raw = (spark.read.schema(text).option("header", header).option("columnNameOfCorruptRecord", "_bad")
+           .option("mode", "PERMISSIVE").option("columnPruning", False).csv(path))
+
+    def parsed(f):
+        if isinstance(f.dataType, T.DateType):
+            return parse_date(f.name, date_format)
+        return F.col(f.name).try_cast(f.dataType)
+
+    wrong = F.coalesce(F.when(F.col("_bad").isNotNull(), F.lit("fields")),
+                       *[F.when(F.col(f.name).isNotNull() & parsed(f).isNull(), F.lit(f.name)) for f in fields])
+    judged = raw.withColumn("_reason", wrong)
+    record = F.coalesce("_bad", F.concat_ws(",", *[F.coalesce(F.col(f.name), F.lit("")) for f in fields]))
+    return (judged.filter("_reason is null").select(*[parsed(f).alias(f.name) for f in fields]),
+            judged.filter("_reason is not null").select(F.col("_reason").alias("reason"), record.alias("record")))
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str,
               lower: int, upper: int, num_partitions: int, properties: dict) -> DataFrame:
     """S1 for a live database: a partitioned JDBC read (one range per task)."""

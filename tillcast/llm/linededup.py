@@ -133,7 +133,7 @@ def dedup_lines(docs: DataFrame, gram: int = 2, window: int = 2, passage_words:
         F.expr(f"coalesce(size({gone}), 0)").cast("long").alias("n_removed"))
 
 
-#: DuckDB twin of ``op8_line_dedup``: runs of three lines compared as text.
+#: DuckDB twin of ``op8_line_dedup``: runs of three lines, and of one or two with 50 words, compared as text.
 ORACLE = r"""
 with lines as (
   select doc_id, text, unnest(string_split(text, chr(10))) as line,
@@ -141,15 +141,22 @@ with lines as (
   from documents),
 solid as (
   select doc_id, i, trim(line) as line,
-         row_number() over (partition by doc_id order by i) as place
+         len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+')) as words,
+         row_number() over (partition by doc_id order by i) as place,
+         count(*) over (partition by doc_id) as n_lines
   from lines where trim(line) <> ''),
-runs as (
-  select doc_id, place, [line, lead(line, 1) over w, lead(line, 2) over w] as run, lead(line, 2) over w as third
+near as (
+  select doc_id, place, n_lines, line, words, lead(line, 1) over w as second, lead(line, 2) over w as third,
+         lead(words, 1) over w as words_2
   from solid window w as (partition by doc_id order by place)),
+runs as (
+  select doc_id, place, 3 as n, false as whole, [line, second, third] as run from near where third is not null
+  union all select doc_id, place, 1, false, [line] from near where words >= 50
+  union all select doc_id, place, 2, false, [line, second] from near where second is not null and words + words_2 >= 50
+  union all select doc_id, place, n_lines, true, [line, second] from near where n_lines <= 2 and place = 1),
 ranked as (
-  select doc_id, place, row_number() over (partition by run order by doc_id, place) as n
-  from runs where third is not null),
-gone as (select distinct doc_id, place + k as place from ranked, (values (0), (1), (2)) t(k) where n > 1),
+  select doc_id, place, n, row_number() over (partition by n, whole, run order by doc_id, place) as nth from runs),
+gone as (select distinct doc_id, place + k as place from ranked, (values (0), (1), (2)) t(k) where nth > 1 and k < n),
 counts as (
   select s.doc_id, count(*) as n_lines, count(g.place) as n_removed
   from solid s left join gone g on s.doc_id = g.doc_id and s.place = g.place group by s.doc_id),

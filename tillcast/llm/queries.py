@@ -74,7 +74,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+    out = linededup.dedup_lines(_table(spark, sf_dir, "documents"), passage_words=50)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -22,8 +22,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of runs of lines; ``n_chars`` follows the text."""
-    return linededup.dedup_lines(docs).selectExpr(
+    """Texts without later copies of runs of three lines or 50 words; ``n_chars`` follows the text."""
+    return linededup.dedup_lines(docs, passage_words=50).selectExpr(
         *["cast(length(text) as bigint) as n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns])
 
 

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tillcast.llm import decontaminate, linededup, packing, queries, secrets, substrings
 
@@ -279,6 +280,36 @@ def test_secret_spans_and_owners(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_secrets_of_a_text_of_many_matches(spark):
+    """100,000 matches in one text, all found at their places, without quadratic work."""
+    import time
+    n = 100_000
+    text = "\n".join(f"{k:064x}" for k in range(n))
+    df = spark.createDataFrame([(1, "s", text), (2, "s", "no")], "doc_id long, source string, text string")
+    secrets.scan(df.filter("doc_id = 2")).collect()
+    begin = time.time()
+    got = {r.doc_id: r for r in secrets.scan(df).collect()}
+    took = time.time() - begin
+    assert got[1].n_hex == n and got[2].n_hex == 0
+    assert got[1].base == ",".join(f"hex:{65 * k}:{65 * k + 64}" for k in range(n))
+    assert took < 30
+
+
+def test_mixed_spans_give_way_to_base_spans(spark):
+    mixed, hexes = "Ab1" * 12, "0123456789abcdef" * 2
+    data = [(1, f"{mixed} {hexes}"), (2, f"Zz9/{hexes}/{mixed}"), (3, f"token={mixed}"), (4, f"{mixed} token={mixed}"),
+            (5, f"{hexes} {mixed} AKIA{'Z' * 16}"), (6, f"token=ab {mixed}")]
+    out = secrets.scan(spark.createDataFrame(data, "doc_id long, text string").withColumn("source", F.lit("s"))).collect()
+    for r in out:
+        text = dict(data)[r.doc_id]
+        base = [tuple(map(int, x.split(":")[1:])) for x in r.base.split(",") if x]
+        want = [m.span() for m in re.finditer(secrets.MIXED, text)
+                if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])
+                and not any(a < m.end() and m.start() < b for a, b in base)]
+        assert [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("mixed")] == want
+    assert sorted(r.doc_id for r in out if "mixed" in r.spans) == [1, 4, 5, 6]
+
+
 def test_a_value_in_many_documents_of_one_source_is_an_example(spark):
     hot, few, unowned = "Zx81" * 9, "Qw3rty" * 6, "Ab12cd" * 7
     data = [(k, "s1", f"{hot} {few}" if k < 9 else hot) for k in range(12)] + [(20, "s2", hot)]

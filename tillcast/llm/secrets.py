@@ -9,7 +9,7 @@ judgement of their values.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.llm.common import written
@@ -26,36 +26,51 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _matches(kind: int, pattern: str, value: str) -> str:
-    """SQL array of struct(start, end, kind, value) of a pattern's matches in ``text``.
+def _matches(kind: int, pattern: str, value: str, good: str) -> str:
+    """SQL array of struct(kind, i, skip, size, good, value_key) of a pattern's matches in ``text``.
 
     The pieces between matches (``split``) and the matches themselves
-    (``regexp_extract_all``) alternate, so running sums of their lengths are the
-    code point positions.  ``value`` is SQL over the match ``m``.
+    (``regexp_extract_all``) alternate: ``skip`` and ``size`` are their lengths
+    in code points, so that running sums give the positions.  ``value`` is SQL
+    over the match ``m``, ``good`` over that value ``v``.
     """
     q = _quoted(pattern)
-    walk = (f"aggregate(zip_with(slice(split(text, {q}, -1), 1, size(found)), found, (p, m) -> named_struct('piece', p, 'm', m)), "
-            "named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,end:int,m:string>>)), "
-            "(s, x) -> named_struct('at', s.at + length(x.piece) + length(x.m), 'spans', "
-            "concat(s.spans, array(named_struct('start', s.at + length(x.piece), "
-            "'end', s.at + length(x.piece) + length(x.m), 'm', x.m)))), s -> s.spans)")
-    each = f"transform({walk}, x -> named_struct('start', x.start, 'kind', {kind}, 'end', x.end, 'value', {value.format('x.m')}))"
-    return (f"transform(array(regexp_extract_all(text, {q}, 0)), found -> if(size(found) = 0, "
-            f"cast(array() as array<struct<start:int,kind:int,end:int,value:string>>), {each}))[0]")
-
-
-def found_spans(docs: DataFrame) -> DataFrame:
-    """``(doc_id, owner, spans)``: the spans of all kinds in one array, by start and kind."""
-    quoted = _quoted(ASSIGN)
-    assign = _matches(0, ASSIGN, f"regexp_extract({{}}, {quoted}, 1)")
-    access, hexes = _matches(1, ACCESS, "{}"), _matches(2, HEX, "{}")
-    mixed = _matches(3, MIXED, "{}")
-    return docs.select(
-        "doc_id", "owner",
-        F.expr(f"filter({assign}, x -> length(x.value) >= 6)").alias("assign"), F.expr(access).alias("access"),
-        F.expr(hexes).alias("hex"),
-        F.expr(f"filter({mixed}, x -> x.value rlike '[0-9]' and x.value rlike '[a-z]' and x.value rlike '[A-Z]')")
-        .alias("mixed")).select("doc_id", "owner", F.array_sort(F.concat("assign", "access", "hex", "mixed")).alias("spans"))
+    return (f"transform(array(regexp_extract_all(text, {q}, 0)), found -> transform("
+            f"zip_with(slice(split(text, {q}, -1), 1, size(found)), found, (p, m) -> "
+            f"named_struct('skip', length(p), 'size', length(m), 'v', {value})), (x, i) -> "
+            f"named_struct('kind', {kind}, 'i', i, 'skip', x.skip, 'size', x.size, "
+            f"'good', {good.format('x.v')}, 'value_key', xxhash64(x.v))))[0]")
+
+
+def found_matches(docs: DataFrame) -> DataFrame:
+    """``(row_id, doc_id, owner, found)``: the matches of all kinds in one array."""
+    kinds = [_matches(0, ASSIGN, f"regexp_extract(m, {_quoted(ASSIGN)}, 1)", "length({0}) >= 6"),
+             _matches(1, ACCESS, "m", "true"), _matches(2, HEX, "m", "true"),
+             _matches(3, MIXED, "m", "({0} rlike '[0-9]' and {0} rlike '[a-z]' and {0} rlike '[A-Z]')")]
+    return docs.select("row_id", "doc_id", "owner", F.expr(f"concat({', '.join(kinds)})").alias("found"))
+
+
+def placed_spans(found: DataFrame) -> DataFrame:
+    """One row per match with ``start`` and ``end``; ``good`` is false for matches that do not count.
+
+    Positions are running sums in each text and kind.  A mixed candidate gives
+    way to base spans: one that starts at or before it and ends after its start
+    (a running maximum), or one that starts inside it (a running minimum from
+    the end).  Every text is swept in order, so the work grows with its matches.
+    """
+    each = found.filter(F.size("found") > 0).select("row_id", "doc_id", "owner", F.inline("found")).repartition("row_id")
+    up_to_here = Window.partitionBy("row_id", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = (each.withColumn("end", F.sum(F.col("skip") + F.col("size")).over(up_to_here).cast("int"))
+              .withColumn("start", F.col("end") - F.col("size")))
+    base = F.col("good") & (F.col("kind") < 3)
+    text = Window.partitionBy("row_id")
+    ahead = text.orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    back = text.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = (F.coalesce(F.max(F.when(base, F.col("end"))).over(ahead) > F.col("start"), F.lit(False))
+           | F.coalesce(F.min(F.when(base, F.col("start"))).over(back) < F.col("end"), F.lit(False)))
+    return (placed.withColumn("met", met)
+            .select("row_id", "doc_id", "owner", "kind", "start", "end", "value_key",
+                    (F.col("good") & ((F.col("kind") < 3) | ~F.col("met"))).alias("good")))
 
 
 def ownership(candidates: DataFrame, example_owners: int, example_repos: int) -> DataFrame:
@@ -90,31 +105,23 @@ def scan(docs: DataFrame, owner: str = "source", example_owners: int = 3, exampl
     """
     base = docs.select(F.col("doc_id").cast("long"), F.col(owner).cast("string").alias("owner"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spans = found_spans(base)
-    # a mixed candidate gives way to base spans that it overlaps
-    spans = spans.withColumn("spans", F.expr(
-        "filter(spans, x -> x.kind < 3 or not exists(spans, y -> y.kind < 3 and y.start < x.end and x.start < y.end))"))
-    keyed = spans.withColumn("row_key", F.xxhash64("doc_id", "owner", "spans")).withColumn("spans", F.expr(
-        "transform(spans, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end, "
-        "'value_key', xxhash64(x.value)))"))
-    kept = written(keyed, "spans")
-    held = kept.filter(F.size("spans") > 0)
-    each = held.select("row_key", F.col("doc_id").alias("repo"), "owner", F.explode("spans").alias("s")).select(
-        "row_key", "repo", "owner", "s.value_key")
-    examples = ownership(each.select("value_key", "repo", "owner"), example_owners, example_repos).filter("example").select("value_key")
-    of_row = (each.select("row_key", "value_key").distinct().join(examples, "value_key")
-              .groupBy("row_key").agg(F.collect_set("value_key").alias("examples")))
-    full = (held.join(of_row, "row_key", "left").drop("row_key").unionByName(
-        kept.filter(F.size("spans") == 0).drop("row_key").withColumn("examples", F.lit(None).cast("array<long>"))))
+    kept = written(found_matches(base.withColumn("row_id", F.monotonically_increasing_id())), "matches")
+    spans = written(placed_spans(kept), "spans")
+    examples = (ownership(spans.filter("good").select("value_key", F.col("doc_id").alias("repo"), "owner"),
+                          example_owners, example_repos).filter("example").select("value_key", "example"))
+    span = F.when(F.col("good"), F.struct("start", "kind", "end", F.coalesce("example", F.lit(False)).alias("example")))
+    found = (spans.join(examples, "value_key", "left").groupBy("row_id", "doc_id")
+             .agg(F.array_sort(F.collect_list(span)).alias("spans")).drop("row_id"))
+    none = kept.filter(F.size("found") == 0).select(
+        "doc_id", F.expr("cast(array() as array<struct<start:int,kind:int,end:int,example:boolean>>)").alias("spans"))
 
     def names(which: str) -> str:
         kinds = "array('assign', 'access', 'hex', 'mixed')"
         return f"array_join(transform(filter(spans, x -> {which}), x -> concat_ws(':', {kinds}[x.kind], x.start, x.end)), ',')"
 
-    example = "array_contains(coalesce(examples, cast(array() as array<bigint>)), x.value_key)"
     counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = {k})) as bigint)").alias(f"n_{KINDS[k]}") for k in range(3)]
-    return full.select(
+    return found.unionByName(none).select(
         "doc_id", *counts, F.expr(names("x.kind < 3")).alias("base"),
-        F.expr(names(f"x.kind < 3 or not {example}")).alias("spans"),
-        F.expr(f"cast(size(filter(spans, x -> {example})) as bigint)").alias("n_example"),
-        F.expr(f"cast(size(filter(spans, x -> not {example})) as bigint)").alias("n_live"))
+        F.expr(names("x.kind < 3 or not x.example")).alias("spans"),
+        F.expr("cast(size(filter(spans, x -> x.example)) as bigint)").alias("n_example"),
+        F.expr("cast(size(filter(spans, x -> not x.example)) as bigint)").alias("n_live"))

@@ -36,6 +36,9 @@ IDS = {
     "score_requests": "M13, J5, X8", "score_rejects": "M13, J5", "score_stream": "M13 (streaming)",
     "model_status": "M14", "ridge_optimality": "M1, M2, M10", "ridge_family_optimality": "M4, P15",
     "score_fixed_model": "M13, J5, X8",
+    "lag_features_by_day": "W1, W3 (by date)", "lag_features_by_week": "W1, W2 (by date)", "csv_roundtrip": "S3, S5, X17",
+    "csv_rejects": "S3, X17", "published_versions": "S4", "model_registry": "M12, M14", "predictions_wide": "E9",
+    "model_ranking": "E9, K7", "best_model_by_family": "K7, E7", "feature_value_counts": "S9, K4",
 }
 
 

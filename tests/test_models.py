@@ -240,3 +240,33 @@ def test_stream_several_micro_batches(spark, tmp_path):
     batch, rejects = split_scored(score(req, _model(), codes, supported, ["A"], ["B"]))
     assert sorted(map(tuple, out.drop("batch_id").collect())) == sorted(map(tuple, batch.collect()))
     assert read_rejects(spark, str(tmp_path / "out")).count() == rejects.count()
+
+
+def test_exact_quantiles_of_odd_columns(spark):
+    from tillcast.operators.outliers import exact_quantiles_multi
+    df = spark.createDataFrame([(1.0, None, float("nan"), 5), (float("inf"), None, 2.0, None), (-0.0, None, None, 7),
+                                (0.0, None, 2.0, 5)], "a double, b double, c double, d int")
+    got = exact_quantiles_multi(df, {"a": [0.0, 0.5, 1.0], "b": [0.5], "c": [0.1, 0.9], "d": [0.5, 0.75]})
+    assert got == {"a": [0.0, 0.5, float("inf")], "b": [None], "c": [2.0, 2.0], "d": [5.0, 6.0]}
+    assert exact_quantiles(df.limit(0), "a", [0.5]) == [None]
+
+
+def test_exact_quantiles_count_every_value_when_the_sketch_misses(spark, monkeypatch):
+    from tillcast.operators import outliers
+    rng = np.random.default_rng(2)
+    vals = rng.normal(size=3000)
+    df = spark.createDataFrame(pd.DataFrame({"v": vals}))
+    monkeypatch.setattr(outliers, "_merged", lambda intervals: [(10.0, 11.0)])     # no rank lies there
+    assert np.allclose(exact_quantiles(df, "v", [0.3, 0.8], max_values=200, accuracy=100),
+                       np.quantile(vals, [0.3, 0.8]), atol=1e-12)
+
+
+def test_exact_quantiles_count_only_the_values_near_the_ranks(spark, monkeypatch):
+    from tillcast.operators import outliers
+    seen = []
+    real = outliers.materialize
+    monkeypatch.setattr(outliers, "materialize", lambda df: seen.append(real(df)) or seen[-1])
+    df = spark.range(50_000).selectExpr("cast(id as double) as v", "id % 3 as w")
+    got = outliers.exact_quantiles_multi(df, {"v": [0.25, 0.5], "w": [0.5]}, max_values=100, accuracy=1000)
+    assert got == {"v": [12499.75, 24999.5], "w": [1.0]}
+    assert len(seen) == 1 and seen[0].count() < 1_000      # of 50,003 distinct values

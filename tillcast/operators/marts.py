@@ -155,17 +155,16 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def describe_exact(df: DataFrame, cols: list[str]) -> DataFrame:
-    """G21 for columns of any size: moments in one aggregate, quartiles by
-    :func:`tillcast.operators.outliers.exact_quantiles_multi` (no task or
-    driver result larger than a fixed bound).  Returns one row per column."""
-    from tillcast.operators.outliers import exact_quantiles_multi
+    """G21 for columns of any size, in two scans: the moments ride along with
+    the sketches of :func:`tillcast.operators.outliers.quantiles_and_aggregates`
+    (no task or driver result larger than a fixed bound).  Returns one row per column."""
+    from tillcast.operators.outliers import quantiles_and_aggregates
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n_{c}"), F.avg(x).alias(f"m_{c}"), F.stddev_samp(x).alias(f"s_{c}"),
                  F.min(x).alias(f"lo_{c}"), F.max(x).alias(f"hi_{c}")]
-    mom = df.agg(*aggs).first()
-    quart = exact_quantiles_multi(df, {c: [0.25, 0.5, 0.75] for c in cols})
+    quart, mom = quantiles_and_aggregates(df, {c: [0.25, 0.5, 0.75] for c in cols}, aggs)
     rows = [(c, mom[f"n_{c}"], mom[f"m_{c}"], mom[f"s_{c}"], mom[f"lo_{c}"], *quart[c], mom[f"hi_{c}"])
             for c in cols]
     schema = ("variable string, count bigint, mean double, std double, min double, p25 double, "

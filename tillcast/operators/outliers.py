@@ -1,23 +1,25 @@
 """Outlier capping (G22, X11) and an exact distributed quantile.
 
 ``exact_quantiles`` gives pandas' ``quantile`` (linear interpolation) without
-sorting the column in one task.  Each round narrows a bracket around the
-wanted ranks with ``percentile_approx`` and counts exactly how many values lie
-below, at and between its ends.  A rank that falls on an end is settled by it,
-and only the values strictly between the ends go on, so a heavy value never
-stays in a bracket; a bracket is resolved once it holds at most ``max_values``
-rows, whose value counts are then small enough to bring back.
-Every result that reaches the driver has a size fixed by the arguments.
+sorting the column and in two scans, however many quantiles and columns are
+asked for.  The first scan is one mergeable sketch per column
+(``percentile_approx``), whose rank error gives an interval round each wanted
+rank.  The second counts the values in the intervals one by one and all other
+rows only in sum, so it shuffles a few thousandths of the rows at most and a
+heavy value is one row.  Those counts are cut into value ranges; prefix sums
+of the totals of the ranges find the range of each rank, and only these ranges
+are ordered.  The driver receives one row per range and one per wanted rank.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.functions.scalars import cap_at
+from tillcast.session import materialize
 
 
 def percentile_column(df: DataFrame, value: str, p: float) -> DataFrame:
@@ -43,120 +45,121 @@ def cap_series(series: DataFrame, value: str = "Quantite", p: float = 0.99,
             .drop("threshold"))
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], max_values: int = 100_000,
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], max_values: int = 1_000_000,
                     accuracy: int = 10_000) -> list[float | None]:
     """Exact quantiles (linear interpolation between order statistics) of a
-    column of any size.  Nulls and NaN are ignored, as pandas does."""
+    column of any size.  Nulls and NaN are ignored, as pandas does; a column
+    without values gives None for each."""
     return exact_quantiles_multi(df, {col: probs}, max_values, accuracy)[col]
 
 
-def exact_quantiles_multi(df: DataFrame, wanted: dict[str, list[float]], max_values: int = 100_000,
+def exact_quantiles_multi(df: DataFrame, wanted: dict[str, list[float]], max_values: int = 1_000_000,
                           accuracy: int = 10_000) -> dict[str, list[float | None]]:
-    """:func:`exact_quantiles` for several columns.
-
-    Every wanted probability has its own bracket (the two order statistics it
-    interpolates between are adjacent ranks).  Each round is two jobs for all
-    brackets still too wide: approximate bounds, then exact counts below and
-    inside.  The last job orders the values of every bracket, each holding at
-    most ``max_values`` rows, and returns one row per wanted rank.
-    """
-    cols = list(wanted)
-    x = {c: F.col(c).cast("double") for c in cols}
-    ok = {c: x[c].isNotNull() & ~F.isnan(x[c]) for c in cols}
-    ns = df.agg(*[F.count_if(ok[c]).alias(c) for c in cols]).first().asDict()
-    items = []          # one per (column, probability)
-    for c in cols:
-        for p in wanted[c]:
-            n = ns[c]
-            h = (n - 1) * p if n else 0.0
-            items.append(dict(col=c, p=p, h=h, ranks=sorted({int(math.floor(h)), int(math.ceil(h))}),
-                              lo=None, hi=None, below=0, inside=n, widen=1.0, values={}))
-
-    def inside(it):
-        cond = ok[it["col"]]
-        if it["lo"] is not None:
-            cond = cond & (x[it["col"]] > it["lo"]) & (x[it["col"]] < it["hi"])
-        return cond
-
-    while True:
-        narrow = [i for i, it in enumerate(items) if ns[it["col"]] and it["ranks"] and it["inside"] > max_values]
-        if not narrow:
-            break
-        aggs = []
-        for i in narrow:
-            it = items[i]
-            m = it["inside"]
-            # just enough accuracy for the bracket to fall under max_values
-            # (rank error m/acc on each side plus margin), capped
-            acc = int(min(accuracy, max(1000, 16 * m // max_values + 1)))
-            eps = min(3.0 * it["widen"] / acc, 1.0)
-            rel = [min(max((r - it["below"]) / max(m - 1, 1), 0.0), 1.0) for r in it["ranks"]]
-            qs = [max(min(rel) - eps, 0.0), min(max(rel) + eps, 1.0)]
-            aggs.append(F.percentile_approx(F.when(inside(it), x[it["col"]]), F.array(*[F.lit(q) for q in qs]),
-                                            acc).alias(f"a{i}"))
-        approx = df.agg(*aggs).first().asDict()
-        cnt = []
-        for i in narrow:
-            good, xc = ok[items[i]["col"]], x[items[i]["col"]]
-            lo, hi = min(approx[f"a{i}"]), max(approx[f"a{i}"])
-            cnt += [F.count_if(good & (xc < lo)).alias(f"b{i}"), F.count_if(good & (xc == lo)).alias(f"l{i}"),
-                    F.count_if(good & (xc > lo) & (xc < hi)).alias(f"i{i}"), F.count_if(good & (xc == hi)).alias(f"h{i}")]
-        counts = df.agg(*cnt).first().asDict()
-        for i in narrow:
-            it = items[i]
-            lo, hi = min(approx[f"a{i}"]), max(approx[f"a{i}"])
-            first = counts[f"b{i}"]                     # ranks first.. are lo, inner.. lie between, last.. are hi
-            inner = first + counts[f"l{i}"]
-            last = inner + counts[f"i{i}"]
-            past = last + counts[f"h{i}"] if hi > lo else inner
-            if first <= it["ranks"][0] and it["ranks"][-1] < past:
-                for r in it["ranks"]:
-                    if r < inner or r >= last:
-                        it["values"][r] = lo if r < inner else hi
-                it["ranks"] = [r for r in it["ranks"] if r not in it["values"]]
-                it.update(lo=lo, hi=hi, below=inner, inside=last - inner, widen=1.0)
-            else:
-                it["widen"] *= 4                      # missed a rank: widen the margin, in the end to all values
-
-    open_items = [i for i, it in enumerate(items) if ns[it["col"]] and it["ranks"]]
-    if open_items:
-        _resolve_all(df, items, open_items, x, inside)
-
-    out = {c: [] for c in cols}
-    for it in items:
-        if not ns[it["col"]]:
-            out[it["col"]].append(None)
+    """:func:`exact_quantiles` for several columns, in the same two scans."""
+    return quantiles_and_aggregates(df, wanted, [], max_values, accuracy)[0]
+
+
+def quantiles_and_aggregates(df: DataFrame, wanted: dict[str, list[float]], aggs: list[Column],
+                             max_values: int = 1_000_000, accuracy: int = 10_000):
+    """``(quantiles by column, row of aggs)``: any named aggregates of ``df``
+    ride along with the first of the two scans."""
+    x = {c: F.col(c).cast("double") for c in wanted}
+    x = {c: F.when(~F.isnan(v), v) for c, v in x.items()}
+    margin = 3.0 / accuracy
+    ends = {c: sorted({min(max(p + s * margin, 0.0), 1.0) for p in ps for s in (-1, 1)}) for c, ps in wanted.items()}
+    names = {c: i for i, c in enumerate(wanted)}
+    first = df.agg(*aggs, *[F.count(x[c]).alias(f"_n{i}") for c, i in names.items()],
+                   *[F.percentile_approx(x[c], F.array(*[F.lit(e) for e in ends[c]]), accuracy).alias(f"_q{i}")
+                     for c, i in names.items() if ends[c]]).first()
+    ranks, cuts, inside = {}, {}, 0.0
+    for c, i in names.items():
+        n = first[f"_n{i}"]
+        if not n or not wanted[c]:
             continue
-        f, g = int(math.floor(it["h"])), int(math.ceil(it["h"]))
-        vf, vg = it["values"][f], it["values"][g]
-        out[it["col"]].append(vf + (vg - vf) * (it["h"] - f))
+        at = dict(zip(ends[c], first[f"_q{i}"]))
+        ranks[c] = sorted({r for p in wanted[c] for r in _neighbours(n, p)})
+        if n <= accuracy:         # an interval round a rank needs more than one row a step: count every value
+            cuts[c] = [(-math.inf, math.inf)]
+            continue
+        cuts[c] = _merged([(-math.inf if p <= margin else at[max(p - margin, 0.0)],
+                            math.inf if p + margin >= 1 else at[min(p + margin, 1.0)]) for p in wanted[c]])
+        inside += 2 * margin * n * len(wanted[c])
+    values = _values_at(df, x, cuts, ranks, int(inside // max_values) + 1)
+    missed = {c: [r for r in rs if (c, r) not in values] for c, rs in ranks.items()}
+    missed = {c: rs for c, rs in missed.items() if rs}
+    if missed:                # beyond the error the sketch promises: count every value of these columns
+        rows = sum(first[f"_n{names[c]}"] for c in missed)
+        values |= _values_at(df, x, {c: [(-math.inf, math.inf)] for c in missed}, missed, rows // max_values + 1)
+
+    out = {}
+    for c, i in names.items():
+        n, out[c] = first[f"_n{i}"], []
+        for p in wanted[c]:
+            if not n:
+                out[c].append(None)
+                continue
+            lo, hi = _neighbours(n, p)
+            a, b = values[c, lo], values[c, hi]
+            out[c].append(a if a == b else a + (b - a) * ((n - 1) * p - lo))
+    return out, first
+
+
+def _neighbours(n: int, p: float) -> tuple[int, int]:
+    """Ranks (from 0) of the two order statistics that quantile ``p`` of n values lies between."""
+    return math.floor((n - 1) * p), math.ceil((n - 1) * p)
+
+
+def _merged(intervals: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Closed intervals as disjoint ones, ascending."""
+    out = []
+    for lo, hi in sorted(intervals):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
     return out
 
 
-def _resolve_all(df: DataFrame, items: list[dict], idx: list[int], x: dict, inside) -> None:
-    """Values at the wanted ranks inside each bracket, in one job.
+def _values_at(df: DataFrame, x: dict[str, Column], cuts: dict[str, list[tuple[float, float]]],
+               ranks: dict[str, list[int]], parts: int) -> dict[tuple[str, int], float]:
+    """``{(column, rank): value}`` for the wanted ranks that fall into the intervals ``cuts``.
 
-    A bracket holds at most ``max_values`` rows, so ordering its distinct
-    values in one window partition is bounded; only the rows at the wanted
-    ranks come back to the driver.
+    One scan counts the values in the intervals one by one and the rows between
+    the intervals in sum (segments, numbered in value order: odd ones are
+    intervals).  The counts are cut into ``parts`` ranges; the totals of the
+    ranges say where each rank lies, and only those ranges are ordered.
     """
-    from pyspark.sql import Window
-    # one scan: each value is emitted once for every bracket it falls in
-    # (brackets of one column may overlap), then counted per (bracket, value)
-    recs = F.array(*[F.when(inside(items[i]), F.struct(F.lit(i).alias("item"), x[items[i]["col"]].alias("x")))
-                     for i in idx])
-    parts = (df.select(F.explode(recs).alias("r")).filter(F.col("r").isNotNull())
-             .select("r.item", "r.x").groupBy("item", "x").agg(F.count(F.lit(1)).alias("cnt")))
-    w = Window.partitionBy("item").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    below = F.create_map(*[v for i in idx for v in (F.lit(i), F.lit(int(items[i]["below"])))])
-    marked = parts.withColumn("hi", F.sum("cnt").over(w) + below[F.col("item")])
-    marked = marked.withColumn("lo", F.col("hi") - F.col("cnt"))
-    hit = F.lit(False)
-    for i in idx:
-        for r in items[i]["ranks"]:
-            hit = hit | ((F.col("item") == i) & (F.col("lo") <= r) & (F.lit(r) < F.col("hi")))
-    for row in marked.filter(hit).select("item", "x", "lo", "hi").collect():
-        it = items[row["item"]]
-        for r in it["ranks"]:
-            if row["lo"] <= r < row["hi"]:
-                it["values"][r] = row["x"]
+    cols = list(cuts)
+    if not cols:
+        return {}
+    records = []
+    for i, c in enumerate(cols):
+        seg = F.lit(2 * len(cuts[c]))
+        for j, (lo, hi) in reversed(list(enumerate(cuts[c]))):
+            seg = F.when(x[c] < F.lit(lo), 2 * j).when(x[c] <= F.lit(hi), 2 * j + 1).otherwise(seg)
+        records.append(F.when(x[c].isNotNull(), F.struct(
+            F.lit(i).alias("ci"), seg.alias("seg"), F.when(seg % 2 == 1, x[c]).alias("x"))))
+    counts = (df.select(F.explode(F.array(*records)).alias("r")).filter(F.col("r").isNotNull())
+              .select("r.*").groupBy("ci", "seg", "x").agg(F.count(F.lit(1)).alias("nb")))
+    ranged = materialize(counts.repartitionByRange(parts, "ci", "seg", "x")
+                         .withColumn("part", F.spark_partition_id()))
+    # at most one row per range and one per segment
+    totals = (ranged.groupBy("ci", "seg", "part").agg(F.sum("nb").alias("nb"))
+              .orderBy("ci", "seg", "part").collect())
+    before, places = {}, []
+    for t in totals:
+        start = before.get(t["ci"], 0)
+        before[t["ci"]] = start + t["nb"]
+        if t["seg"] % 2:
+            places += [(t["ci"], t["seg"], t["part"], r, r - start) for r in ranks[cols[t["ci"]]]
+                       if start <= r < start + t["nb"]]
+    if not places:
+        return {}
+    wanted = df.sparkSession.createDataFrame(places, "ci int, seg int, part int, rank long, place long")
+    keys = ["ci", "seg", "part"]
+    upto = F.sum("nb").over(Window.partitionBy(*keys).orderBy("x"))
+    # one row per wanted rank on the broadcast side
+    found = (ranged.join(F.broadcast(wanted.select(*keys).distinct()), keys, "left_semi")
+             .withColumn("upto", upto).join(F.broadcast(wanted), keys)
+             .filter((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("nb") <= F.col("place"))))
+    return {(cols[r["ci"]], r["rank"]): r["x"] for r in found.select("ci", "rank", "x").collect()}

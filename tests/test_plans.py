@@ -64,3 +64,23 @@ def test_gap_fill_joins_bounds_only(spark):
     tree = plan(E.queries()["calendar_fill"](spark, SF_SMALL)).split("\n\n")[0]
     assert "SortMergeJoin" not in tree and "lineitem" not in tree
     assert tree.count("Window") == 1 and "Generate" in tree
+
+
+def test_null_shares_come_from_one_narrow_aggregate(spark):
+    tree = plan(E.queries()["profile_nulls"](spark, SF_SMALL)).split("\n\n")[0]
+    scans = [ln for ln in tree.splitlines() if "Scan parquet" in ln]
+    assert len(scans) == 1 and tree.count("HashAggregate") == 2
+
+
+def test_country_mart_joins_stores_to_the_aggregate(spark):
+    lines = plan(E.queries()["mart_country_daily"](spark, SF_SMALL)).split("\n\n")[0].splitlines()
+    join = next(k for k, ln in enumerate(lines) if "Join" in ln and "LeftSemi" in ln or "Join LeftSemi" in ln)
+    scan = next(k for k, ln in enumerate(lines) if k > join and "Scan parquet" in ln)
+    assert any("HashAggregate" in ln for ln in lines[join:scan])
+
+
+def test_requests_are_not_shuffled_to_be_scored(spark):
+    tree = plan(E.queries()["score_fixed_model"](spark, SF_SMALL)).split("\n\n")[0]
+    tops = tree.splitlines()[:tree.splitlines().index(next(ln for ln in tree.splitlines() if "Union" in ln))]
+    assert not any("SortMergeJoin" in ln or "Exchange hash" in ln for ln in tops)
+    assert sum("BroadcastHashJoin" in ln for ln in tops) == 1

@@ -312,3 +312,37 @@ def test_date_lags_without_fill_leave_gaps_null(spark):
     assert [(r["lag_1"], r["lag_3"], r["rolling_mean_3"]) for r in got] == [(None, None, None), (2.0, None, 2.0), (None, 4.0, 4.0)]
     with pytest.raises(ValueError):
         add_date_lags(df, ["k"], "d", [1], [], False, value="v", unit="M")
+
+
+def test_country_mart_with_late_stores_equals_the_early_join(spark):
+    from tillcast.operators.marts import country_daily_mart
+    import datetime as dt
+    day = dt.date(2022, 1, 3)
+    rows = [(day, 1, "A", 2.0, 20.0), (day, 1, "A", 1.0, 5.0), (day, 2, "A", 1.0, 9.0), (day, 3, "A", 7.0, 70.0),
+            (day, None, "A", 4.0, 4.0), (day, 9, "B", 4.0, 4.0), (None, 2, "B", None, 3.0), (day, 2, None, 1.0, 1.0)]
+    sales = spark.createDataFrame(rows, "Date date, CodeMag long, Famille string, Quantite double, Total double")
+    stores = spark.createDataFrame([(1, "X"), (2, "X"), (3, "Y"), (4, "X"), (None, "X")], "CodeMag long, Pays string")
+    early = country_daily_mart(sales.join(stores, "CodeMag", "left"), "X")
+    late = country_daily_mart(sales, "X", stores)
+    assert sorted(map(str, late.collect())) == sorted(map(str, early.collect())) and late.count() == 3
+
+
+def test_column_fill_counts_nulls_of_every_type(spark):
+    from tillcast.operators.profile import column_fill, profile_summary
+    df = spark.createDataFrame([(1, None, 2.0), (None, None, None), (3, "x", 4.0), (4, "y", 5.0)], "IDx int, t string, d double")
+    got = {r["Colonne"]: (r["Type_Logique"], r["Total_Lignes"], r["Valeurs_Nulles"], r["Pct_NULL"]) for r in column_fill(df).collect()}
+    from tillcast import constants as K
+    assert got == {"IDx": (K.TYPE_IDENTIFIER, 4, 1, 25.0), "t": (K.TYPE_NOMINAL, 4, 2, 50.0), "d": (K.TYPE_CONTINUOUS, 4, 1, 25.0)}
+    per_type, nulls = profile_summary(column_fill(df.limit(0)))
+    assert nulls.count() == 0 and per_type.count() == 3
+    assert [r["Colonne"] for r in profile_summary(column_fill(df))[1].collect()] == ["t", "IDx", "d"]
+
+
+def test_a_table_over_the_bound_is_not_broadcast(spark):
+    from tillcast.operators.encode import broadcast_measured
+    df = spark.createDataFrame([("a" * 100, 1), (None, 2)], "k string, v int")
+
+    def hinted(out):
+        return "broadcast" in out._jdf.queryExecution().logical().toString().lower()
+    assert hinted(broadcast_measured(df)) and not hinted(broadcast_measured(df, limit=50))
+    assert broadcast_measured(df.limit(0)).count() == 0

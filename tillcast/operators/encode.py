@@ -53,6 +53,15 @@ def code_table_sized(df: DataFrame, col: str, code_col: str | None = None,
             .select(col, (F.col("_off") + local).cast("int").alias(code_col))), size
 
 
+def broadcast_measured(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``table``, written once and measured: with a broadcast hint if its values
+    take at most ``limit`` bytes (16 a row and column, and its texts), else without."""
+    table = materialize(table)
+    texts = [F.octet_length(F.col(c)) for c, t in table.dtypes if t == "string"]
+    size = F.lit(16 * len(table.columns)) + sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(0))
+    return F.broadcast(table) if (table.agg(F.sum(size)).first()[0] or 0) <= limit else table
+
+
 def encode(df: DataFrame, col: str, table: DataFrame | None = None,
            code_col: str | None = None) -> DataFrame:
     """Add ``<col>_encoded``; null or unknown values get -1.

@@ -229,11 +229,12 @@ def store_features(clean: DataFrame, with_dominant: bool = True, stores: DataFra
     return drop_null(df, [f"lag_{k}" for k in STORE_LAGS])
 
 
-def country_daily_features(clean: DataFrame, country: str, materialize: bool = True) -> DataFrame:
+def country_daily_features(clean: DataFrame, country: str, materialize: bool = True,
+                           stores: DataFrame | None = None) -> DataFrame:
     """Daily family features for one country: G6 mart, P8, J4 day fill,
     X1-X5, X10, W1 lags 7/14/28 by Famille, W3 means 7/30, P12.  The mart
     is materialized once (the fill reads its bounds and its rows)."""
-    mart = valid_families(country_daily_mart(clean, country))
+    mart = valid_families(country_daily_mart(clean, country, stores))
     if materialize:
         mart = checkpointed(mart)
     df = calendar_fill(mart)

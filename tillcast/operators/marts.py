@@ -58,9 +58,20 @@ def store_day_colours(clean: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("nb_lignes"))
 
 
-def country_daily_mart(clean: DataFrame, country: str) -> DataFrame:
+def country_daily_mart(clean: DataFrame, country: str, stores: DataFrame | None = None) -> DataFrame:
     """The one-country day mart by Date, Famille, with the
-    number of distinct stores that sold (``nb_magasins``)."""
+    number of distinct stores that sold (``nb_magasins``).
+
+    With ``stores`` (CodeMag -> Pays) the fact needs no country: it is
+    aggregated by Date, Famille, CodeMag first, and only one row per store, day
+    and family meets the stores of the country."""
+    if stores is not None:
+        of_country = stores.filter(F.col("Pays") == country).select("CodeMag")
+        by_store = clean.groupBy("Date", "Famille", "CodeMag").agg(
+            F.sum("Quantite").alias("sum_Quantite"), F.sum("Total").alias("sum_Total"))
+        return (by_store.join(of_country, "CodeMag", "left_semi").groupBy("Date", "Famille").agg(
+            F.sum("sum_Quantite").alias("sum_Quantite"), F.sum("sum_Total").alias("sum_Total"),
+            F.count("CodeMag").alias("nb_magasins")))
     return (clean.filter(F.col("Pays") == country)
             .groupBy("Date", "Famille").agg(
                 F.sum("Quantite").alias("sum_Quantite"),

@@ -301,8 +301,24 @@ def remark(is_num: Column, is_date: Column) -> Column:
     return F.when(is_num, numeric).when(is_date, dates).otherwise(text)
 
 
+def column_fill(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """What G25 reads of the profile, without the value counts: one row per
+    column with Colonne, Type_SQL, Type_Logique, Total_Lignes, Valeurs_Nulles
+    and Pct_NULL (null for a table without rows), from one aggregate whose
+    tasks send a single row each."""
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f.name)).alias(f"f{i}") for i, f in enumerate(fields)])
+    rows = [F.struct(F.lit(f.name).alias("Colonne"), F.lit(sql_type(f.dataType)).alias("Type_SQL"),
+                     F.lit(logical_type(f.name, sql_type(f.dataType))).alias("Type_Logique"),
+                     F.col("n").alias("Total_Lignes"), (F.col("n") - F.col(f"f{i}")).alias("Valeurs_Nulles"))
+            for i, f in enumerate(fields)]
+    return counts.select(F.inline(F.array(*rows))).withColumn("Pct_NULL", round_to(
+        F.try_divide(F.col("Valeurs_Nulles") * 100.0, F.col("Total_Lignes").cast("double")), 2))
+
+
 def profile_summary(profile: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Columns per logical type, and columns over 10 % null (descending)."""
+    """Columns per logical type, and columns over 10 % null (descending),
+    of a :func:`column_profile` or a :func:`column_fill`."""
     per_type = profile.groupBy("Type_Logique").agg(F.count(F.lit(1)).alias("nb_colonnes"))
     nulls = (profile.filter(F.col("Pct_NULL") > 10).select("Colonne", "Pct_NULL")
              .orderBy(F.desc("Pct_NULL"), F.asc("Colonne")))

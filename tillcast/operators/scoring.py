@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tillcast import constants as K
 from tillcast.functions.calendar import high_season, iso_week_monday, season_flags
 from tillcast.functions.scalars import clip_zero, round_to
+from tillcast.operators.encode import broadcast_measured
 from tillcast.operators.models import LinearModel
 
 REQUEST_SCHEMA = ("famille string, year int, week_of_year int, lag_1 double, lag_2 double, lag_4 double, "
@@ -36,13 +37,16 @@ def score(requests: DataFrame, model: LinearModel, codes: DataFrame, supported:
 
     ``codes`` is the (Famille, Famille_encoded) table the model was trained
     with; ``supported`` the families the model serves.  Unknown family or a
-    week missing from the ISO year give an error text and no prediction.
+    week missing from the ISO year give an error text and no prediction.  The
+    two family tables are written and measured here, before requests are read.
     """
-    ok = supported.select(F.col("Famille").alias("_sup")).distinct().withColumn("_known", F.lit(True))
-    code = codes.select(F.col("Famille").alias("_code_fam"), "Famille_encoded")
-    df = (requests.join(ok, requests["famille"] == ok["_sup"], "left")
-          .join(code, requests["famille"] == code["_code_fam"], "left")
-          .crossJoin(F.broadcast(family_choices(supported))))
+    # one static row per family, written and measured, so that requests (few
+    # families, so hot keys) are not shuffled to meet it
+    ok = supported.select(F.col("Famille").alias("_fam")).distinct().withColumn("_known", F.lit(True))
+    code = codes.select(F.col("Famille").alias("_fam"), "Famille_encoded")
+    families = broadcast_measured(code.join(ok, "_fam", "full"))
+    choices = broadcast_measured(family_choices(families.filter("_known"), "_fam"))
+    df = requests.join(families, requests["famille"] == families["_fam"], "left").crossJoin(choices)
     monday = iso_week_monday("year", "week_of_year")
     df = df.withColumn("_monday", monday).withColumn("month", F.month("_monday"))
     df = df.withColumn("quarter", F.floor((F.col("month") - 1) / 3).cast("int") + 1)

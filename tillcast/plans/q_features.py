@@ -15,7 +15,7 @@ from tillcast.sources.tables import store_country
 from tillcast.session import materialize
 
 MART_COLS = ["Date", "CodeMag", "Famille", "Quantite", "Total"]
-CDAY_COLS = ["Date", "CodeMag", "Famille", "Pays", "Quantite", "Total"]
+CDAY_COLS = ["Date", "CodeMag", "Famille", "Quantite", "Total"]
 WEEK_COLS = ["Date", "Famille", "Quantite"]
 # The weekly mart covers every store: the threshold and family means of the
 # fixtures (FIXTURES.md section 2) are those of the all-country weekly mart.
@@ -111,7 +111,7 @@ def q_mart_daily(spark, d):
 select Date, Famille, round(sum_Quantite, 6) as sum_Quantite, round(sum_Total, 6) as sum_Total,
        nb_magasins from cday""")
 def q_mart_country_daily(spark, d):
-    return rounded(M.country_daily_mart(clean_frame(spark, d, CDAY_COLS), P.COUNTRY))
+    return rounded(M.country_daily_mart(clean_frame(spark, d, CDAY_COLS), P.COUNTRY, store_country(spark, d)))
 
 
 @register("mart_weekly", f"""{WEEKLY_SQL}
@@ -144,7 +144,7 @@ def q_encode_codes(spark, d):
 select Date, Famille, round(sum_Quantite, 6) as sum_Quantite, round(sum_Total, 6) as sum_Total,
        nb_magasins from vday""")
 def q_valid_families(spark, d):
-    mart = M.country_daily_mart(clean_frame(spark, d, CDAY_COLS), P.COUNTRY)
+    mart = M.country_daily_mart(clean_frame(spark, d, CDAY_COLS), P.COUNTRY, store_country(spark, d))
     return rounded(FE.valid_families(mart))
 
 
@@ -152,7 +152,7 @@ def q_valid_families(spark, d):
 select Date, Famille, round(sum_Quantite, 6) as sum_Quantite, round(sum_Total, 6) as sum_Total,
        nb_magasins from filled""")
 def q_calendar_fill(spark, d):
-    mart = materialize(FE.valid_families(M.country_daily_mart(clean_frame(spark, d, CDAY_COLS), P.COUNTRY)))
+    mart = materialize(FE.valid_families(M.country_daily_mart(clean_frame(spark, d, CDAY_COLS), P.COUNTRY, store_country(spark, d))))
     return rounded(FE.calendar_fill(mart))
 
 
@@ -193,7 +193,7 @@ select Date, Famille, {_r(['sum_Quantite', 'sum_Total', 'nb_magasins'])}, year,
 from feat where lag_7 is not null and lag_14 is not null and lag_28 is not null
   and rolling_mean_7 is not null and rolling_mean_30 is not null""")
 def q_lag_features_daily(spark, d):
-    return rounded(FE.country_daily_features(clean_frame(spark, d, CDAY_COLS), P.COUNTRY))
+    return rounded(FE.country_daily_features(clean_frame(spark, d, CDAY_COLS), P.COUNTRY, stores=store_country(spark, d)))
 
 
 @register("lag_features_by_day", f"""{CDAY_SQL}, feat as (
@@ -205,7 +205,7 @@ from feat f join vday v on f.Famille = v.Famille and f.Date = v.Date""")
 def q_lag_features_by_day(spark, d):
     """W1 + W3 by date (fill 'D'): the days that have sales, with the lags and
     means that the filled calendar gives; the oracle fills, then lags by row."""
-    mart = materialize(FE.valid_families(M.country_daily_mart(clean_frame(spark, d, CDAY_COLS), P.COUNTRY)))
+    mart = materialize(FE.valid_families(M.country_daily_mart(clean_frame(spark, d, CDAY_COLS), P.COUNTRY, store_country(spark, d))))
     first = F.broadcast(mart.agg(F.min("Date").alias("first_day")))
     df = FE.add_date_lags(mart.join(first), ["Famille"], "Date", STORE_LAGS, [7, 30], full_windows=True,
                           unit="D", fill=0.0, start="first_day")

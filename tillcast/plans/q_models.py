@@ -377,7 +377,7 @@ def q_gbt_country_daily(spark, d):
     MAPE (y >= 5, null when empty) and R2 with train/test sizes (E8 input)."""
     from tillcast.operators.features import country_daily_features
     from tillcast.plans.q_features import CDAY_COLS
-    feats = country_daily_features(clean_frame(spark, d, CDAY_COLS), P.COUNTRY)
+    feats = country_daily_features(clean_frame(spark, d, CDAY_COLS), P.COUNTRY, stores=store_country(spark, d))
     feats = materialize(S.guard_groups(feats, "Date", P.TEST_CUT, 50, 10))
     s = S.add_split(feats, "Date", P.TEST_CUT)
     train, test = s.filter("split = 'train'"), s.filter("split = 'test'")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tillcast import constants as K
 from tillcast.operators import profile as PR
-from tillcast.plans.catalog import register
-from tillcast.sources.tables import read_table
+from tillcast.plans.catalog import WITH_SALES, register
+from tillcast.sources.tables import read_table, sales
 
 # column -> SQL type name of lineitem, in table order
 LINEITEM = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"),
@@ -152,7 +152,7 @@ register("top_values", f"with prof as ({PROFILE_SQL}) select Colonne, Top_5_Vale
 @register("profile_summary", f"""with prof as ({PROFILE_SQL})
 select Type_Logique, count(*) as nb_colonnes from prof group by Type_Logique""")
 def q_profile_summary(spark, d):
-    per_type, _ = PR.profile_summary(_lineitem_profile(spark, d))
+    per_type, _ = PR.profile_summary(PR.column_fill(read_table(spark, d, "lineitem")))
     return per_type
 
 
@@ -194,7 +194,21 @@ def q_profile_dims(spark, d):
 select Colonne, Pct_NULL from prof where Pct_NULL > 10""")
 def q_profile_nulls(spark, d):
     """Columns with more than 10 % nulls, most null first."""
-    _, nulls = PR.profile_summary(_lineitem_profile(spark, d))
+    _, nulls = PR.profile_summary(PR.column_fill(read_table(spark, d, "lineitem")))
+    return nulls
+
+
+_SALES_FILL = " union all ".join(
+    f"select '{c}' as Colonne, count(*) as n, count(*) - count({c}) as nulls from sales"
+    for c in ["Date", "Reception", "TypeVente", "CodeMag", "CodeArticle", "Famille", "ArFamille", "ArCouleur",
+              "Saison", "Pays", "Prix", "Quantite", "Total"])
+
+
+@register("profile_nulls_sales", f"""{WITH_SALES}, fill as ({_SALES_FILL})
+select Colonne, round(nulls * 100.0 / n, 2) as Pct_NULL from fill where nulls * 100.0 / n > 10""")
+def q_profile_nulls_sales(spark, d):
+    """G25 on the sales view, which has null dates."""
+    _, nulls = PR.profile_summary(PR.column_fill(sales(spark, d)))
     return nulls
 
 

@@ -14,6 +14,7 @@ from tillcast.operators import features as FE
 from tillcast.operators import select as S
 from tillcast.plans import params as P
 from tillcast.plans.catalog import clean_frame, register, rounded
+from tillcast.session import materialize
 from tillcast.sources.tables import store_country
 from tillcast.plans.q_features import MART_COLS, STORE_FEAT_SQL, WEEKLY_V2_SQL, _sq, weekly_v2
 
@@ -66,9 +67,10 @@ def naive_frame(spark, d, parity: bool = False):
 
 
 def store_frame(spark, d):
-    return FE.store_features(clean_frame(spark, d, MART_COLS), with_dominant=False,
-                             stores=store_country(spark, d)).select(
-        "Date", "CodeMag", "Famille", "Pays", "sum_Quantite")
+    """The store features a selection reads twice (once to rank the families), computed once."""
+    return materialize(FE.store_features(clean_frame(spark, d, MART_COLS), with_dominant=False,
+                                         stores=store_country(spark, d)).select(
+        "Date", "CodeMag", "Famille", "Pays", "sum_Quantite"))
 
 
 # ------------------------------------------------------------------ selection

@@ -186,6 +186,46 @@ def test_tiles_cover_what_plain_tiling_covers():
         assert len(used_b) == tiles_twin(text.tolist(), item.tolist())
 
 
+def test_tiles_of_repetitive_words_are_whole(monkeypatch):
+    """Few distinct words: tiles are common runs that do not overlap, and no free common run of five words is left."""
+    rng = np.random.default_rng(8)
+    cases = []
+    for _ in range(150):
+        item = rng.integers(1, 4, int(rng.integers(1, 40)))
+        cut = int(rng.integers(0, len(item)))
+        cases.append((np.concatenate([rng.integers(0, 4, int(rng.integers(1, 60))), item[cut:], item[:cut]]), item))
+    got = [decontaminate.tiles(text, item) for text, item in cases]
+    for (text, item), found in zip(cases, got):
+        a_left, b_left = text.copy(), item.copy()
+        for a, b, n in found:
+            assert n >= 5 and (text[a:a + n] == item[b:b + n]).all()
+            assert (a_left[a:a + n] > 0).all() and (b_left[b:b + n] > 0).all()
+            a_left[a:a + n] = b_left[b:b + n] = 0
+        grams = {tuple(a_left[i:i + 5]) for i in range(len(text) - 4) if (a_left[i:i + 5] > 0).all()}
+        assert not any(tuple(b_left[i:i + 5]) in grams for i in range(len(item) - 4) if (b_left[i:i + 5] > 0).all())
+    # a hash that always agrees is noticed when tiles are compared: the same tiles come from the words
+    monkeypatch.setattr(decontaminate._Runs, "agree", lambda self, a, b, n: np.ones(len(a), bool))
+    assert [decontaminate.tiles(text, item) for text, item in cases] == got
+
+
+@pytest.mark.parametrize("word, n_item, n_text", [("w ", 200, 200_000), ("a b c ", 70, 60_000), ("w ", 3000, 60_000)])
+def test_repeated_words_cost_no_item_times_text(word, n_item, n_text):
+    import time
+    start = time.time()
+    seeds = decontaminate._Seeds([(1, word * n_item), (2, "other words that stand in no such text")], 5)
+    [(item, share, n, longest)] = seeds.found_in(word * n_text, 0.8)
+    assert (item, share, n, longest) == (1, 1.0, 1, n_item * len(word.split())) and time.time() - start < 10
+
+
+def test_many_items_that_share_a_seed_are_told_apart_quickly():
+    import time
+    seeds = decontaminate._Seeds([(i, f"what is the capital city of place{i} in the year{i} or later on") for i in range(20_000)], 5)
+    start = time.time()
+    text = "what is the capital city of mars and what is the capital city of place77 in the year77 or later on"
+    assert [f[0] for f in seeds.found_in(text, 0.8)] == [77]
+    assert time.time() - start < 5
+
+
 def leaks_twin(rows, items, coverage=0.8):
     out = []
     bench = [(i, decontaminate.words_of(t)) for i, t in items]

@@ -45,24 +45,52 @@ def _free(mask: np.ndarray, n: int) -> np.ndarray:
     return total[n:] - total[:-n] == n
 
 
+class _Runs:
+    """How far two places of ``text`` and ``item`` agree, by hashes of their prefixes."""
+
+    def __init__(self, text: np.ndarray, item: np.ndarray):
+        self.power = np.cumprod(np.append(np.uint64(1), np.full(max(len(text), len(item)), _BASE)), dtype=np.uint64)
+        self.text, self.item = (np.append(np.uint64(0), np.cumsum(ids.astype(np.uint64) * self.power[:len(ids)], dtype=np.uint64))
+                                for ids in (text, item))
+
+    def agree(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return ((self.text[a + n] - self.text[a]) * self.power[b]) == ((self.item[b + n] - self.item[b]) * self.power[a])
+
+
+def _room(free: np.ndarray) -> np.ndarray:
+    """For each place, how many places from it on are free."""
+    taken = np.append(np.flatnonzero(~free), len(free))
+    return taken[np.searchsorted(taken, np.arange(len(free)))] - np.arange(len(free))
+
+
 def tiles(text: np.ndarray, item: np.ndarray, least: int = 5) -> list[tuple[int, int, int]]:
     """Greedy string tiling: ``(text place, item place, length)`` of the tiles.
 
     Ids are positive; 0 matches nothing.  Running Karp-Rabin: runs of the search
     length are met by hash, compared and extended; the search length rises to a
-    match more than twice as long and falls to ``least`` in the end.
+    match more than twice as long and falls to ``least`` in the end.  Lengths
+    are found by hash, and each tile is compared word by word before it counts;
+    should one differ, all is done again with lengths found by words.
     """
+    by_hash = _tiled(text, item, least, _Runs(text, item))
+    return _tiled(text, item, least, None) if by_hash is None else by_hash
+
+
+def _tiled(text, item, least, runs):
     text_free, item_free = text > 0, item > 0
     found: list[tuple[int, int, int]] = []
     length = max(least, min(20, len(item)))
     while True:
-        matches, longest = _matches(text, item, text_free, item_free, length)
+        matches, longest = _matches(text, item, text_free, item_free, length, runs)
         if longest > 2 * length:
             length = longest
             continue
         marked = False
-        for n, a, b in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if text_free[a:a + n].all() and item_free[b:b + n].all():
+        for n, a, b in matches.tolist():
+            # tiles marked in this round are no shorter, so one that overlaps holds an end of this match
+            if text_free[a] and text_free[a + n - 1] and item_free[b] and item_free[b + n - 1]:
+                if runs and not np.array_equal(text[a:a + n], item[b:b + n]):
+                    return None
                 text_free[a:a + n] = item_free[b:b + n] = False
                 found.append((a, b, n))
                 marked = True
@@ -73,32 +101,76 @@ def tiles(text: np.ndarray, item: np.ndarray, least: int = 5) -> list[tuple[int,
         length = max(least, length // 2)
 
 
-def _matches(text, item, text_free, item_free, length):
-    at_item: dict[int, list[int]] = {}
+def _matches(text, item, text_free, item_free, length, runs, most_pairs: int = 1 << 20):
+    """Maximal common free runs of ``length`` or more as rows ``(n, a, b)``,
+    longest first, then by place, and the greatest n.
+
+    Only the starts of such runs are paired: places of equal run hashes whose
+    words before differ (or are not free).  Item places are sorted by hash and
+    word before, so the places with the same word before are one stretch that is
+    left out, and a repeated word costs no pair for every two of its places.
+    """
+    none = np.zeros((0, 3), np.int64), 0
     if len(item) < length or len(text) < length:
-        return [], 0
-    item_hash = rolling(item, length)
-    for b in np.flatnonzero(_free(item_free, length)).tolist():
-        at_item.setdefault(int(item_hash[b]), []).append(b)
-    if not at_item:
-        return [], 0
-    text_hash = rolling(text, length)
-    keys = np.array(sorted(at_item), np.uint64)
-    near = np.flatnonzero(_free(text_free, length) & np.isin(text_hash, keys))
-    matches, longest = [], 0
-    for a in near.tolist():
-        for b in at_item[int(text_hash[a])]:
-            if not np.array_equal(text[a:a + length], item[b:b + length]):
-                continue
-            if a and b and text[a - 1] == item[b - 1] and text_free[a - 1] and item_free[b - 1]:
-                continue                 # a later part of a match that begins before
-            n = length
-            while (a + n < len(text) and b + n < len(item) and text[a + n] == item[b + n]
-                   and text_free[a + n] and item_free[b + n]):
-                n += 1
-            matches.append((n, a, b))
-            longest = max(longest, n)
-    return matches, longest
+        return none
+    places = np.flatnonzero(_free(item_free, length))
+    starts = np.flatnonzero(_free(text_free, length))
+    if not len(places) or not len(starts):
+        return none
+    hashes, group = np.unique(rolling(item, length)[places], return_inverse=True)
+    text_hash = rolling(text, length)[starts]
+    text_group = np.minimum(np.searchsorted(hashes, text_hash), len(hashes) - 1)
+    near = hashes[text_group] == text_hash
+    starts, text_group = starts[near], text_group[near]
+    # the free word before a place, 0 where there is none (such places start a run with any other)
+    item_before = np.where(np.append(False, item_free[:-1]), np.append(0, item[:-1]), 0)[places]
+    text_before = np.where(np.append(False, text_free[:-1]), np.append(0, text[:-1]), 0)[starts]
+    wide = int(max(item.max(), text.max())) + 1
+    key = group.astype(np.int64) * wide + item_before
+    order = np.argsort(key, kind="stable")
+    key, places = key[order], places[order]
+    at = text_group.astype(np.int64) * wide
+    low, high = np.searchsorted(key, at), np.searchsorted(key, at + wide)
+    same_low = np.where(text_before > 0, np.searchsorted(key, at + text_before), high)
+    same_high = np.where(text_before > 0, np.searchsorted(key, at + text_before, "right"), high)
+    begins, ends = np.concatenate([low, same_high]), np.concatenate([same_low, high])
+    starts = np.concatenate([starts, starts])
+    some = ends > begins
+    begins, ends, starts = begins[some], ends[some], starts[some]
+    text_room, item_room = _room(text_free), _room(item_free)
+    found, total = [], np.cumsum(ends - begins)
+    cut = 0
+    while cut < len(starts):                 # about most_pairs pairs at a time
+        done = total[cut - 1] if cut else 0
+        stop = max(cut + 1, int(np.searchsorted(total, done + most_pairs, "right")))
+        sizes = ends[cut:stop] - begins[cut:stop]
+        a = np.repeat(starts[cut:stop], sizes)
+        b = places[np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begins[cut:stop], sizes)]
+        n = _agreement(text, item, a, b, np.minimum(text_room[a], item_room[b]), runs)
+        found.append(np.stack([n, a, b], axis=1)[n >= length])
+        cut = stop
+    rows = np.concatenate(found) if found else none[0]
+    if not len(rows):
+        return none
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], -rows[:, 0]))]
+    return rows, int(rows[0, 0])
+
+
+def _agreement(text, item, a, b, room, runs):
+    """Length of the common run at each pair of places, at most ``room``: by halving with ``runs``, else word by word."""
+    if runs:
+        least, most = np.zeros(len(a), np.int64), room.astype(np.int64)
+        while (least < most).any():
+            half = (least + most + 1) // 2
+            good = runs.agree(a, b, half)
+            least, most = np.where(good, half, least), np.where(good, most, half - 1)
+        return least
+    n, alive = np.zeros(len(a), np.int64), np.arange(len(a))
+    while len(alive):
+        alive = alive[n[alive] < room[alive]]
+        alive = alive[text[a[alive] + n[alive]] == item[b[alive] + n[alive]]]
+        n[alive] += 1
+    return n
 
 
 class _Seeds:
@@ -119,6 +191,7 @@ class _Seeds:
         empty = [np.zeros(0, np.int64)]
         h = np.concatenate(hashes or [np.zeros(0, np.uint64)])
         order = np.argsort(h, kind="stable")
+        self.lengths = np.array([len(ids) for _, ids in self.items], np.int64)
         self.hash = h[order]
         self.owner = np.concatenate(owners or empty)[order]
         self.place = np.concatenate(places or empty)[order]
@@ -142,15 +215,20 @@ class _Seeds:
         first, last = np.searchsorted(self.hash, seeds), np.searchsorted(self.hash, seeds, "right")
         posting = np.concatenate([np.arange(a, b) for a, b in zip(first, last)])
         owner, place = self.owner[posting], self.place[posting]
-        for k in np.unique(owner).tolist():
+        order = np.argsort(owner, kind="stable")
+        owners, begins, counts = np.unique(owner[order], return_index=True, return_counts=True)
+        # an item whose seeds could not cover it even side by side is not looked at
+        enough = counts * self.least >= coverage * self.lengths[owners]
+        for k, begin, count in zip(owners[enough].tolist(), begins[enough].tolist(), counts[enough].tolist()):
             item_id, item = self.items[k]
-            could = np.zeros(len(item), bool)
-            for p in place[owner == k]:
-                could[p:p + self.least] = True
+            mine = order[begin:begin + count]
+            could = np.zeros(len(item) + self.least, bool)
+            for d in range(self.least):
+                could[place[mine] + d] = True
             if could.sum() < coverage * len(item):
                 continue
             # only the parts of the text under this item's seeds can hold tiles
-            own = at[np.isin(h, self.hash[posting[owner == k]])]
+            own = at[np.isin(h, self.hash[posting[mine]])]
             under = np.zeros(len(ids) + 1, bool)
             for d in range(self.least):
                 under[own + d] = True

@@ -22,7 +22,7 @@ IDS = {
     "dominant_colour": "G24, W4, P2", "features_joined": "J1, G24, W1, W2", "distinct_counts": "G23",
     "feature_summary": "S9", "family_means": "G10", "schema_lookup": "S7", "table_check": "S8",
     "profile_numeric": "G17, N10", "profile_dates": "G18", "profile_text": "G19", "profile_dims": "G20, X22, K8",
-    "profile_remarks": "G26, X18-X21", "top_values": "K8", "profile_summary": "G25", "profile_nulls": "G25",
+    "profile_remarks": "G26, X18-X21", "top_values": "K8", "profile_summary": "G25", "profile_nulls": "G25", "profile_nulls_sales": "G25",
     "profile_median": "G17 (median)", "high_volume_filter": "C1, J2, P11", "top10_then_min": "K3, J2, P9",
     "min_then_top10": "P9, K3", "country_min_then_top": "P10, P9, K3", "split_counts": "P14",
     "group_guard": "P15", "value_counts_top": "K4", "naive_predict": "M8, X12", "metrics_overall": "E1-E6",

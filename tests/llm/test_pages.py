@@ -1,10 +1,13 @@
 """Url rules against SQL and plain Python, and main text of pages."""
 
 import html
+import math
 import re
+from collections import Counter
 
 import duckdb
 import pandas as pd
+import pytest
 
 from tillcast.llm import htmltext, queries, urlfilter
 
@@ -131,3 +134,74 @@ def test_notices_go_one_by_one(spark):
     got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     want = {at + k: f"Body {k}" for at in (0, 10) for k in range(6)} | {20 + k: f"Body {k}" for k in range(3)}
     assert got == want | {23 + k: f"Heading Text {k}" for k in range(3)}
+
+
+def tree_twin(pages, least_pages=4):
+    """{path: (importance, composite)} of one host; a page is a list of (path, text), a leaf's path ends in /#text."""
+    styles, texts = {}, {}
+    for k, page in enumerate(pages):
+        below = {}
+        for path, text in page:
+            names = [*path.split("/"), "#text"]
+            for d in range(1, len(names)):
+                below.setdefault("/".join(names[:d]), {})["/".join(names[:d + 1])] = None
+            texts.setdefault("/".join(names), {}).setdefault(text, set()).add(k)
+        for node, children in below.items():
+            styles.setdefault(node, []).append(tuple(children))
+
+    def judge(node):
+        if node in texts:
+            m = len(set().union(*texts[node].values()))
+            if m < least_pages:
+                return 1.0, 1.0
+            value = 1 - sum(math.log(len(on), m) for on in texts[node].values()) / len(texts[node])
+            return value, value
+        m, counts = len(styles[node]), Counter(styles[node])
+        if m < least_pages:
+            return 1.0, 1.0
+        own, weight = -sum(n / m * math.log(n / m, m) for n in counts.values()), 0.9 ** len(counts)
+        return own, (1 - weight) * own + weight * sum(
+            n / m * sum(judge(c)[1] for c in children) / len(children) for children, n in counts.items())
+
+    return {node: judge(node) for node in [*styles, *texts]}
+
+
+def test_style_tree_equals_its_definition(spark):
+    pages = [[("/body/div.top", "Same words"), *[("/body/div.text/p", f"Body {k} {j}") for j in range(k % 3)],
+              ("/body/div.more/ul/li", f"Link {k % 2}"), ("/body/div.more/ul/li/section.x", "all"), ("/body/div.more", "See also"),
+              *([("/body/div.rare/p", "rare")] if k < 3 else [])] for k in range(8)]
+
+    def markup(page):
+        out = ""
+        for path, text in page:
+            names = [n.split(".") for n in path.split("/")[1:]]
+            out += "".join(f"<{tag}{' class='.join(['', *style])}>" for tag, *style in names) + text
+            out += "".join(f"</{tag}>" for tag, *_ in reversed(names))
+        return out
+
+    df = spark.createDataFrame([("h", markup(page)) for page in pages], "host string, html string")
+    tree = htmltext.style_tree(htmltext._tree_counts(df), 4, 0.5, 0.1).collect()
+    twin = tree_twin(pages)
+    keys = {}
+    for node in twin:
+        chain = htmltext._chain(node.removesuffix("/#text"))
+        keys[chain[-1] if node.endswith("/#text") else chain[-2]] = node
+    assert {keys[r.node] for r in tree} == set(twin) and len(tree) == len(twin)
+    for r in tree:
+        assert (r.importance, r.composite) == pytest.approx(twin[keys[r.node]])
+        under = [twin[n][1] for n in twin if n == keys[r.node] or n.startswith(keys[r.node] + "/")]
+        assert r.noisy == (max(under) < 0.5)
+    assert {keys[r.node] for r in tree if r.noisy} >= {"/body/div.top", "/body/div.more", "/body/div.more/ul/li/section.x/#text"}
+
+
+def test_noisy_branches_go_whole(spark):
+    rows = [(k, f"http://h.org/{k}", f"<div class=box><p>Follow us</p><p>Read on</p>{'<p>Only here</p>' if k == 3 else ''}</div><div><p>Body {k}</p></div>")
+            for k in range(8)]
+    got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Body {k}" for k in range(8)}
+
+
+def test_deep_pages_take_few_rounds(spark):
+    rows = [(k, "http://h.org/", "<div>" * 300 + f"Body {k}" + "</div>" * 300 + "<p>Same</p>") for k in range(5)]
+    got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Body {k}" for k in range(5)}

@@ -64,6 +64,26 @@ def test_substrings_by_index_and_by_hash(spark, most, window):
     assert sorted((str(r[0]), r[1], r[2], r[3]) for r in out.collect()) == repeats_twin(data, window)
 
 
+def test_only_shared_segments_go_on(spark, monkeypatch):
+    """Segments of anchors of a single document are left out before anything else is written."""
+    tables = {}
+
+    def keep(df, name, write=substrings.written):
+        tables[name] = write(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(substrings, "written", keep)
+    own = [" ".join(f"d{i}w{k}" for k in range(400)) for i in range(20)]
+    data = [(i, t) for i, t in enumerate(own)] + [(20, own[7]), (21, "x " + own[7])]
+    out = substrings.remove_repeats(spark.createDataFrame(data, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_removed) for r in out.collect()) == [(i, 400 if i > 19 else 0) for i in range(22)]
+    segments = {(r.doc_id, r.start) for r in tables["segments"].collect()}
+    ours = {(i, start) for i, start in segments if i in (7, 20, 21)}
+    assert len(ours) < len(segments) / 4
+    for name in set(tables) - {"segments"}:
+        assert tables[name].count() <= len(ours)
+
+
 def test_substring_edge_rows(spark, edge):
     out = substrings.remove_repeats(edge).selectExpr("doc_id", "n_words", "n_removed", "sha2(text, 256) h")
     assert sorted((str(r[0]), r[1], r[2], r[3]) for r in out.collect()) == repeats_twin([(i, t) for i, t, _ in EDGE])

@@ -209,15 +209,19 @@ FOUND = "seg_a long, seg_b long, k_from int, k_to int, min_doc long"
 
 # ------------------------------------------------------------ the operator
 
-def _live_segments(segments: DataFrame, most_segments: int) -> DataFrame:
-    """Distinct segments whose anchor stands in two documents or more, and whether the anchor is hot."""
+def _shared_segments(segments: DataFrame) -> DataFrame:
+    """The segments whose anchor stands in two documents or more; no other can repeat in a later document."""
+    anchors_of = segments.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top"))
+    return segments.join(anchors_of.filter("low <> top").select("anchor"), "anchor", "left_semi")
+
+
+def _live_segments(shared: DataFrame, most_segments: int) -> DataFrame:
+    """Distinct segments of shared anchors, and whether the anchor is hot."""
     place = F.struct("doc_id", "text_key", "start")
-    distinct = written(segments.groupBy("seg_a", "seg_b").agg(
+    distinct = written(shared.groupBy("seg_a", "seg_b").agg(
         F.min("anchor").alias("anchor"), F.min("n_windows").alias("n_windows"), F.min(place).alias("place"),
         F.max("doc_id").alias("high")), "distinct")
-    live = (distinct.groupBy("anchor").agg(F.min("place.doc_id").alias("low"), F.max("high").alias("top"),
-                                           F.count(F.lit(1)).alias("n")).filter("low <> top")
-            .select("anchor", (F.col("n") > most_segments).alias("hot")))
+    live = distinct.groupBy("anchor").agg((F.count(F.lit(1)) > most_segments).alias("hot"))
     return distinct.join(live, "anchor").select(
         "anchor", "seg_a", "seg_b", "hot", "high", "n_windows", F.col("place.doc_id").alias("doc_id"),
         F.col("place.text_key").alias("text_key"), F.col("place.start").alias("start"))
@@ -297,11 +301,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, most_segments: int = 2000)
     segments = written(known.mapInArrow(
         _segments(window),
         "anchor long, seg_a long, seg_b long, doc_id long, text_key long, start int, n_windows int"), "segments")
-    live = written(_live_segments(segments, most_segments), "live")
-    words = written(_with_words(live, known, window), "words")
+    shared = written(_shared_segments(segments), "shared")
+    words = written(_with_words(_live_segments(shared, most_segments), known, window), "words")
     shards = words.filter("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
     found = shards.mapInArrow(_searched(window), FOUND).unionByName(_met_by_hash(words.filter("hot"), window))
-    marks = (segments.join(found, ["seg_a", "seg_b"]).filter("doc_id > min_doc")
+    marks = (shared.join(found, ["seg_a", "seg_b"]).filter("doc_id > min_doc")
              .groupBy("doc_id", "text_key").agg(F.collect_set(
                  F.struct((F.col("start") + F.col("k_from")).alias("first"),
                           (F.col("start") + F.col("k_to") + window).alias("past"))).alias("gone")))

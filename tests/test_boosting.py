@@ -148,3 +148,34 @@ def test_roles_by_date(spark):
     for _, part in got[got.role != "test"].groupby("Famille"):
         valid = part[part.role == "valid"]
         assert 0.1 <= len(valid) / len(part) <= 0.25 and valid.Date.min() > part[part.role == "fit"].Date.max()
+
+
+def test_a_round_is_one_job_a_level(spark):
+    df = spark.createDataFrame(make(300, 5))
+    def jobs(rounds):
+        spark.sparkContext.setJobGroup(f"boosting-{rounds}", "rounds of boosting")
+        try:
+            B.fit_boosting(df, "Famille", FEATS, "y", rounds=rounds, depth=3)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boosting-{rounds}"))
+    jobs(1)
+    assert jobs(7) - jobs(3) <= 4 * 3
+
+
+def test_rows_in_many_tasks_give_the_same_trees(spark, monkeypatch):
+    df = spark.createDataFrame(make(400, 7).reset_index(names="k"))
+    fits = []
+    for rows in (50_000, 60):
+        monkeypatch.setattr(B, "ROWS_A_TASK", rows)
+        monkeypatch.setattr(B, "KEEP_EVERY", 2)
+        m = B.fit_boosting(df, "Famille", FEATS, "y", rounds=6, step=0.3, depth=3, patience=5)
+        fits.append(({r.k: round(r.prediction, 9) for r in m.predictions.collect()}, sorted(map(tuple, m.rounds.select("Famille", "best_round").collect())),
+                     {(r.Famille, r.round, v, s.f, s.b) for r in m.trees.collect() for v, s in r.splits.items()}))
+    assert fits[0] == fits[1] and len(fits[0][0]) == 400
+
+
+def test_drawn_rows_are_those_of_the_hash(spark):
+    rows = spark.range(-50, 500).select("id", F.xxhash64("id", F.lit(42)).alias("h"), F.xxhash64("id", F.lit(42), F.lit(17)).alias("x")).collect()
+    got = B._drawn(np.array([r.h for r in rows]).view("uint64"), 17, 0.8)
+    assert got.tolist() == [r.x % 1_000_000 < 800_000 for r in rows] and 0.7 < got.mean() < 0.9

@@ -4,8 +4,9 @@ Features are cut at quantiles of each family's rows.  A round grows one tree a
 family, all families together: each level is one aggregate by (family, node,
 feature, bin) over rows that carry their current prediction, and the best split
 of each node comes from running sums over at most ``bins`` bins.  Trees are
-rows of a table, one a family and round; no family is listed on the driver and
-no family's rows meet in one task.
+rows of a table, one a family and round.  The driver sees the names of the
+families, the splits of their current trees and their errors, never their rows,
+and no family's rows meet in one task.
 
 With G the sum of residuals and n the rows of a node, a leaf is worth
 ``step * G / (n + l2)``, and a split gains half of the rise in G^2 / (n + l2).
@@ -16,19 +17,24 @@ leaf with the largest gain next, until that many leaves.
 from __future__ import annotations
 
 import heapq
+import pickle
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
+import numpy as np
 import pandas as pd
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillcast.constants import COLSAMPLE, GBT_SEED, SUBSAMPLE
 from tillcast.session import checkpoint_dir, materialize
 
 FIT, VALID, TEST = "fit", "valid", "test"
 SPLIT = "struct<f:int,b:int,gain:double,sl:double,nl:long,sr:double,nr:long>"
-CHECK_EVERY = 5         # rounds between two looks at whether any family still learns
+ROWS_A_TASK = 50_000    # rows of one partition in a round
+KEEP_EVERY = 25         # rounds between two checkpoints of the rows' state
 
 
 @dataclass
@@ -137,41 +143,106 @@ def best_first(splits: dict[int, float], leaves: int) -> set[int]:
     return kept
 
 
-def _pruned(tree: DataFrame, key: str, leaves: int) -> DataFrame:
-    """Trees (a row each, with at most 2**depth - 1 splits) cut to the splits of best-first growth."""
-    schema = tree.select(key, F.col("splits")).schema
+# ------------------------------------------------------------------ rows as arrays
 
-    def work(batches):
+@dataclass
+class Block:
+    """Rows of one family in one partition; ``best`` is the prediction of the family's best round so far."""
+    ids: np.ndarray
+    role: np.ndarray        # FIT, VALID or TEST as 0, 1, 2
+    y: np.ndarray
+    h: np.ndarray           # hash of row number and seed, from which each round draws its rows
+    bins: np.ndarray        # rows x features
+    pred: np.ndarray
+    best: np.ndarray
+
+
+def _row_blocks(data: DataFrame, key: str, n_features: int, bins: int, parts: int) -> RDD:
+    """RDD of (key, Block) with one block a family and partition, from ``data(key, _id, _role, _y, _h, bins, base)``."""
+    small = np.min_scalar_type(bins)
+
+    def arrays(batches):
         for pdf in batches:
-            out = []
-            for splits in pdf["splits"]:
-                splits = dict(splits)
-                kept = best_first({int(v): s["gain"] for v, s in splits.items()}, leaves)
-                out.append({v: s for v, s in splits.items() if int(v) in kept})
-            yield pd.DataFrame({key: pdf[key], "splits": out})
-
-    return tree.select(key, "splits").mapInPandas(work, schema)
-
-
-def grow(rows: DataFrame, key: str, depth: int, l2: float, min_rows: int,
-         leaves: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
-    """(key, splits map<int, split>): one tree a family on ``rows(key, res, bins, chosen)``; none without a split.
-
-    Also returns the cached trees of the levels above, to be dropped once the
-    tree is written; if a cached part is lost, Spark makes it again from ``rows``.
-    """
-    spark, tree, held = rows.sparkSession, None, []
-    pack = f"cast(map_from_entries(collect_list(struct(node, split))) as map<int,{SPLIT}>)"
-    for level in range(depth):
-        if tree is None:
-            tree = spark.sql(f"select `{key}`, {pack} as splits from ({_level_sql(key, '1', 'true', l2, min_rows)}) group by `{key}`", rows=rows)
-            continue
-        held.append(tree.persist())
-        level_sql = _level_sql(key, _node_sql(level), f"node >= {2 ** level}", l2, min_rows)
-        tree = spark.sql(f"""select t.`{key}`, if(n.more is null, t.splits, map_concat(t.splits, n.more)) as splits
-            from {{tree}} t left join (select `{key}`, {pack} as more from ({level_sql}) group by `{key}`) n on t.`{key}` = n.`{key}`""",
-                         rows=rows.join(tree, key), tree=tree)
-    return (tree if leaves is None else _pruned(tree, key, leaves)), held
+            for k, part in pdf.groupby(key, sort=False):
+                cells = np.array(part["bins"].tolist(), dtype=float).reshape(len(part), n_features)
+                yield pd.DataFrame({key: [k], "block": [pickle.dumps(Block(
+                    part["_id"].to_numpy("int64"), part["_role"].to_numpy("int8"), part["_y"].to_numpy("float64"),
+                    part["_h"].to_numpy("int64").view("uint64"), np.nan_to_num(cells).astype(small),
+                    part["base"].to_numpy("float64"), part["base"].to_numpy("float64")))]})
+
+    def joined(rows):
+        found = {}
+        for k, block in rows:
+            found.setdefault(k, []).append(pickle.loads(block))
+        for k, some in found.items():
+            yield k, Block(*[np.concatenate([getattr(x, f.name) for x in some]) for f in fields(Block)])
+
+    schema = T.StructType([data.schema[key], T.StructField("block", T.BinaryType())])
+    return data.repartition(parts, "_id").mapInPandas(arrays, schema).rdd.mapPartitions(joined)
+
+
+def _drawn(h: np.ndarray, r: int, share: float) -> np.ndarray:
+    """Which rows round ``r`` draws: pmod(xxhash64(row number, seed, r), 1000000) below the share (XXH64 of 4 bytes with seed ``h``)."""
+    p1, p2, p3, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    with np.errstate(over="ignore"):
+        x = (h + p5 + np.uint64(4)) ^ (np.uint64(r) * p1)
+        x = ((x << np.uint64(23)) | (x >> np.uint64(41))) * p2 + p3
+        x = (x ^ (x >> np.uint64(33))) * p2
+        x = (x ^ (x >> np.uint64(29))) * p3
+    return np.mod((x ^ (x >> np.uint64(32))).view("int64"), 1_000_000) < int(share * 1_000_000)
+
+
+def _nodes(bins: np.ndarray, splits: dict, depth: int) -> np.ndarray:
+    """Node of each row, from the root (1) along ``splits`` {node: (f, b, gain, sl, nl, sr, nr)}."""
+    feature, cut = np.full(2 ** (depth + 1), -1), np.zeros(2 ** (depth + 1))
+    for v, s in splits.items():
+        feature[v], cut[v] = s[0], s[1]
+    node, rows = np.ones(len(bins), dtype=np.int64), np.arange(len(bins))
+    for _ in range(depth):
+        f = feature[node]
+        node = np.where(f >= 0, 2 * node + (bins[rows, f] > cut[node]), node)
+    return node
+
+
+def _cells(block: Block, splits: dict, level: int, r: int, share: float, chosen: list[int], bins: int):
+    """(node, sums): per node of ``level`` the residuals and counts of round ``r``'s rows by (chosen feature, bin)."""
+    use = (block.role == 0) & _drawn(block.h, r, share)
+    cells, res = block.bins[use], (block.y - block.pred)[use]
+    node = _nodes(cells, splits, level)
+    deep = node >= 2 ** level
+    found, at = np.unique(node[deep], return_inverse=True)
+    if not len(found):
+        return
+    cells, res, out = cells[deep], res[deep], np.empty((len(found), len(chosen), bins, 2))
+    for i, f in enumerate(chosen):
+        cell = at * bins + cells[:, f]
+        out[:, i, :, 0] = np.bincount(cell, res, len(found) * bins).reshape(len(found), bins)
+        out[:, i, :, 1] = np.bincount(cell, minlength=len(found) * bins).reshape(len(found), bins)
+    yield from zip(found.tolist(), out)
+
+
+def _best_cut(cells: np.ndarray, chosen: list[int], l2: float, min_rows: int):
+    """The split of :func:`best_splits` from one node's sums, or None; gains that differ by rounding alone are equal."""
+    run = cells.cumsum(axis=1)
+    sl, nl = run[..., 0], run[..., 1]
+    total = run[:, -1:, :]
+    sr, nr = total[..., 0] - sl, total[..., 1] - nl
+    gain = 0.5 * (sl * sl / (nl + l2) + sr * sr / (nr + l2) - total[..., 0] ** 2 / (total[..., 1] + l2))
+    gain = np.where((nl >= min_rows) & (nr >= min_rows) & (gain > 1e-9), gain, -1.0)
+    top = gain.max()
+    if top < 0:
+        return None
+    i, b = np.unravel_index(np.argmax(gain >= top - 1e-10 * top), gain.shape)
+    return (chosen[i], int(b), float(gain[i, b]), float(sl[i, b]), int(nl[i, b]), float(sr[i, b]), int(nr[i, b]))
+
+
+def _moved(block: Block, splits: dict, improved: bool, depth: int, step: float, l2: float) -> Block:
+    """The block after one more tree; if the round before was the best so far, its prediction is kept as ``best``."""
+    value = np.zeros(2 ** (depth + 1))
+    for v, (_, _, _, sl, nl, sr, nr) in splits.items():
+        value[2 * v], value[2 * v + 1] = step * (sl / (nl + l2)), step * (sr / (nr + l2))
+    return replace(block, pred=block.pred + value[_nodes(block.bins, splits, depth)],
+                   best=block.pred if improved else block.best)
 
 
 # ------------------------------------------------------------------ boosting
@@ -187,66 +258,128 @@ def fit_boosting(rows: DataFrame, key: str, features: list[str], target: str, ro
     stops after ``patience`` rounds without a lower squared error on its valid
     rows and predicts with its best round; without patience, or for a family
     without valid rows, all rounds count.  Families without fit rows are left
-    out, rows without a target serve as test rows only.  The state of each round
-    is written to the shared checkpoint folder, the trees to a table in it.
+    out, rows without a target serve as test rows only.
+
+    The binned rows stay in the executors as arrays.  A level of a round is one
+    job: tasks sum their rows by (family, node, feature, bin), the sums meet by
+    family and node and give the best cut.  Only the cuts of the current trees
+    and the errors of the families come to the driver; the trees go to a table in
+    the checkpoint folder, the rows' state is checkpointed every KEEP_EVERY rounds.
     """
     spark = rows.sparkSession
     y = F.col(target).cast("double")
     rows = rows.withColumn("role", F.when(y.isNull(), TEST).otherwise(F.col("role")))
     folder = f"{checkpoint_dir(spark).rstrip('/')}/boosting-{uuid.uuid4().hex}"
 
-    def stored(df: DataFrame, name: str) -> DataFrame:
+    def stored(df: DataFrame, name: str, mode: str = "errorifexists") -> DataFrame:
         # read back from Parquet: a checkpointed frame would claim the partitioning its plan had
-        df.write.parquet(f"{folder}/{name}")
+        df.write.mode(mode).parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     cuts = stored(quantile_cuts(rows.filter(F.col("role") == FIT), key, features, target, bins), "cuts")
     own = list(rows.columns)
-    chosen = _chosen(len(features), max(1, int(colsample * len(features))), seed)
-    data = stored(
-        rows.join(cuts, key).withColumn("bins", binned(rows, features)).withColumn("_id", F.monotonically_increasing_id())
-        .withColumns({"pred": F.col("base"), "best": F.col("base"), "_round": F.lit(1), "_active": F.lit(True),
-                      "_last": F.expr("cast(array() as array<double>)")}).drop("base", "cuts").withColumn("chosen", chosen), "data-0")
-    state = stored(cuts.select(key, F.struct(
-        F.lit(0).alias("round"), F.lit(0).alias("best_round"), F.lit(None).cast("double").alias("best_error"),
-        F.lit(True).alias("active")).alias("s")), "state-0")
-    # the round is a column and not a literal: the compiled code of a round serves all later ones
-    sampled = F.pmod(F.xxhash64("_id", F.lit(seed), "_round"), F.lit(1_000_000)) < int(subsample * 1_000_000)
-    fixed = [*own, "bins", "_id", "best", "_active"]
-    if not state.take(1):
-        rounds = 0
-    for start in range(0, rounds, CHECK_EVERY):
-        block = min(CHECK_EVERY, rounds - start)
-        for r in range(start + 1, start + block + 1):
-            part = (data.filter((F.col("role") == FIT) & F.col("_active") & sampled)
-                    .select(key, (y - F.col("pred")).alias("res"), "bins", "chosen"))
-            tree, held = grow(part, key, depth, l2, min_rows, leaves)
-            tree.write.parquet(f"{folder}/trees/round={r}")
-            for level in held:
-                level.unpersist()
-            tree = spark.read.schema(f"`{key}` {rows.schema[key].dataType.simpleString()}, splits map<int,{SPLIT}>").parquet(f"{folder}/trees/round={r}")
-            pred = F.col("pred") + F.coalesce(_leaf_value(step, l2), F.lit(0.0))
-            data = (data.join(tree, key, "left").withColumn("node", _node(depth)).withColumn("pred", pred)
-                    .select(*fixed, "pred", (F.col("_round") + 1).alias("_round"),
-                            F.concat("_last", F.array("pred")).alias("_last")).withColumn("chosen", chosen))
-            data = stored(data, f"data-{r}")
-        errors = (data.filter(F.col("role") == VALID).select(key, y.alias("y"), F.posexplode("_last").alias("at", "p"))
-                  .groupBy(key, "at").agg(F.avg(F.pow(F.col("y") - F.col("p"), 2)).alias("e"))
-                  .groupBy(key).agg(F.expr("transform(array_sort(collect_list(struct(at, e))), x -> x.e)").alias("errors")))
-        state = stored(state.join(errors, key, "left").select(key, _stopped(block, patience).alias("s")), f"state-{start + block}")
-        best = F.when(F.col("s.best_round") > start, F.get("_last", F.col("s.best_round") - start - 1)).otherwise(F.col("best"))
-        data = stored(data.join(state, key).withColumns(
-            {"best": best, "_active": F.col("s.active"), "_last": F.expr("cast(array() as array<double>)")}).drop("s"),
-            f"data-{start + block}-best")
-        if not state.filter("s.active").take(1):
+    data = stored(rows.join(cuts, key).withColumn("bins", binned(rows, features))
+                  .withColumn("_id", F.monotonically_increasing_id()).drop("cuts"), "data")
+    key_type = T.StructField(key, rows.schema[key].dataType)
+    tree_schema = T.StructType([key_type, *T._parse_datatype_string(f"splits map<int,{SPLIT}>, round int").fields])
+    families = [k for k, in cuts.filter(F.col(key).isNotNull()).select(key).collect()]
+    parts = max(1, -(-data.count() // ROWS_A_TASK))
+    sums = min(parts, max(1, len(families)))
+    role = F.when(F.col("role") == FIT, 0).when(F.col("role") == VALID, 1).otherwise(2)
+    blocks = _row_blocks(data.select(key, "_id", role.alias("_role"), y.alias("_y"), F.xxhash64("_id", F.lit(seed)).alias("_h"),
+                                     "bins", "base"), key, len(features), bins, parts).persist(StorageLevel.MEMORY_AND_DISK)
+    take = max(1, int(colsample * len(features)))
+    chosen_of = {r: c for r, c in spark.range(1, rounds + 1).select(F.col("id").cast("int").alias("_round"))
+                 .select("_round", _chosen(len(features), take, seed)).collect()} if families else {}
+
+    def cut_nodes(blocks: RDD, trees: dict, level: int, r: int, active: set, chosen: list[int]) -> tuple[dict, dict]:
+        """({key: {node: split}} of one level, {key: error of the valid rows}); the errors at level 0 only."""
+        def sums_of(part):
+            for k, block in part:
+                if level == 0:
+                    valid = block.role == 1
+                    if valid.any():
+                        yield (k, 0), np.array([((block.y - block.pred)[valid] ** 2).sum(), valid.sum()])
+                if k in active and (level == 0 or k in trees):
+                    for v, cells in _cells(block, trees.get(k, {}), level, r, subsample, chosen, bins):
+                        yield (k, v), cells
+
+        def judged(kv):
+            (k, v), cells = kv
+            return k, v, (float(cells[0] / cells[1]) if v == 0 else _best_cut(cells, chosen, l2, min_rows))
+
+        found, errors = {}, {}
+        for k, v, got in blocks.mapPartitions(sums_of).reduceByKey(np.add, sums).map(judged).collect():
+            if v == 0:
+                errors[k] = got
+            elif got is not None:
+                found.setdefault(k, {})[v] = got
+        return found, errors
+
+    state = {k: (0, None) for k in families}            # best round and its error
+    active, improved, written, held = set(families), set(), False, []
+
+    def judge(r: int, errors: dict) -> None:
+        """The errors after round ``r`` move the state of the families that still learn."""
+        improved.clear()
+        for k in list(active):
+            e, (best_round, best_error) = errors.get(k), state[k]
+            if patience is None or e is None or best_error is None or e < best_error or (best_error != best_error and e == e):
+                state[k] = (r, e)
+                improved.add(k)
+            elif r - best_round >= patience:
+                active.discard(k)
+
+    def keep(trees: list) -> None:
+        if trees:
+            spark.createDataFrame(trees, tree_schema, verifySchema=False).write.mode("append").parquet(f"{folder}/trees")
+
+    def move(blocks: RDD, trees: dict) -> RDD:
+        better = set(improved)
+        return blocks.map(lambda kb: (kb[0], _moved(kb[1], trees.get(kb[0], {}), kb[0] in better, depth, step, l2)))
+
+    last = 0
+    for r in range(1, rounds + 1):
+        chosen = list(chosen_of.get(r, []))
+        trees, errors = cut_nodes(blocks, {}, 0, r, active, chosen)
+        if last:
+            before.unpersist()
+            judge(last, errors)
+        if not active:
             break
-    rounds_of = state.select(key, "s.best_round", "s.best_error")
-    if rounds > 0:
-        trees = spark.read.schema(f"`{key}` {rows.schema[key].dataType.simpleString()}, splits map<int,{SPLIT}>, round int").parquet(f"{folder}/trees")
+        trees = {k: t for k, t in trees.items() if k in active}
+        for level in range(1, depth):
+            more = cut_nodes(blocks, trees, level, r, active, chosen)[0] if trees else {}
+            if not more:
+                break
+            for k, splits in more.items():
+                trees[k] |= splits
+        if leaves is not None:
+            trees = {k: {v: t[v] for v in best_first({v: s[2] for v, s in t.items()}, leaves)} for k, t in trees.items()}
+        held += [(k, t, r) for k, t in trees.items() if t]
+        before, blocks = blocks, move(blocks, trees).persist(StorageLevel.MEMORY_AND_DISK)
+        if r % KEEP_EVERY == 0:
+            blocks.checkpoint()
+            keep(held)
+            written, held = written or bool(held), []
+        last = r
+    else:
+        if last:
+            judge(last, cut_nodes(blocks, {}, 0, last, set(), [])[1])
+            before.unpersist()
+    keep(held)
+    scored = spark.createDataFrame(
+        move(blocks, {}).flatMap(lambda kb: zip(kb[1].ids.tolist(), kb[1].best.tolist())), "_id long, prediction double", verifySchema=False)
+    predictions = stored(data.join(scored, "_id").select(*own, "prediction"), "predictions")
+    blocks.unpersist()
+    rounds_of = spark.createDataFrame([(k, b, e) for k, (b, e) in state.items()], T.StructType(
+        [key_type, T.StructField("best_round", T.IntegerType()), T.StructField("best_error", T.DoubleType())]))
+    if written or held:
+        trees = spark.read.schema(tree_schema).parquet(f"{folder}/trees")
         trees = trees.join(rounds_of.select(key, "best_round"), key).filter("round <= best_round").drop("best_round")
     else:
-        trees = cuts.select(key, F.lit(None).cast(f"map<int,{SPLIT}>").alias("splits"), F.lit(0).alias("round")).limit(0)
-    return Boosted(data.select(*own, F.col("best").alias("prediction")), trees, cuts, rounds_of, step, l2, depth)
+        trees = spark.createDataFrame([], tree_schema)
+    return Boosted(predictions, trees, cuts, rounds_of, step, l2, depth)
 
 
 def _chosen(n: int, take: int, seed: int) -> Column:
@@ -255,17 +388,6 @@ def _chosen(n: int, take: int, seed: int) -> Column:
                   f"f -> struct(xxhash64({seed}, _round, f) as h, f as f))), 1, {take}), x -> x.f))")
 
 
-def _stopped(block: int, patience: int | None) -> Column:
-    """State ``s`` after the errors of a block of rounds: the best round so far, and whether the family goes on."""
-    better = "true" if patience is None else "e is null or s.best_error is null or e < s.best_error"
-    waits = "true" if patience is None else f"t.round - t.best_round < {patience}"
-    return F.expr(f"""aggregate(coalesce(errors, array_repeat(cast(null as double), {block})), s, (s, e) -> if(not s.active, s,
-        transform(array(named_struct('round', s.round + 1, 'best_round', if({better}, s.round + 1, s.best_round),
-                                     'best_error', if({better}, e, s.best_error))),
-                  t -> named_struct('round', t.round, 'best_round', t.best_round, 'best_error', t.best_error,
-                                    'active', {waits}))[0]))""")
-
-
 def predict_boosting(model: Boosted, df: DataFrame, key: str, features: list[str], out: str = "prediction") -> DataFrame:
     """Score other rows: the family's base value and one leaf of each tree; unknown families are dropped.
 

@@ -127,6 +127,32 @@ def test_trees_of_a_short_fit_begin_those_of_a_long_one(spark):
     assert short.evaluateEachIteration(valid, "squared") == long.evaluateEachIteration(valid, "squared")[:4]
 
 
+def test_gbt_of_many_small_partitions_runs_few_tasks(spark):
+    rng = np.random.default_rng(8)
+    x = rng.uniform(0, 10, 120)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "z": rng.normal(size=120), "y": np.sin(x) * 10}))
+    seen = MD.assemble(df, ["x", "z"])
+
+    def fit(parts):
+        held = df.repartition(parts, "x").persist()
+        spark.sparkContext.setJobGroup(f"gbt-{parts}", "fit of small partitions")
+        try:
+            model, _ = MD.fit_gbt(held, ["x", "z"], "y", max_iter=3, depth=2)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+            held.unpersist()
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup(f"gbt-{parts}") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+        return model.evaluateEachIteration(seen, "squared"), tasks
+
+    (a, few), (b, many) = fit(20), fit(60)
+    assert a == b                       # the drawn rows follow the rows, not the shuffle partitions
+    assert many - few <= 5 * 40, (few, many)    # reading the frame, not the levels of the trees
+    held = MD.assemble(df.repartition(3, "x"), ["x", "z"]).persist()
+    assert MD._few_parts(held, ["x", "z", "y"]) is held
+
+
 def test_gbt_beats_mean(spark):
     rng = np.random.default_rng(0)
     x = rng.uniform(0, 10, 400)

@@ -181,6 +181,9 @@ def ridge_gradient(train: DataFrame, features: list[str], target: str, predictio
 
 # ------------------------------------------------------------------ M5-M7 trees
 
+FEWEST_PARTS, ROWS_A_PART = 8, 50_000       # partitions a GBT fit may always have; rows of one where there are more
+
+
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
     """Ordered feature list -> vector column (nulls raise, as NumPy would)."""
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="error").transform(
@@ -233,11 +236,29 @@ def fit_gbt(train: DataFrame, features: list[str], target: str, max_iter: int =
     parity runs only).  Returns (model, rounds).
     """
     # the fit, the validation pass and the refit all read the same frame
-    data = assemble(train, features).persist()
+    held = assemble(train, features).persist()
+    data = _few_parts(held, [*features, target])
     try:
         return _fit_gbt(data, features, target, max_iter, step, depth, seed, patience, date_col, valid_fraction, validation)
     finally:
         data.unpersist()
+        held.unpersist()
+
+
+def _few_parts(data: DataFrame, columns: list[str]) -> DataFrame:
+    """``data`` in no more partitions than a fit needs: a level of a tree starts two tasks for each, empty or not.
+
+    Up to FEWEST_PARTS partitions stay as they are.  Beyond, rows are dealt and
+    sorted by their values, so that the subsample, which spark.ml draws by
+    partition, depends on the rows and no longer on the shuffle partitions.
+    """
+    parts = data.select("features").rdd.getNumPartitions()
+    if parts <= FEWEST_PARTS:
+        return data
+    few = max(FEWEST_PARTS, -(-data.count() // ROWS_A_PART))
+    if few >= parts:
+        return data
+    return data.repartition(few, *columns).sortWithinPartitions(*columns).persist()
 
 
 def _fit_gbt(data, features, target, max_iter, step, depth, seed, patience, date_col, valid_fraction, validation):

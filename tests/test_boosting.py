@@ -175,6 +175,29 @@ def test_rows_in_many_tasks_give_the_same_trees(spark, monkeypatch):
     assert fits[0] == fits[1] and len(fits[0][0]) == 400
 
 
+def test_a_level_is_one_wave_of_tasks(spark, monkeypatch):
+    df = spark.createDataFrame(make(400, 9).reset_index(names="k"))
+    cores, tracker = spark.sparkContext.defaultParallelism, spark.sparkContext.statusTracker()
+
+    def fit(group, rows, most):
+        monkeypatch.setattr(B, "ROWS_A_TASK", rows)
+        monkeypatch.setattr(B, "MOST_ROWS", most)
+        spark.sparkContext.setJobGroup(group, "tasks of boosting")
+        try:
+            m = B.fit_boosting(df, "Famille", FEATS, "y", rounds=2, step=0.3, depth=3, patience=5)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+        tasks = [info.numTasks for info in map(tracker.getStageInfo, stages) if info and "reduceByKey" in info.name]
+        return max(tasks), {r.k: round(r.prediction, 9) for r in m.predictions.collect()}
+
+    one, alone = fit("one-task", 400, 400)
+    wave, same = fit("one-wave", 5, 400)        # worth 80 tasks, but there are no more cores
+    more, again = fit("bounded-tasks", 5, 20)   # 20 rows at most in each
+    assert (one, wave, more) == (1, min(80, cores), max(20, min(80, cores)))
+    assert alone == same == again and len(alone) == 400
+
+
 def test_drawn_rows_are_those_of_the_hash(spark):
     rows = spark.range(-50, 500).select("id", F.xxhash64("id", F.lit(42)).alias("h"), F.xxhash64("id", F.lit(42), F.lit(17)).alias("x")).collect()
     got = B._drawn(np.array([r.h for r in rows]).view("uint64"), 17, 0.8)

@@ -33,7 +33,8 @@ from tillcast.session import checkpoint_dir, materialize
 
 FIT, VALID, TEST = "fit", "valid", "test"
 SPLIT = "struct<f:int,b:int,gain:double,sl:double,nl:long,sr:double,nr:long>"
-ROWS_A_TASK = 50_000    # rows of one partition in a round
+ROWS_A_TASK = 50_000    # rows worth a task of their own while cores are free
+MOST_ROWS = 500_000     # rows of one partition in a round
 KEEP_EVERY = 25         # rounds between two checkpoints of the rows' state
 
 
@@ -157,6 +158,12 @@ class Block:
     best: np.ndarray
 
 
+def _parts(rows: int, cores: int) -> int:
+    """Partitions of the rows in a round: starting a task costs more than summing ROWS_A_TASK rows, so up to
+    MOST_ROWS rows a core one task a core does a level in one wave."""
+    return max(1, min(-(-rows // ROWS_A_TASK), cores), -(-rows // MOST_ROWS))
+
+
 def _row_blocks(data: DataFrame, key: str, n_features: int, bins: int, parts: int) -> RDD:
     """RDD of (key, Block) with one block a family and partition, from ``data(key, _id, _role, _y, _h, bins, base)``."""
     small = np.min_scalar_type(bins)
@@ -283,7 +290,7 @@ def fit_boosting(rows: DataFrame, key: str, features: list[str], target: str, ro
     key_type = T.StructField(key, rows.schema[key].dataType)
     tree_schema = T.StructType([key_type, *T._parse_datatype_string(f"splits map<int,{SPLIT}>, round int").fields])
     families = [k for k, in cuts.filter(F.col(key).isNotNull()).select(key).collect()]
-    parts = max(1, -(-data.count() // ROWS_A_TASK))
+    parts = _parts(data.count(), spark.sparkContext.defaultParallelism)
     sums = min(parts, max(1, len(families)))
     role = F.when(F.col("role") == FIT, 0).when(F.col("role") == VALID, 1).otherwise(2)
     blocks = _row_blocks(data.select(key, "_id", role.alias("_role"), y.alias("_y"), F.xxhash64("_id", F.lit(seed)).alias("_h"),
